@@ -73,7 +73,10 @@ def sequence_steps(df: DataFrame, by, order, item: str, *, max_steps: int = 40,
     by = [by] if isinstance(by, str) else list(by)
     order = [order] if isinstance(order, (str, Column)) else list(order)
     w = Window.partitionBy(*by).orderBy(*order)
-    first = df.withColumn("step", F.row_number().over(w) - 1).filter(F.col("step") < max_steps)
+    ranked = df.withColumn("_rn", F.row_number().over(w))
+    if max_steps is not None:
+        ranked = ranked.filter(F.col("_rn") <= max_steps)
+    first = ranked.withColumn("step", F.col("_rn") - 1).drop("_rn")
     w2 = Window.partitionBy(*by).orderBy("step")
     ctx = F.concat_ws(sep, *[F.lag(item, i).over(w2) for i in range(context_len, 0, -1)])
     return first.withColumn("context", F.when(ctx == "", F.lit(start)).otherwise(ctx))

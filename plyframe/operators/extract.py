@@ -33,13 +33,14 @@ def extract_positions(games: DataFrame, *, max_plies: int = MAX_PLIES, mode: str
     A game whose text turns illegal keeps the plies before that point.
     """
     df = _replayed(games, mode, max_plies, partitions)
-    passthrough = [c for c in ("game_id", "event", "white_elo", "black_elo") if c in games.columns]
+    passthrough = [c for c in games.columns if c not in ("movetext", "start_fen")]
+    extra = [c for c in passthrough if c not in ("event", "white_elo", "black_elo")]
     # inline_outer: a plain inline lets Catalyst infer a size(plies) > 0 filter
     # that duplicates the Python UDF below the generator.
     rows = (df.select(*passthrough, F.inline_outer("_r.plies"))
               .filter(F.col("ply").isNotNull()))
     mover = F.when(F.col("white_to_move"), F.col("white_elo")).otherwise(F.col("black_elo"))
-    return rows.select(*[c for c in ("game_id",) if c in passthrough], "ply", "event",
+    return rows.select(*extra, "ply", "event",
                        bucket(mover).alias("player_elo_bucket"), "base_fen", "move_san")
 
 

@@ -29,7 +29,7 @@ def display_share(c) -> Column:
     return F.bround(c if isinstance(c, Column) else F.col(c), 1)
 
 
-def validate_requests(requests: DataFrame) -> DataFrame:
+def validate_requests(requests: DataFrame, key_is_fen: bool = True) -> DataFrame:
     """request_id, fen, elo_min, elo_max -> + key_fen, lo, hi, error.
 
     Errors, first that applies: missing_fen, invalid_fen, invalid_range.
@@ -37,7 +37,10 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     pawn can use matches the stored key without it.
     """
     fen = F.col("fen")
-    norm = normalise_fen_udf(fen)
+    if key_is_fen:
+        norm = normalise_fen_udf(fen)
+    else:  # generic context keys are used as given
+        norm = F.struct(fen.alias("fen"), F.lit(None).cast("string").alias("error"))
     lo = _bound(F.col("elo_min"), DEFAULT_ELO_MIN)
     hi = _bound(F.col("elo_max"), DEFAULT_ELO_MAX)
     error = (F.when(fen.isNull() | (F.trim(fen) == ""), F.lit("missing_fen"))
@@ -49,7 +52,7 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 
 
 def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
-              broadcast_keys: bool | None = None) -> DataFrame:
+              broadcast_keys: bool | None = None, key_is_fen: bool = True) -> DataFrame:
     """Batch form of the lookup -> (request_id, error, rank, move_san, plays, percentage).
 
     Duplicate requests (a hot opening asked for by many) collapse to one
@@ -59,7 +62,7 @@ def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
     otherwise); answers go back to every request by a left join, and a request
     with no rows gets ``not_found``.
     """
-    v = validate_requests(requests)
+    v = validate_requests(requests, key_is_fen)
     key = ["key_fen", "lo", "hi"]
     if counts is None:
         return v.select("request_id", F.coalesce("error", F.lit("no_source")).alias("error"),

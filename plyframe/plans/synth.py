@@ -91,8 +91,7 @@ def games_from_records(records: DataFrame) -> DataFrame:
     from plyframe.sources.archive import parse_games
     g = parse_games(records)
     site = F.try_element_at("headers", F.lit("Site"))
-    keep = [c for c in g.columns if c not in ("game_index", "headers", "movetext", "game_key")]
-    return g.select(F.substring_index(site, "/", -1).alias("game_id"), *keep, "headers", "movetext")
+    return g.select(F.substring_index(site, "/", -1).alias("game_id"), "headers", "movetext")
 
 
 def synth_games(spark: SparkSession, sf_dir: str) -> DataFrame:
