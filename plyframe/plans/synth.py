@@ -95,5 +95,6 @@ def games_from_records(records: DataFrame) -> DataFrame:
 
 
 def synth_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plyframe.sources.archive import spread
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return games_from_records(archive_records(orders))
+    return games_from_records(spread(archive_records(orders), "game_key"))

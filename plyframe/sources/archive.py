@@ -10,7 +10,17 @@ from plyframe.functions.columns import record_games
 # A record starts at every game's first tag; the text source splits on it, so
 # big plain files split across tasks without losing or duplicating games.
 RECORD_SEP = "\n[Event "
-_NON_SPLITTABLE = (".zst", ".gz", ".bz2", ".zstd")
+
+
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Hash-spread rows over the cluster when the source yields fewer partitions
+    than there are cores (a compressed monthly file is one task; so is a small
+    table).  The parse and replay that follow are CPU-bound per record, so
+    moving raw records once beats running them in a handful of tasks."""
+    target = partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
 
 
 def parse_games(records: DataFrame, value_col: str = "value") -> DataFrame:
@@ -42,18 +52,14 @@ def read_games(spark: SparkSession, paths, *, record_sep: str = RECORD_SEP,
                partitions: int | None = None) -> DataFrame:
     """Archive files -> games(raw) with ``game_id`` = ``file#record.index``.
 
-    Compressed files are one task each; their games are spread over
-    ``partitions`` (default: the cluster's parallelism) after parsing, so the
-    replay job is not bound to one core per file.
+    Compressed files are one task each; their raw records are spread over
+    ``partitions`` (default: the cluster's parallelism) before parsing, so the
+    parse and replay are not bound to one core per file.
     """
     plist = [paths] if isinstance(paths, str) else list(paths)
-    games = parse_games(read_records(spark, plist, record_sep))
+    games = parse_games(spread(read_records(spark, plist, record_sep), "record_id", partitions))
     games = games.select(
         F.concat_ws("#", "file", F.concat_ws(".", F.col("record_id").cast("string"),
                                              F.col("game_index").cast("string"))).alias("game_id"),
         "headers", "movetext")
-    if partitions is None and any(p.endswith(_NON_SPLITTABLE) for p in plist):
-        partitions = spark.sparkContext.defaultParallelism
-    if partitions:
-        games = games.repartition(partitions)
     return games
