@@ -35,19 +35,26 @@ def top_k_share(stats: DataFrame, group_cols, item_col: str, weight_col: str, k:
                 rank_col: str = "rank", share_col: str = "percentage") -> DataFrame:
     """Top ``k`` items per group with their share of the group's total weight.
 
-    Totals and ranks are separate so each stays skew-safe: the total is a
-    partial+final aggregate, and ``row_number() <= k`` alone in its window is
-    planned as a WindowGroupLimit that trims every group to ``k`` rows before
-    the shuffle.  The share's denominator is all items, not only the top ``k``.
+    One pass over ``stats`` (rows need not be pre-aggregated): a grouping-sets
+    aggregate yields each (group, item) sum and the group total as an extra
+    row, with partial aggregation before the shuffle.  Ranking puts the total
+    row first, so ``row_number() <= k + 1`` alone in its window plans as a
+    WindowGroupLimit that trims every group to ``k + 1`` rows before the
+    window's shuffle (a hot group cannot flood one task); the total is then
+    attached over those few rows.  The denominator is all items, not only the
+    top ``k``; ties go to the smaller item.
     """
     group_cols = list(group_cols)
-    totals = stats.groupBy(*group_cols).agg(F.sum(weight_col).alias("_total"))
-    w = Window.partitionBy(*group_cols).orderBy(F.desc(weight_col), F.asc(item_col))
-    top = stats.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
-    return (top.join(totals, group_cols)
-               .withColumn(share_col, F.col(weight_col).cast("double") * F.lit(100.0)
-                           / F.col("_total").cast("double"))
-               .drop("_total"))
+    agg = (stats.groupingSets([group_cols + [item_col], group_cols], *group_cols, item_col)
+           .agg(F.sum(weight_col).cast("long").alias(weight_col), F.grouping(item_col).alias("_is_total")))
+    order = Window.partitionBy(*group_cols).orderBy(F.desc("_is_total"), F.desc(weight_col), F.asc(item_col))
+    top = agg.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k + 1)
+    total = F.max(F.when(F.col("_is_total") == 1, F.col(weight_col))).over(Window.partitionBy(*group_cols))
+    return (top.withColumn("_total", total)
+               .filter(F.col("_is_total") == 0)
+               .select(*group_cols, item_col, weight_col, (F.col("_rn") - 1).cast("int").alias(rank_col),
+                       (F.col(weight_col).cast("double") * F.lit(100.0)
+                        / F.col("_total").cast("double")).alias(share_col)))
 
 
 def next_item_stats(df: DataFrame, context: str, item: str, *, bucket: str | None = None,
@@ -56,8 +63,7 @@ def next_item_stats(df: DataFrame, context: str, item: str, *, bucket: str | Non
     keys = [context] + ([bucket] if bucket else []) + [item]
     agg = (F.count(F.lit(1)) if weight is None else F.sum(weight)).cast("long").alias("plays")
     per_bucket = df.groupBy(*keys).agg(agg)
-    stats = per_bucket.groupBy(context, item).agg(F.sum("plays").cast("long").alias("plays"))
-    return top_k_share(stats, [context], item, "plays", k)
+    return top_k_share(per_bucket, [context], item, "plays", k)
 
 
 def sequence_steps(df: DataFrame, by, order, item: str, *, max_steps: int = 40,

@@ -76,8 +76,7 @@ def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
     c = counts.select("base_fen", "player_elo_bucket", "move_san", "times_played")
     matched = c.join(keys, (c["base_fen"] == keys["key_fen"])
                      & c["player_elo_bucket"].between(keys["lo"], keys["hi"]))
-    stats = matched.groupBy(*key, "move_san").agg(F.sum("times_played").cast("long").alias("plays"))
-    top = top_k_share(stats, key, "move_san", "plays", k)
+    top = top_k_share(matched.withColumnRenamed("times_played", "plays"), key, "move_san", "plays", k)
     out = v.join(top, key, "left")
     error = F.coalesce(F.col("error"), F.when(F.col("move_san").isNull(), F.lit("not_found")))
     return out.select("request_id", error.alias("error"), F.col("rank").cast("int").alias("rank"),
@@ -90,7 +89,7 @@ def as_responses(recs: DataFrame) -> DataFrame:
     return (recs.groupBy("request_id")
             .agg(F.first("error", ignorenulls=True).alias("error"),
                  F.sort_array(F.collect_list(F.when(F.col("move_san").isNotNull(), alt))).alias("alternatives"))
-            .select("request_id", "error", F.col("alternatives")[0]["move_san"].alias("move"),
+            .select("request_id", "error", F.try_element_at("alternatives", F.lit(1))["move_san"].alias("move"),
                     F.transform("alternatives", lambda a: F.struct(a["move_san"].alias("move"),
                                                                    a["likelihood"].alias("likelihood")))
                     .alias("alternatives")))
@@ -98,13 +97,12 @@ def as_responses(recs: DataFrame) -> DataFrame:
 
 def top_moves(counts: DataFrame, fen: str, elo_min: int = DEFAULT_ELO_MIN, elo_max: int = DEFAULT_ELO_MAX,
               k: int = TOP_K, *, normalise: bool = True) -> DataFrame:
-    """Single lookup: filter pushed into the Parquet scan, sum per move, top k
-    with share of the total over all moves (an uncorrelated scalar subquery)."""
+    """Single lookup: the position filter reaches the Parquet scan (row groups of
+    the sorted table are skipped by min/max), then plays per move, top ``k``
+    and each move's share of all moves played there, in one pass."""
     key = normalise_fen(fen) if normalise else fen
-    stats = (counts.filter((F.col("base_fen") == F.lit(key))
-                           & F.col("player_elo_bucket").between(F.lit(elo_min), F.lit(elo_max)))
-             .groupBy("move_san").agg(F.sum("times_played").cast("long").alias("plays")))
-    total = stats.select(F.sum("plays")).scalar()
-    return (stats.orderBy(F.desc("plays"), F.asc("move_san")).limit(k)
-            .select("move_san", "plays",
-                    (F.col("plays").cast("double") * F.lit(100.0) / total.cast("double")).alias("percentage")))
+    hits = (counts.filter((F.col("base_fen") == F.lit(key))
+                          & F.col("player_elo_bucket").between(F.lit(elo_min), F.lit(elo_max)))
+            .withColumnRenamed("times_played", "plays"))
+    return (top_k_share(hits, ["base_fen"], "move_san", "plays", k)
+            .orderBy("rank").select("move_san", "plays", "percentage"))

@@ -262,7 +262,7 @@ def pgn_flagship(spark, sf_dir):
     rating range with their share of all moves played there."""
     counts = pgn_counts(spark, sf_dir)
     stats = (counts.filter(F.col("player_elo_bucket").between(DEFAULT_ELO_MIN, DEFAULT_ELO_MAX))
-             .groupBy("base_fen", "move_san").agg(F.sum("times_played").cast("long").alias("plays")))
+             .withColumnRenamed("times_played", "plays"))
     return top_k_share(stats, ["base_fen"], "move_san", "plays", 5).select(
         "base_fen", "rank", "move_san", "plays", "percentage")
 
