@@ -83,6 +83,24 @@ def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
                       "move_san", "plays", "percentage")
 
 
+def requests_from_json(df: DataFrame, col: str = "body", id_col: str = "request_id") -> DataFrame:
+    """JSON request bodies ``{"fen", "elo_min", "elo_max"}`` -> the request frame.
+
+    Bounds are read as text so that non-integers reach validation as
+    ``invalid_range`` instead of silently becoming null.
+    """
+    body = F.from_json(F.col(col), "fen string, elo_min string, elo_max string")
+    return df.select(F.col(id_col).cast("long").alias("request_id"), body.alias("b")).select(
+        "request_id", "b.fen", "b.elo_min", "b.elo_max")
+
+
+def responses_to_json(responses: DataFrame) -> DataFrame:
+    """``as_responses`` rows -> (request_id, body) with ``{move, alternatives}`` or ``{error}``."""
+    body = F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).otherwise(
+        F.to_json(F.struct("move", "alternatives")))
+    return responses.select("request_id", body.alias("body"))
+
+
 def as_responses(recs: DataFrame) -> DataFrame:
     """Long form -> one row per request: best move plus up to k alternatives."""
     alt = F.struct("rank", "move_san", display_share("percentage").alias("likelihood"))

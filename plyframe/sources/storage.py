@@ -54,9 +54,10 @@ def write_sorted(counts: DataFrame, path: str, partitions: int | None = None) ->
     """Globally sorted by position: range partitions hold disjoint key ranges and
     each file is sorted, so Parquet min/max statistics let a lookup skip
     nearly every row group."""
-    n = partitions or counts.sparkSession.sparkContext.defaultParallelism
-    (counts.select(*[f.name for f in COUNTS.fields])
-     .repartitionByRange(n, "base_fen").sortWithinPartitions("base_fen")
+    cols = counts.select(*[f.name for f in COUNTS.fields])
+    # Without an explicit count, AQE sizes the range partitions from the data.
+    ranged = cols.repartitionByRange(partitions, "base_fen") if partitions else cols.repartitionByRange("base_fen")
+    (ranged.sortWithinPartitions("base_fen")
      .write.mode("overwrite").option("parquet.block.size", SORTED_BLOCK_BYTES).parquet(path))
 
 
@@ -89,11 +90,15 @@ def counts_view(spark: SparkSession, merged_path: str | None, monthly_root: str
     (anti-join on the merged table's month list), so new months are visible
     at once.  ``merged_first``: the merged table alone when present, else all
     monthly partitions.  None when there is no data at all.
+
+    The view is a UNION ALL, not re-aggregated: a key may appear once per
+    source, and lookups sum after their position filter has reached every
+    scan.  Use ``merge_counts(view)`` where one row per key is needed.
     """
     merged = read_counts(spark, merged_path) if merged_path else None
     monthly = read_monthly(spark, monthly_root) if monthly_root else None
     if merged is None:
-        return None if monthly is None else merge_counts(monthly.drop("month"))
+        return None if monthly is None else monthly.drop("month")
     if monthly is None or prefer == "merged_first":
         return merged
     try:
@@ -102,7 +107,7 @@ def counts_view(spark: SparkSession, merged_path: str | None, monthly_root: str
         covered = None
     newer = monthly if covered is None else monthly.join(
         covered.withColumnRenamed("year_month", "month"), "month", "left_anti")
-    return merge_counts(merged, newer.drop("month"))
+    return merged.unionByName(newer.drop("month"))
 
 
 def head_rows(df: DataFrame, n: int = 10) -> DataFrame:

@@ -104,3 +104,23 @@ def test_compare_extractions_multiset(spark):
     b = spark.createDataFrame([(1,), (3,)], "x long")
     r = compare_extractions(a, b).first()
     assert (r.rows_a, r.rows_b, r.only_a, r.only_b) == (3, 2, 2, 1)
+
+
+def test_json_round_trip_and_counters(spark, counts):
+    from plyframe.operators.metrics import observe_games
+    from plyframe.operators.qualify import qualify_games
+    from plyframe.operators.recommend import requests_from_json, responses_to_json
+    import json
+    body = spark.createDataFrame([(1, json.dumps({"fen": START + " 0 1", "elo_min": 1000, "elo_max": 2000})),
+                                  (2, json.dumps({"fen": "bad"}))], "request_id long, body string")
+    out = {r.request_id: json.loads(r.body)
+           for r in responses_to_json(as_responses(recommend(requests_from_json(body), counts))).collect()}
+    assert out[1]["move"] == "e4" and len(out[1]["alternatives"]) == 5
+    assert out[2] == {"error": "invalid_fen"}
+    games = spark.createDataFrame(
+        [("1", {"Event": "Rated Bullet game", "WhiteElo": "1500", "BlackElo": "1500"}, "1. e4"),
+         ("2", {"Event": "Rated Blitz game", "WhiteElo": "1500", "BlackElo": "1500"}, "1. e4")],
+        "game_id string, headers map<string,string>, movetext string")
+    df, obs = observe_games(qualify_games(games, with_reason=True))
+    df.write.format("noop").mode("overwrite").save()
+    assert obs.get["scanned"] == 2 and obs.get["kept"] == 1 and obs.get["bullet"] == 1
