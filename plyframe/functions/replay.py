@@ -41,20 +41,33 @@ def replay_udf(max_plies: int = 40):
 _FEN_RESULT = T.StructType([T.StructField("fen", T.StringType()), T.StructField("error", T.StringType())])
 
 
-@F.pandas_udf(_FEN_RESULT)
-def normalise_fen_udf(fens: pd.Series) -> pd.DataFrame:
-    """FEN text -> (four-field key with legal-only en passant, error)."""
-    out, errs = [], []
-    for fen in fens:
+_NORMALISED: dict = {}
+_NORMALISED_MAX = 100_000
+
+
+def _normalise_one(fen):
+    hit = _NORMALISED.get(fen)
+    if hit is None:
         try:
             if not isinstance(fen, str) or not fen.strip():
                 raise ValueError("missing")
-            out.append(Position.from_fen(fen).base_fen())
-            errs.append(None)
+            hit = (Position.from_fen(fen).base_fen(), None)
         except ValueError:
-            out.append(None)
-            errs.append("invalid_fen")
-    return pd.DataFrame({"fen": out, "error": errs})
+            hit = (None, "invalid_fen")
+        if len(_NORMALISED) >= _NORMALISED_MAX:
+            _NORMALISED.clear()
+        _NORMALISED[fen] = hit
+    return hit
+
+
+@F.pandas_udf(_FEN_RESULT)
+def normalise_fen_udf(fens: pd.Series) -> pd.DataFrame:
+    """FEN text -> (four-field key with legal-only en passant, error).
+
+    Request batches repeat a few hot positions; a bounded per-worker cache
+    parses each distinct text once."""
+    pairs = [_normalise_one(f) for f in fens]
+    return pd.DataFrame({"fen": [p[0] for p in pairs], "error": [p[1] for p in pairs]})
 
 
 @F.pandas_udf(_FEN_RESULT)

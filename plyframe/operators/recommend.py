@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from plyframe.functions.board import normalise_fen
 from plyframe.functions.replay import normalise_fen_udf
 from plyframe.operators.counts import top_k_share
-from plyframe.session import bounded_broadcast
+from plyframe.session import BROADCAST_MAX_ROWS
+
+# Answers are broadcast back to the requests only below this many rows.
+ANSWERS_BROADCAST_MAX_ROWS = 1_000_000
 
 # Default rating bounds and answer size of the lookup.
 DEFAULT_ELO_MIN = 0
@@ -43,10 +46,13 @@ def validate_requests(requests: DataFrame, key_is_fen: bool = True) -> DataFrame
         norm = F.struct(fen.alias("fen"), F.lit(None).cast("string").alias("error"))
     lo = _bound(F.col("elo_min"), DEFAULT_ELO_MIN)
     hi = _bound(F.col("elo_max"), DEFAULT_ELO_MAX)
-    error = (F.when(fen.isNull() | (F.trim(fen) == ""), F.lit("missing_fen"))
-             .when(norm["error"].isNotNull(), F.lit("invalid_fen"))
-             .when(lo.isNull() | hi.isNull(), F.lit("invalid_range")))
-    return (requests.select("request_id", norm.alias("_n"), lo.alias("lo"), hi.alias("hi"), error.alias("error"))
+    # The UDF result is projected once and referenced by name afterwards, so
+    # the plan evaluates it once per request.
+    parsed = requests.select("request_id", fen.alias("fen"), norm.alias("_n"), lo.alias("lo"), hi.alias("hi"))
+    error = (F.when(F.col("fen").isNull() | (F.trim("fen") == ""), F.lit("missing_fen"))
+             .when(F.col("_n.error").isNotNull(), F.lit("invalid_fen"))
+             .when(F.col("lo").isNull() | F.col("hi").isNull(), F.lit("invalid_range")))
+    return (parsed.withColumn("error", error)
             .select("request_id", F.when(F.col("error").isNull(), F.col("_n.fen")).alias("key_fen"),
                     "lo", "hi", "error"))
 
@@ -69,15 +75,17 @@ def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
                         F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("move_san"),
                         F.lit(None).cast("long").alias("plays"), F.lit(None).cast("double").alias("percentage"))
     keys = v.filter(F.col("error").isNull()).select(*key).distinct()
-    if broadcast_keys is None:
-        keys = bounded_broadcast(keys)
-    elif broadcast_keys:
+    # One bounded count decides both broadcasts: the distinct keys (probe side
+    # is the whole counts table) and the answers (at most k rows per key).
+    n_keys = keys.limit(BROADCAST_MAX_ROWS + 1).count() if broadcast_keys is None else None
+    if broadcast_keys or (n_keys is not None and n_keys <= BROADCAST_MAX_ROWS):
         keys = F.broadcast(keys)
+    small_answers = n_keys is not None and n_keys * k <= ANSWERS_BROADCAST_MAX_ROWS
     c = counts.select("base_fen", "player_elo_bucket", "move_san", "times_played")
     matched = c.join(keys, (c["base_fen"] == keys["key_fen"])
                      & c["player_elo_bucket"].between(keys["lo"], keys["hi"]))
     top = top_k_share(matched.withColumnRenamed("times_played", "plays"), key, "move_san", "plays", k)
-    out = v.join(top, key, "left")
+    out = v.join(F.broadcast(top) if small_answers else top, key, "left")
     error = F.coalesce(F.col("error"), F.when(F.col("move_san").isNull(), F.lit("not_found")))
     return out.select("request_id", error.alias("error"), F.col("rank").cast("int").alias("rank"),
                       "move_san", "plays", "percentage")
