@@ -20,8 +20,13 @@ def _replayer() -> Replayer:
     return r
 
 
-def replay_udf(max_plies: int = 40):
-    """(start_fen string, tokens array<string>) -> struct<error, plies array<ply>>."""
+def replay_udf(max_plies: int = 40, pinned: bool = False):
+    """(start_fen string, tokens array<string>) -> struct<error, plies array<ply>>.
+
+    ``pinned`` marks the call non-deterministic for the optimizer only (the
+    result is deterministic): a filter on its output is then not pushed below
+    the projection, which would evaluate the Python call a second time.
+    """
 
     @F.pandas_udf(REPLAY)
     def replay(start_fen: pd.Series, toks: pd.Series) -> pd.DataFrame:
@@ -35,7 +40,7 @@ def replay_udf(max_plies: int = 40):
                           for p, w, b, s in rows])
         return pd.DataFrame({"error": errors, "plies": plies})
 
-    return replay
+    return replay.asNondeterministic() if pinned else replay
 
 
 _FEN_RESULT = T.StructType([T.StructField("fen", T.StringType()), T.StructField("error", T.StringType())])
@@ -61,15 +66,18 @@ def _normalise_one(fen):
 
 
 @F.pandas_udf(_FEN_RESULT)
-def normalise_fen_udf(fens: pd.Series) -> pd.DataFrame:
-    """FEN text -> (four-field key with legal-only en passant, error).
-
-    Request batches repeat a few hot positions; a bounded per-worker cache
-    parses each distinct text once."""
+def _normalise(fens: pd.Series) -> pd.DataFrame:
     pairs = [_normalise_one(f) for f in fens]
     return pd.DataFrame({"fen": [p[0] for p in pairs], "error": [p[1] for p in pairs]})
 
 
+# FEN text -> (four-field key with legal-only en passant, error).  Request
+# batches repeat a few hot positions; a bounded per-worker cache parses each
+# distinct text once.  Pinned (see replay_udf) because validation filters on
+# its output.
+normalise_fen_udf = _normalise.asNondeterministic()
+
+
 @F.pandas_udf(_FEN_RESULT)
 def sequence_fen_udf(moves: pd.Series) -> pd.DataFrame:
     """Space-separated SAN from the start position -> (six-field FEN, error)."""

@@ -17,11 +17,12 @@ def tokenize_moves(games: DataFrame, mode: str = "lenient", max_plies: int | Non
     return games.withColumn("tokens", tokens(col, mode, max_plies))
 
 
-def _replayed(games: DataFrame, mode: str, max_plies: int, partitions: int | None) -> DataFrame:
+def _replayed(games: DataFrame, mode: str, max_plies: int, partitions: int | None,
+              pinned: bool = False) -> DataFrame:
     df = tokenize_moves(games, mode, max_plies).drop("movetext")
     if partitions:
         df = df.repartition(partitions)
-    return df.withColumn("_r", replay_udf(max_plies)(F.col("start_fen"), F.col("tokens")))
+    return df.withColumn("_r", replay_udf(max_plies, pinned)(F.col("start_fen"), F.col("tokens")))
 
 
 def extract_positions(games: DataFrame, *, max_plies: int = MAX_PLIES, mode: str = "lenient",
@@ -46,7 +47,7 @@ def extract_positions(games: DataFrame, *, max_plies: int = MAX_PLIES, mode: str
 
 def replay_errors(games: DataFrame, *, max_plies: int = MAX_PLIES, mode: str = "lenient") -> DataFrame:
     """Quarantine view: games whose replay stopped early, with the reason and plies kept."""
-    df = _replayed(games, mode, max_plies, None)
+    df = _replayed(games, mode, max_plies, None, pinned=True)
     return (df.filter(F.col("_r.error").isNotNull())
               .select("game_id", F.col("_r.error").alias("error"),
                       F.size("_r.plies").alias("plies_kept"), F.size("tokens").alias("tokens")))

@@ -130,5 +130,6 @@ def top_moves(counts: DataFrame, fen: str, elo_min: int = DEFAULT_ELO_MIN, elo_m
     hits = (counts.filter((F.col("base_fen") == F.lit(key))
                           & F.col("player_elo_bucket").between(F.lit(elo_min), F.lit(elo_max)))
             .withColumnRenamed("times_played", "plays"))
+    # At most k rows: ordering them in one partition avoids a sampled range sort.
     return (top_k_share(hits, ["base_fen"], "move_san", "plays", k)
-            .orderBy("rank").select("move_san", "plays", "percentage"))
+            .coalesce(1).sortWithinPartitions("rank").select("move_san", "plays", "percentage"))

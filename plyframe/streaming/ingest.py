@@ -20,6 +20,8 @@ ARCHIVE_LINK_PATTERN = r'href="((?:[\w-]+/)?[\w-]*?_(\d{4}-\d{2})\.pgn\.zst)"'
 ARCHIVE_BASE_URL = "https://archive.example.org/"
 MAX_MONTHS_PER_RUN = 3
 MONTH_IN_PATH = r"(\d{4}-\d{2})"
+# The monthly counting stage keeps buckets 600..3900 only.
+COUNTED_BUCKETS = (600, 3900)
 
 
 def list_links(pages: DataFrame, html_col: str = "html", pattern: str = ARCHIVE_LINK_PATTERN,
@@ -67,7 +69,8 @@ def pending_months(available: DataFrame, ledger: DataFrame, max_months: int | No
 
 def _month_counts(games: DataFrame, month_col: str = "month") -> DataFrame:
     positions = extract_positions(qualify_games(games))
-    return count_moves(positions, keys=(month_col, "base_fen", "player_elo_bucket", "move_san"))
+    kept = positions.filter(F.col("player_elo_bucket").between(*COUNTED_BUCKETS))
+    return count_moves(kept, keys=(month_col, "base_fen", "player_elo_bucket", "move_san"))
 
 
 def ingest(spark: SparkSession, archives: DataFrame, monthly_root: str, ledger_path: str, *,
