@@ -17,10 +17,12 @@ def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     than there are cores (a compressed monthly file is one task; so is a small
     table).  The parse and replay that follow are CPU-bound per record, so
     moving raw records once beats running them in a handful of tasks."""
-    target = partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key)
+    try:
+        target = partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the plan as is
+        return df.repartition(partitions, key) if partitions else df
+    return df if current >= target else df.repartition(target, key)
 
 
 def parse_games(records: DataFrame, value_col: str = "value") -> DataFrame:
