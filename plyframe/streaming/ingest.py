@@ -74,23 +74,27 @@ def _month_counts(games: DataFrame, month_col: str = "month") -> DataFrame:
 
 
 def ingest(spark: SparkSession, archives: DataFrame, monthly_root: str, ledger_path: str, *,
-           month_pattern: str = MONTH_IN_PATH) -> DataFrame:
-    """Batch path: (year_month, path) archives -> counts in ``month=`` partitions, one job.
-
-    All months are read, replayed and counted together; dynamic partition
-    overwrite replaces exactly the months present, so a rerun replaces
-    rather than adds.  The ledger is written only after the data commit.
-    Returns the months recorded.
+           record_sep: str = RECORD_SEP) -> DataFrame:
+    """Batch path: (year_month, path) archives -> counts in ``month=`` partitions.
+
+    Each month is one distributed job (read, replay, count, write with dynamic
+    partition overwrite, so a rerun replaces the month instead of adding to
+    it).  A failing month commits nothing, is reported and does not stop the
+    others; the ledger records a month only after its data commit.  Returns a
+    report (year_month, status, error).
     """
-    # The run list is capped (max_months), so its paths may pass through the driver.
-    paths = [r["path"] for r in archives.select("path").collect()]
-    if not paths:
-        return load_ledger(spark, ledger_path)
-    games = read_games(spark, paths)
-    games = games.withColumn("month", F.regexp_extract(F.substring_index("game_id", "#", 1), month_pattern, 1))
-    counts = _month_counts(games.filter(F.col("month") != ""))
-    write_month(counts, monthly_root)
-    return add_to_ledger(spark, ledger_path, archives.select("year_month"))
+    # The run list is capped (max_months), so it may pass through the driver.
+    run = [(r["year_month"], r["path"]) for r in archives.select("year_month", "path").orderBy("year_month").collect()]
+    report = []
+    for month, path in run:
+        try:
+            games = read_games(spark, path, record_sep=record_sep).withColumn("month", F.lit(month))
+            write_month(_month_counts(games), monthly_root)
+            add_to_ledger(spark, ledger_path, spark.createDataFrame([(month,)], LEDGER))
+            report.append((month, "done", None))
+        except Exception as e:  # isolate the month; the others still run
+            report.append((month, "failed", f"{type(e).__name__}: {str(e)[:300]}"))
+    return spark.createDataFrame(report, "year_month string, status string, error string")
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, monthly_root: str, checkpoint: str, *,

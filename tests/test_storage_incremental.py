@@ -115,8 +115,9 @@ def test_batch_ingest_is_idempotent(spark, tmp):
     archives = spark.createDataFrame([("2024-01", paths[0]), ("2024-02", paths[1])], "year_month string, path string")
     monthly, ledger = os.path.join(tmp, "monthly"), os.path.join(tmp, "ledger")
     for _ in range(2):
-        done = ingest(spark, archives, monthly, ledger)
-    assert [r[0] for r in done.collect()] == ["2024-01", "2024-02"]
+        report = ingest(spark, archives, monthly, ledger)
+    assert [(r.year_month, r.status) for r in report.collect()] == [("2024-01", "done"), ("2024-02", "done")]
+    assert [r[0] for r in load_ledger(spark, ledger).collect()] == ["2024-01", "2024-02"]
     view = merge_counts(counts_view(spark, None, monthly))
     e4 = view.filter((F.col("base_fen") == START) & (F.col("move_san") == "e4")).first()
     assert e4.times_played == 5
@@ -134,3 +135,17 @@ def test_stream_ingest_twice_equals_once(spark, tmp):
     batch = count_moves(extract_positions(qualify_games(read_games(spark, src))))
     assert sorted(got.collect()) == sorted(batch.collect())
     assert {r[0] for r in spark.read.parquet(monthly).select("month").distinct().collect()} == {"2024-01", "2024-02"}
+
+
+def test_failed_month_does_not_stop_others(spark, tmp):
+    good = _archive(tmp, "2024-03")
+    bad = os.path.join(tmp, "games_2024-04.pgn.zst")
+    with open(bad, "wb") as f:
+        f.write(b"this is not zstd data at all")
+    archives = spark.createDataFrame([("2024-03", good), ("2024-04", bad)], "year_month string, path string")
+    monthly, ledger = os.path.join(tmp, "monthly"), os.path.join(tmp, "ledger")
+    status = {r.year_month: r.status for r in ingest(spark, archives, monthly, ledger).collect()}
+    assert status == {"2024-03": "done", "2024-04": "failed"}
+    assert [r[0] for r in load_ledger(spark, ledger).collect()] == ["2024-03"]
+    months = {r[0] for r in spark.read.parquet(monthly).select("month").distinct().collect()}
+    assert months == {"2024-03"}
