@@ -124,3 +124,23 @@ def ingest_stream(spark: SparkSession, source_dir: str, monthly_root: str, check
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
     return query
+
+
+def update_months(spark: SparkSession, available: DataFrame, ledger_path: str, archive_dir: str,
+                  monthly_root: str, *, max_months: int = MAX_MONTHS_PER_RUN, dry_run: bool = False):
+    """One scheduled run: catalogue minus ledger, capped, then ingest.
+
+    ``available`` is the (year_month, url) catalogue (``list_months``); each
+    archive is expected in ``archive_dir`` under the url's file name (fetching
+    is outside this library).  ``dry_run`` returns the pending months without
+    reading anything.  Returns (report, months still pending after the cap).
+    """
+    ledger = load_ledger(spark, ledger_path)
+    todo = pending_months(available, ledger)
+    batch = todo.limit(max_months)
+    if dry_run:
+        return batch, None
+    remaining = todo.count() - batch.count()
+    base = archive_dir.rstrip("/") + "/"
+    archives = batch.select("year_month", F.concat(F.lit(base), F.substring_index("url", "/", -1)).alias("path"))
+    return ingest(spark, archives, monthly_root, ledger_path), remaining

@@ -149,3 +149,21 @@ def test_failed_month_does_not_stop_others(spark, tmp):
     assert [r[0] for r in load_ledger(spark, ledger).collect()] == ["2024-03"]
     months = {r[0] for r in spark.read.parquet(monthly).select("month").distinct().collect()}
     assert months == {"2024-03"}
+
+
+def test_update_run_caps_and_reports(spark, tmp):
+    from plyframe.streaming.ingest import update_months
+    archive_dir = os.path.join(tmp, "archives")
+    for m in ("2024-01", "2024-02", "2024-03"):
+        _archive(archive_dir, m)
+    html = "".join(f'<a href="standard/games_{m}.pgn.zst">x</a>' for m in ("2024-01", "2024-02", "2024-03"))
+    available = list_months(spark.createDataFrame([(html,)], "html string"))
+    # Files on disk are plain text named like the listing's .zst links minus the suffix.
+    available = available.withColumn("url", F.regexp_replace("url", r"\.zst$", ""))
+    ledger, monthly = os.path.join(tmp, "ledger"), os.path.join(tmp, "monthly")
+    pending, _ = update_months(spark, available, ledger, archive_dir, monthly, max_months=2, dry_run=True)
+    assert [r.year_month for r in pending.collect()] == ["2024-01", "2024-02"]
+    report, remaining = update_months(spark, available, ledger, archive_dir, monthly, max_months=2)
+    assert [r.status for r in report.collect()] == ["done", "done"] and remaining == 1
+    report, remaining = update_months(spark, available, ledger, archive_dir, monthly, max_months=2)
+    assert [r.year_month for r in report.collect()] == ["2024-03"] and remaining == 0
