@@ -10,7 +10,7 @@ from __future__ import annotations
 from plyframe.functions.columns import BAD_TERMINATIONS
 from plyframe.plans import golden, synth
 from plyframe.plans.queries import (EXPLORE_RANGE, LEDGER_BEFORE, LIMIT_GAMES, NORMALISE_INPUTS,
-                                    PAGE_BASE_URL, REQUEST_ELO_MIN, REQUEST_FENS)
+                                    PAGE_BASE_URL)
 from plyframe.streaming.ingest import ARCHIVE_BASE_URL, MAX_MONTHS_PER_RUN
 
 

@@ -21,9 +21,9 @@ from plyframe.operators.qualify import filter_report, limit_games, qualify_games
 from plyframe.operators.recommend import DEFAULT_ELO_MAX, DEFAULT_ELO_MIN, recommend, top_moves
 from plyframe.plans import synth
 from plyframe.session import scratch_path
-from plyframe.sources.storage import read_counts, read_monthly, write_month, write_sorted
-from plyframe.streaming.ingest import (ARCHIVE_BASE_URL, MAX_MONTHS_PER_RUN, ingest_stream, ledger_union,
-                                       list_links, pending_months)
+from plyframe.sources.storage import read_counts, read_monthly, write_sorted
+from plyframe.streaming.ingest import (MAX_MONTHS_PER_RUN, ingest_stream, ledger_union, list_links,
+                                       pending_months)
 
 ORDER_KEYS = ("o_orderpriority", "price_bucket", "o_orderstatus")
 LEDGER_BEFORE = "1998-01"  # months before this count as already processed
