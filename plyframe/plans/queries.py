@@ -304,16 +304,17 @@ def extraction_delta(spark, sf_dir):
 
 
 def incremental_equals_batch(spark, sf_dir):
-    """Archive text written one file per month, ingested by the streaming path
-    twice (the second run finds nothing new), merged: equals a full recount."""
+    """Archive text written as files under month= folders, ingested by the
+    streaming path twice (the second run finds nothing new), merged: equals a
+    full recount."""
     src = scratch_path(spark, "archive")
     records = synth.archive_records(table(spark, sf_dir, "orders"))
-    records.repartition("month").select("value", "month").write.partitionBy("month").text(src)
+    records.select("value", "month").write.partitionBy("month").text(src)
     monthly = scratch_path(spark, "monthly-counts")
     ckpt = scratch_path(spark, "ingest-ckpt")
     for _ in range(2):
-        ingest_stream(spark, src, monthly, ckpt, path_glob="month=*/*.txt")
-    return merge_counts(read_monthly(spark, monthly).drop("month"))
+        ingest_stream(spark, src, monthly, ckpt, path_glob="month=*/*.txt", max_files_per_trigger=16)
+    return merge_counts(read_monthly(spark, monthly).drop("month", "part"))
 
 
 QUERIES = {

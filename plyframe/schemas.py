@@ -27,7 +27,9 @@ POSITIONS = T.StructType([
     T.StructField("move_san", T.StringType()),
 ])
 
-# M5 / M6: counts per (position, bucket, move); monthly files add `month`.
+# M5 / M6: counts per (position, bucket, move); monthly files add the
+# partition columns `month` and `part` (`full` for a batch month, `b<id>` for
+# a streaming micro-batch).
 COUNT_KEYS = ("base_fen", "player_elo_bucket", "move_san")
 COUNTS = T.StructType([
     T.StructField("base_fen", T.StringType()),
@@ -35,7 +37,9 @@ COUNTS = T.StructType([
     T.StructField("move_san", T.StringType()),
     T.StructField("times_played", T.LongType()),
 ])
-MONTHLY_COUNTS = T.StructType(COUNTS.fields + [T.StructField("month", T.StringType())])
+MONTHLY_COUNTS = T.StructType(COUNTS.fields + [T.StructField("month", T.StringType()),
+                                               T.StructField("part", T.StringType())])
+COVERED = T.StructType([T.StructField("month", T.StringType()), T.StructField("part", T.StringType())])
 
 # Output of the replay UDF.
 PLY = T.StructType([

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.operators.counts import merge_counts
-from plyframe.schemas import COUNTS, LEDGER, MONTHLY_COUNTS, POSITIONS
+from plyframe.schemas import COUNTS, COVERED, MONTHLY_COUNTS, POSITIONS
 
 MAX_RECORDS_PER_FILE = 10_000_000
 # Row groups small enough that a point lookup on the sorted key reads few of them.
@@ -30,17 +30,22 @@ def write_bucketed_counts(counts: DataFrame, path: str, by: str = "player_elo_bu
     counts.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def write_month(counts: DataFrame, root: str, month: str | None = None) -> None:
-    """Replace the ``month=`` partitions present in ``counts`` and nothing else.
+BATCH_PART = "full"
 
-    Dynamic partition overwrite commits per job, so a rerun of a month swaps
-    its partition instead of adding to it.
+
+def write_month(counts: DataFrame, root: str, month: str | None = None, part: str = BATCH_PART) -> None:
+    """Replace the ``month=/part=`` partitions present in ``counts`` and nothing else.
+
+    Dynamic partition overwrite commits per job, so a rerun of a month (or a
+    replayed micro-batch, whose ``part`` is its batch id) swaps its partitions
+    instead of adding to them.  Rows are not moved to one task per month: each
+    writer task writes its own files into every partition it holds.
     """
     if month is not None:
         counts = counts.withColumn("month", F.lit(month))
-    (counts.select(*[f.name for f in MONTHLY_COUNTS.fields])
+    (counts.withColumn("part", F.lit(part)).select(*[f.name for f in MONTHLY_COUNTS.fields])
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("month").parquet(root))
+     .partitionBy("month", "part").parquet(root))
 
 
 def read_monthly(spark: SparkSession, root: str) -> DataFrame | None:
@@ -75,9 +80,9 @@ def merge_months(spark: SparkSession, monthly_root: str, merged_path: str,
     monthly = read_monthly(spark, monthly_root)
     if monthly is None:
         raise FileNotFoundError(monthly_root)
-    merged = merge_counts(monthly.drop("month"))
+    merged = merge_counts(monthly.drop("month", "part"))
     write_sorted(merged, merged_path, partitions)
-    monthly.select(F.col("month").alias("year_month")).distinct() \
+    monthly.select("month", "part").distinct() \
         .write.mode("overwrite").parquet(merged_path.rstrip("/") + "_months")
     return read_counts(spark, merged_path)
 
@@ -86,9 +91,9 @@ def counts_view(spark: SparkSession, merged_path: str | None, monthly_root: str
                 prefer: str = "union") -> DataFrame | None:
     """The counts to answer lookups from, re-resolved on every call.
 
-    ``union``: the merged table plus months written after the last merge
-    (anti-join on the merged table's month list), so new months are visible
-    at once.  ``merged_first``: the merged table alone when present, else all
+    ``union``: the merged table plus month partitions written after the last
+    merge (anti-join on the (month, part) list the merge covered), so new
+    months and new micro-batches are visible at once.  ``merged_first``: the merged table alone when present, else all
     monthly partitions.  None when there is no data at all.
 
     The view is a UNION ALL, not re-aggregated: a key may appear once per
@@ -98,16 +103,15 @@ def counts_view(spark: SparkSession, merged_path: str | None, monthly_root: str
     merged = read_counts(spark, merged_path) if merged_path else None
     monthly = read_monthly(spark, monthly_root) if monthly_root else None
     if merged is None:
-        return None if monthly is None else monthly.drop("month")
+        return None if monthly is None else monthly.drop("month", "part")
     if monthly is None or prefer == "merged_first":
         return merged
     try:
-        covered = spark.read.schema(LEDGER).parquet(merged_path.rstrip("/") + "_months")
+        covered = spark.read.schema(COVERED).parquet(merged_path.rstrip("/") + "_months")
     except AnalysisException:
         covered = None
-    newer = monthly if covered is None else monthly.join(
-        covered.withColumnRenamed("year_month", "month"), "month", "left_anti")
-    return merged.unionByName(newer.drop("month"))
+    newer = monthly if covered is None else monthly.join(covered, ["month", "part"], "left_anti")
+    return merged.unionByName(newer.drop("month", "part"))
 
 
 def head_rows(df: DataFrame, n: int = 10) -> DataFrame:

@@ -104,8 +104,9 @@ def ingest_stream(spark: SparkSession, source_dir: str, monthly_root: str, check
 
     ``availableNow`` drains what is there and stops; the file source's
     checkpoint log is the ledger, so a rerun sees only files added since.
-    Each micro-batch overwrites the months it holds (one file per month), so
-    a replayed batch after a failure rewrites the same partitions.
+    Each micro-batch writes its counts to ``part=b<batch id>`` under every
+    month it holds: a replayed batch after a failure rewrites exactly those
+    partitions, and a month may span any number of files and batches.
     """
     tag = record_sep.lstrip("\n")
     stream = (spark.readStream.option("lineSep", record_sep)
@@ -118,7 +119,7 @@ def ingest_stream(spark: SparkSession, source_dir: str, monthly_root: str, check
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         games = parse_games(batch).select(
             F.lit(None).cast("string").alias("game_id"), "month", "headers", "movetext")
-        write_month(_month_counts(games.filter(F.col("month") != "")), monthly_root)
+        write_month(_month_counts(games.filter(F.col("month") != "")), monthly_root, part=f"b{batch_id:010d}")
 
     query = (records.writeStream.foreachBatch(per_batch)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -167,3 +167,16 @@ def test_update_run_caps_and_reports(spark, tmp):
     assert [r.status for r in report.collect()] == ["done", "done"] and remaining == 1
     report, remaining = update_months(spark, available, ledger, archive_dir, monthly, max_months=2)
     assert [r.year_month for r in report.collect()] == ["2024-03"] and remaining == 0
+
+
+def test_stream_month_split_over_files_and_batches(spark, tmp):
+    src = os.path.join(tmp, "src")
+    for i in range(3):
+        _archive(os.path.join(src, f"x{i}"), "2024-05", n=i + 1)
+    monthly, ckpt = os.path.join(tmp, "monthly"), os.path.join(tmp, "ckpt")
+    ingest_stream(spark, src, monthly, ckpt, path_glob="*/*.pgn", max_files_per_trigger=1)
+    e4 = merge_counts(counts_view(spark, None, monthly)).filter(
+        (F.col("base_fen") == START) & (F.col("move_san") == "e4")).first()
+    assert e4.times_played == 6
+    parts = {r[0] for r in spark.read.parquet(monthly).select("part").distinct().collect()}
+    assert len(parts) == 3
