@@ -313,7 +313,7 @@ def incremental_equals_batch(spark, sf_dir):
     monthly = scratch_path(spark, "monthly-counts")
     ckpt = scratch_path(spark, "ingest-ckpt")
     for _ in range(2):
-        ingest_stream(spark, src, monthly, ckpt, path_glob="month=*/*.txt", max_files_per_trigger=16)
+        ingest_stream(spark, src, monthly, ckpt, path_glob="month=*/*.txt", max_files_per_trigger=40)
     return merge_counts(read_monthly(spark, monthly).drop("month", "part"))
 
 
