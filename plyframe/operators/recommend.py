@@ -133,3 +133,24 @@ def top_moves(counts: DataFrame, fen: str, elo_min: int = DEFAULT_ELO_MIN, elo_m
     # At most k rows: ordering them in one partition avoids a sampled range sort.
     return (top_k_share(hits, ["base_fen"], "move_san", "plays", k)
             .coalesce(1).sortWithinPartitions("rank").select("move_san", "plays", "percentage"))
+
+
+def top_moves_sql(spark, counts: DataFrame, fen: str, elo_min: int = DEFAULT_ELO_MIN,
+                  elo_max: int = DEFAULT_ELO_MAX, k: int = TOP_K, *, normalise: bool = True) -> DataFrame:
+    """The single lookup through the SQL front end with bound parameters (no
+    value is spliced into the text).  Same result as ``top_moves``."""
+    key = normalise_fen(fen) if normalise else fen
+    return spark.sql(
+        """
+        WITH hits AS (
+          SELECT move_san, SUM(times_played) AS plays
+          FROM {counts}
+          WHERE base_fen = :fen AND player_elo_bucket BETWEEN :lo AND :hi
+          GROUP BY move_san)
+        SELECT move_san, CAST(plays AS BIGINT) AS plays,
+               CAST(plays AS DOUBLE) * 100D / CAST(SUM(plays) OVER () AS DOUBLE) AS percentage
+        FROM hits
+        ORDER BY plays DESC, move_san
+        LIMIT :k
+        """,
+        args={"fen": key, "lo": elo_min, "hi": elo_max, "k": k}, counts=counts)

@@ -124,3 +124,10 @@ def test_json_round_trip_and_counters(spark, counts):
     df, obs = observe_games(qualify_games(games, with_reason=True))
     df.write.format("noop").mode("overwrite").save()
     assert obs.get["scanned"] == 2 and obs.get["kept"] == 1 and obs.get["bullet"] == 1
+
+
+def test_sql_lookup_with_bound_parameters(spark, counts):
+    from plyframe.operators.recommend import top_moves_sql
+    a = [tuple(r) for r in top_moves(counts, START + " 0 1", 1000, 2000).collect()]
+    b = [tuple(r) for r in top_moves_sql(spark, counts, START + " 0 1", 1000, 2000).collect()]
+    assert a == b

@@ -73,3 +73,21 @@ def test_castling_and_en_passant_keys(spark):
     assert rows[4]["base_fen"].endswith(" w KQkq d6") and rows[4]["move_san"] == "exd6"
     assert rows[10]["move_san"] == "O-O"
     assert F is not None
+
+
+def test_tokenizer_edge_cases(spark):
+    cases = [
+        ("1. e4 (1. d4 (1. c4 (1. Nf3 (1. g3 (1. b3 e5) d5) Nf6) e5) d5) e5 2. Nf3 *", ["e4", "e5", "Nf3"]),
+        ("1. e4 { unclosed comment 2. d4", ["e4"]),
+        ("1. e4 ; rest of line is a comment 1... e5", ["e4"]),
+        ("1. e4 e5 2. Nf3 Nc6 3. Bc4 Bc5 4. 0-0 Nf6", ["e4", "e5", "Nf3", "Nc6", "Bc4", "Bc5", "0-0", "Nf6"]),
+        ("1. e4! e5!! 2. Nf3?? Nc6!? 3. Bb5?! a6 $14 1-0", ["e4", "e5", "Nf3", "Nc6", "Bb5", "a6"]),
+        ("1. e4 ) e5 2. Nf3", ["e4", "e5", "Nf3"]),
+    ]
+    df = games_df(spark, [(t, "Rated Blitz game", 1500, 1500) for t, _ in cases])
+    got = {r.game_id: r.tokens for r in tokenize_moves(df).collect()}
+    assert [got[str(i)] for i in range(len(cases))] == [want for _, want in cases]
+    rows = extract_positions(df).filter("game_id = '3'").orderBy("ply").collect()
+    assert [r.move_san for r in rows][6] == "O-O"
+    promo = games_df(spark, [("1. a8=q *", "Rated Blitz game", 1500, 1500, "7k/P7/8/8/8/8/8/K7 w - - 0 1")])
+    assert [r.move_san for r in extract_positions(promo).collect()] == ["a8=Q+"]
