@@ -1,0 +1,34 @@
+"""plyframe: game-record analytics as Spark DataFrame / SQL / Streaming jobs.
+
+Typical flow::
+
+    games = qualify_games(read_games(spark, "archives/*.pgn.zst"))
+    counts = count_moves(extract_positions(games))
+    answers = recommend(requests, counts)
+"""
+
+from plyframe.functions.columns import bucket, clean_event, parse_rating, tokens
+from plyframe.operators.counts import (compare_extractions, count_moves, merge_counts, most_played,
+                                       next_item_stats, sequence_steps, top_k_share)
+from plyframe.operators.extract import extract_positions, replay_errors, tokenize_moves
+from plyframe.operators.metrics import observe_games, observe_positions
+from plyframe.operators.qualify import filter_report, limit_games, qualify_games
+from plyframe.operators.recommend import (as_responses, display_share, recommend, requests_from_json,
+                                          responses_to_json, top_moves, top_moves_sql, validate_requests)
+from plyframe.sources.archive import parse_games, read_games, read_records
+from plyframe.sources.storage import (counts_view, merge_months, read_counts, read_monthly, read_positions,
+                                      write_bucketed_counts, write_month, write_positions, write_sorted)
+from plyframe.streaming.ingest import (ingest, ingest_stream, list_links, list_months, load_ledger,
+                                       pending_months, update_months)
+
+__all__ = [
+    "as_responses", "bucket", "clean_event", "compare_extractions", "count_moves", "counts_view",
+    "display_share", "extract_positions", "filter_report", "ingest", "ingest_stream", "limit_games",
+    "list_links", "list_months", "load_ledger", "merge_counts", "merge_months", "most_played",
+    "next_item_stats", "observe_games", "observe_positions", "parse_games", "parse_rating",
+    "pending_months", "qualify_games", "read_counts", "read_games", "read_monthly", "read_positions",
+    "read_records", "recommend", "replay_errors", "requests_from_json", "responses_to_json",
+    "sequence_steps", "tokenize_moves", "tokens", "top_k_share", "top_moves", "top_moves_sql",
+    "update_months", "validate_requests", "write_bucketed_counts", "write_month", "write_positions",
+    "write_sorted",
+]

@@ -96,3 +96,17 @@ def test_rating_text_and_event_cleaning(spark):
     assert rows[0].reject_reason == "rating" and rows[0].white_elo == 0
     assert rows[1].reject_reason is None and rows[1].event == "Rated Blitz tournament"
     assert rows[1].start_fen is None  # empty FEN tag = standard start
+
+
+def test_blank_line_separator_for_games_without_event_first(spark, tmp):
+    text = ('[Site "x"]\n[Event "Rated Blitz game"]\n[WhiteElo "1500"]\n[BlackElo "1500"]\n\n1. e4 e5 1-0\n\n'
+            '[Site "y"]\n[Event "Rated Rapid game"]\n[WhiteElo "1700"]\n[BlackElo "1750"]\n\n1. d4 Nf6 1-0\n')
+    path = _write(tmp, "s.pgn", text * 20)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+        games = qualify_games(read_games(spark, path, record_sep="\n\n["))
+        assert games.count() == 40
+        assert sorted({r.event for r in games.collect()}) == ["Rated Blitz game", "Rated Rapid game"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
