@@ -1,4 +1,4 @@
-"""Session helpers: local session for tests/bench, shared scratch paths, size-checked broadcast."""
+"""Session helpers: local session for tests/bench, shared scratch paths, broadcast bound."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-# Upper bound for sides we broadcast on our own initiative (rows).  Larger
-# sides fall back to a shuffle join (and AQE may still convert it at runtime).
+# Upper bound for sides we broadcast on our own initiative (rows), checked by a
+# bounded count.  Larger sides fall back to a shuffle join (and AQE may still
+# convert it at runtime).
 BROADCAST_MAX_ROWS = 2_000_000
 
 
@@ -54,14 +54,3 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh directory path under the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/plyframe/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` only when it provably holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows; beyond the bound the side is
-    returned unhinted and joins by shuffle.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -24,14 +24,13 @@ def test_count_and_merge_are_consistent(spark):
                                 + [("Rated Blitz game", 1400, START, "d4")] * 2, POSITIONS)
     c = count_moves(pos)
     assert c.agg(F.sum("times_played")).first()[0] == pos.count()
-    a, b = pos.limit(2), pos.subtract(pos.limit(0))
-    merged = merge_counts(count_moves(pos.limit(2)), count_moves(pos.exceptAll(pos.limit(2))))
+    first = pos.limit(2)
+    merged = merge_counts(count_moves(first), count_moves(pos.exceptAll(first)))
     assert sorted(merged.collect()) == sorted(c.collect())
     # Order of merging does not matter.
     m1 = merge_counts(merge_counts(c, c), c)
     m2 = merge_counts(c, merge_counts(c, c))
     assert sorted(m1.collect()) == sorted(m2.collect())
-    assert a is not None and b is not None
 
 
 def test_single_lookup_top5_and_shares(spark, counts):
