@@ -19,7 +19,7 @@ from plyframe.operators.counts import count_moves  # noqa: E402
 from plyframe.operators.extract import extract_positions  # noqa: E402
 from plyframe.operators.qualify import qualify_games  # noqa: E402
 from plyframe.plans import queries as Q  # noqa: E402
-from plyframe.session import local_session, scratch_path  # noqa: E402
+from plyframe.session import local_session, scratch_path, ship_package  # noqa: E402
 from plyframe.sources.storage import merge_months, read_positions, write_month, write_positions  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -59,6 +59,7 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores=cpus, shuffle_partitions=max(8, 2 * int(cpus)))
+    ship_package(spark)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
 
     timings, extra = {}, {}

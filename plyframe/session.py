@@ -54,3 +54,37 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh directory path under the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/plyframe/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``plyframe`` importable in every Python worker of this session.
+
+    The replay and FEN UDFs resolve their helpers by module name on the
+    executors, so the package travels with the job as a zip (``addPyFile``;
+    ``addArtifacts`` on a Spark Connect session).  Done once per application.
+    """
+    import zipfile
+
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:
+        app = spark.conf.get("spark.app.id", None) or str(id(spark))
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="plyframe-pkg-"), "plyframe.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    z.write(full, os.path.join("plyframe", os.path.relpath(full, pkg)))
+    try:
+        spark.sparkContext.addPyFile(path)
+    except Exception:  # Spark Connect
+        spark.addArtifacts(path, pyfile=True)
+    _SHIPPED.add(app)

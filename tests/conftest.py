@@ -12,9 +12,10 @@ SF001 = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from plyframe.session import checkpoint_root, local_session
+    from plyframe.session import checkpoint_root, local_session, ship_package
     s = local_session(cores="*", shuffle_partitions=8)
     checkpoint_root(s)
+    ship_package(s)
     yield s
     s.stop()
 
