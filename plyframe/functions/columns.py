@@ -59,8 +59,12 @@ def url_join(base: str, path) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(col_of(path), "^/+", ""))
 
 
+# The whitespace a line is stripped of (the same set as a regex \s).
+_WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def _strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(_WHITESPACE))
 
 
 def record_games(value) -> Column:
