@@ -12,6 +12,8 @@ from plyframe.session import BROADCAST_MAX_ROWS
 
 # Answers are broadcast back to the requests only below this many rows.
 ANSWERS_BROADCAST_MAX_ROWS = 1_000_000
+# Up to this many distinct lookup keys, their positions filter the counts scan.
+PUSHDOWN_MAX_KEYS = 1_000
 
 # Default rating bounds and answer size of the lookup.
 DEFAULT_ELO_MIN = 0
@@ -75,13 +77,22 @@ def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
                         F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("move_san"),
                         F.lit(None).cast("long").alias("plays"), F.lit(None).cast("double").alias("percentage"))
     keys = v.filter(F.col("error").isNull()).select(*key).distinct()
-    # One bounded count decides both broadcasts: the distinct keys (probe side
-    # is the whole counts table) and the answers (at most k rows per key).
-    n_keys = keys.limit(BROADCAST_MAX_ROWS + 1).count() if broadcast_keys is None else None
+    c = counts.select("base_fen", "player_elo_bucket", "move_san", "times_played")
+    # Bounded checks decide the plan: a few positions are pushed into the
+    # counts scan as an IN list (row groups of the sorted table are skipped by
+    # min/max); the key set is broadcast when provably small (the probe side
+    # is the whole counts table); answers (at most k rows per key) likewise.
+    n_keys = None
+    if broadcast_keys is None:
+        few = keys.limit(PUSHDOWN_MAX_KEYS + 1).collect()
+        if len(few) <= PUSHDOWN_MAX_KEYS:
+            n_keys = len(few)
+            c = c.filter(F.col("base_fen").isin(sorted({r["key_fen"] for r in few})))
+        else:
+            n_keys = keys.limit(BROADCAST_MAX_ROWS + 1).count()
     if broadcast_keys or (n_keys is not None and n_keys <= BROADCAST_MAX_ROWS):
         keys = F.broadcast(keys)
     small_answers = n_keys is not None and n_keys * k <= ANSWERS_BROADCAST_MAX_ROWS
-    c = counts.select("base_fen", "player_elo_bucket", "move_san", "times_played")
     matched = c.join(keys, (c["base_fen"] == keys["key_fen"])
                      & c["player_elo_bucket"].between(keys["lo"], keys["hi"]))
     top = top_k_share(matched.withColumnRenamed("times_played", "plays"), key, "move_san", "plays", k)
