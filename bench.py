@@ -55,6 +55,29 @@ def _kernel_rate(seconds: float = 2.0) -> int:
     return round(n / (time.perf_counter() - t0))
 
 
+def _scan_rows(df) -> int:
+    """Rows produced by the file scans of an executed plan (SQL metric)."""
+    total, stack = 0, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            stack.append(node.executedPlan())
+            continue
+        if "Scan" in node.nodeName():
+            metrics = node.metrics()
+            if metrics.contains("numOutputRows"):
+                total += metrics.apply("numOutputRows").value()
+        children = node.children()
+        for i in range(children.size()):
+            stack.append(children.apply(i))
+        if node.nodeName() in ("InputAdapter", "WholeStageCodegen") or "QueryStage" in node.nodeName():
+            try:
+                stack.append(node.plan())
+            except Exception:
+                pass
+    return total
+
+
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -93,6 +116,20 @@ def main():
 
     timed("count_merge", count_merge)
 
+    # Point lookup on a position-sorted table (context -> item counts over the
+    # whole lineitem table, range-partitioned and sorted like the merged
+    # table): time and the share of stored rows the Parquet scan returns after
+    # row-group skipping.
+    from plyframe.operators.recommend import top_moves
+    from plyframe.sources.storage import read_counts, write_sorted
+    sorted_path = scratch_path(spark, "bench-sorted")
+    timed("sorted_write", lambda: write_sorted(Q.lineitem_counts(spark, sf_dir), sorted_path,
+                                               partitions=2 * int(cpus)))
+    lookup = top_moves(read_counts(spark, sorted_path), "777", 0, 3000, normalise=False)
+    timed("sorted_lookup", lambda: lookup.collect())
+    stored = read_counts(spark, sorted_path).count()
+    extra["lookup_rows_scanned_fraction"] = round(_scan_rows(lookup) / stored, 4) if stored else None
+
     for name in ("game_positions", "pgn_flagship", "request_errors", "merged_sorted_lookup",
                  "top5_share_batch", "event_transitions", "conversation_transitions", "move_tokens",
                  "bucket_counts", "most_played", "list_months", "extraction_delta"):
