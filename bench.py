@@ -1,6 +1,7 @@
 """Headline benchmark: prints one JSON line.
 
-Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
+Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
+BENCH_EVENT_LOG=1 writes Spark's event log (stage/task times) to a fresh folder.
 Each query runs to completion through the ``noop`` sink (nothing collected);
 ``extract_write`` and ``count_merge`` time the extraction and counting stages
 with their Parquet writes, the way the published stage timings do.
@@ -81,7 +82,11 @@ def _scan_rows(df) -> int:
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cores=cpus, shuffle_partitions=max(8, 2 * int(cpus)))
+    event_log = None
+    if os.environ.get("BENCH_EVENT_LOG"):
+        import tempfile
+        event_log = tempfile.mkdtemp(prefix="plyframe-events-")
+    spark = local_session(cores=cpus, shuffle_partitions=max(8, 2 * int(cpus)), event_log_dir=event_log)
     ship_package(spark)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
 
@@ -138,6 +143,8 @@ def main():
     extra["kernel_uncached_plies_per_sec_per_core"] = _kernel_rate()
 
     total = round(sum(timings.values()), 3)
+    if event_log:
+        extra["event_log"] = event_log
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec",
                       "queries": timings, "sf": sf, "cpus": int(cpus), **extra}))
     spark.stop()

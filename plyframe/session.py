@@ -14,8 +14,12 @@ from pyspark.sql import SparkSession
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "plyframe") -> SparkSession:
-    """A local session for tests and the bench (UI off, AQE on)."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "plyframe",
+                  event_log_dir: str | None = None) -> SparkSession:
+    """A local session for tests and the bench (UI off, AQE on).
+
+    ``event_log_dir`` turns on Spark's event log there (stage and task times
+    without the web UI)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.ui.enabled", "false")
                .config("spark.driver.bindAddress", "127.0.0.1")
@@ -25,6 +29,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.driver.memory", os.environ.get("PLYFRAME_DRIVER_MEMORY", "8g")))
+    if event_log_dir:
+        os.makedirs(event_log_dir, exist_ok=True)
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
