@@ -52,7 +52,7 @@ def read_records(spark: SparkSession, paths, record_sep: str = RECORD_SEP) -> Da
 
 def read_games(spark: SparkSession, paths, *, record_sep: str = RECORD_SEP,
                partitions: int | None = None) -> DataFrame:
-    """Archive files -> games(raw) with ``game_id`` = ``file#record.index``.
+    """Archive files -> games(raw) with ``game_id`` = ``file#record.index`` (zero-padded).
 
     Compressed files are one task each; their raw records are spread over
     ``partitions`` (default: the cluster's parallelism) before parsing, so the
@@ -60,8 +60,9 @@ def read_games(spark: SparkSession, paths, *, record_sep: str = RECORD_SEP,
     """
     plist = [paths] if isinstance(paths, str) else list(paths)
     games = parse_games(spread(read_records(spark, plist, record_sep), "record_id", partitions))
+    # Zero-padded so that ordering by game_id follows the order records were read.
     games = games.select(
-        F.concat_ws("#", "file", F.concat_ws(".", F.col("record_id").cast("string"),
-                                             F.col("game_index").cast("string"))).alias("game_id"),
+        F.concat_ws("#", "file", F.concat_ws(".", F.lpad(F.col("record_id").cast("string"), 20, "0"),
+                                             F.lpad(F.col("game_index").cast("string"), 6, "0"))).alias("game_id"),
         "headers", "movetext")
     return games
