@@ -116,4 +116,4 @@ def test_game_ids_follow_file_order(spark, tmp):
     games = [VALID.replace("1. e4 e5", f"1. e4 e5 2. Nf3 Nc6 {i}. a3") for i in range(3, 15)]
     path = _write(tmp, "o.pgn", "".join(games))
     first = limit_games(qualify_games(read_games(spark, path)), 5).collect()
-    assert [r.movetext.split()[-2] for r in first] == ["3.", "4.", "5.", "6.", "7."]
+    assert [r.movetext.split()[-3] for r in first] == ["3.", "4.", "5.", "6.", "7."]
