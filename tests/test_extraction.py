@@ -88,3 +88,15 @@ def test_tokenizer_edge_cases(spark):
     assert [r.move_san for r in rows][6] == "O-O"
     promo = games_df(spark, [("1. a8=q *", "Rated Blitz game", 1500, 1500, "7k/P7/8/8/8/8/8/K7 w - - 0 1")])
     assert [r.move_san for r in extract_positions(promo).collect()] == ["a8=Q+"]
+
+
+def test_null_moves_and_drops(spark):
+    df = games_df(spark, [("1. e4 -- 2. d4 e5 3. Z0 Nc6 *", "Rated Blitz game", 1500, 1500),
+                          ("1. e4 e5 2. N@f3 Nc6 *", "Rated Blitz game", 1500, 1500)])
+    rows = _rows(extract_positions(df))
+    first = [(r["move_san"], r["base_fen"].split(" ")[1]) for r in rows if r["game_id"] == "0"]
+    assert first == [("e4", "w"), ("--", "b"), ("d4", "w"), ("e5", "b"), ("--", "w"), ("Nc6", "b")]
+    assert rows[2]["base_fen"] == "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR w KQkq -"
+    assert [r["move_san"] for r in rows if r["game_id"] == "1"] == ["e4", "e5"]  # a drop ends the game
+    strict = tokenize_moves(df, "strict").orderBy("game_id").collect()
+    assert strict[0].tokens == ["e4", "--", "d4", "e5", "Z0", "Nc6"] and strict[1].tokens == ["e4", "e5"]
