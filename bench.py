@@ -140,6 +140,10 @@ def main():
                  "bucket_counts", "most_played", "list_months", "extraction_delta"):
         timed(name, lambda n=name: _run(Q.QUERIES[n](spark, sf_dir)))
 
+    # Positions the strict tokenizer loses against the lenient (default) one.
+    delta = Q.extraction_delta(spark, sf_dir).first()
+    extra["strict_positions_lost_pct"] = round(100.0 * delta["only_b"] / delta["rows_b"], 2) if delta["rows_b"] else None
+
     extra["kernel_uncached_plies_per_sec_per_core"] = _kernel_rate()
 
     total = round(sum(timings.values()), 3)
