@@ -76,12 +76,12 @@ def sequence_steps(df: DataFrame, by, order, item: str, *, max_steps: int = 40,
     ``max_steps`` rows per task before shuffling (a hot sequence cannot flood
     one task); the lags then run on at most ``max_steps`` rows per sequence.
     """
+    if not isinstance(max_steps, int) or max_steps < 1:
+        raise ValueError("max_steps must be a positive int: the cap keeps every sequence's window bounded")
     by = [by] if isinstance(by, str) else list(by)
     order = [order] if isinstance(order, (str, Column)) else list(order)
     w = Window.partitionBy(*by).orderBy(*order)
-    ranked = df.withColumn("_rn", F.row_number().over(w))
-    if max_steps is not None:
-        ranked = ranked.filter(F.col("_rn") <= max_steps)
+    ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_steps)
     first = ranked.withColumn("step", F.col("_rn") - 1).drop("_rn")
     w2 = Window.partitionBy(*by).orderBy("step")
     ctx = F.concat_ws(sep, *[F.lag(item, i).over(w2) for i in range(context_len, 0, -1)])
