@@ -21,7 +21,9 @@ def _replayed(games: DataFrame, mode: str, max_plies: int, partitions: int | Non
               pinned: bool = False) -> DataFrame:
     df = tokenize_moves(games, mode, max_plies).drop("movetext")
     if partitions:
-        df = df.repartition(partitions)
+        # Hash on the game id: deterministic on retry without the local sort a
+        # round-robin repartition needs.
+        df = df.repartition(partitions, "game_id") if "game_id" in df.columns else df.repartition(partitions)
     return df.withColumn("_r", replay_udf(max_plies, pinned)(F.col("start_fen"), F.col("tokens")))
 
 
