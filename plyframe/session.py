@@ -82,6 +82,8 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
+    # Driver-side artifact only: Spark itself serves it to every executor, so
+    # it is not job data and needs no shared folder.
     path = os.path.join(tempfile.mkdtemp(prefix="plyframe-pkg-"), "plyframe.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for root, dirs, files in os.walk(pkg):
