@@ -84,10 +84,15 @@ def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
     # is the whole counts table); answers (at most k rows per key) likewise.
     n_keys = None
     if broadcast_keys is None:
-        n_keys = keys.limit(BROADCAST_MAX_ROWS + 1).count()
-        if n_keys <= PUSHDOWN_MAX_KEYS:
-            fens = sorted({r["key_fen"] for r in keys.select("key_fen").collect()})
-            c = c.filter(F.col("base_fen").isin(fens))
+        few = keys.limit(PUSHDOWN_MAX_KEYS + 1).collect()
+        if len(few) <= PUSHDOWN_MAX_KEYS:
+            # At most PUSHDOWN_MAX_KEYS rows: they become the broadcast side
+            # directly, so the main job does not recompute the request keys.
+            n_keys = len(few)
+            c = c.filter(F.col("base_fen").isin(sorted({r["key_fen"] for r in few})))
+            keys = requests.sparkSession.createDataFrame(few, keys.schema)
+        else:
+            n_keys = keys.limit(BROADCAST_MAX_ROWS + 1).count()
     if broadcast_keys or (n_keys is not None and n_keys <= BROADCAST_MAX_ROWS):
         keys = F.broadcast(keys)
     small_answers = n_keys is not None and n_keys * k <= ANSWERS_BROADCAST_MAX_ROWS
