@@ -13,7 +13,8 @@ from plyframe.operators.recommend import top_moves
 from plyframe.schemas import COUNTS
 from plyframe.sources.archive import read_games
 from plyframe.sources.storage import (counts_view, head_rows, merge_months, read_counts, read_positions,
-                                      row_at, write_month, write_positions, write_sorted)
+                                      row_at, write_bucketed_counts, write_month, write_positions,
+                                      write_sorted)
 from plyframe.streaming.ingest import (add_to_ledger, ingest, ingest_stream, list_months, load_ledger,
                                        pending_months)
 
@@ -61,7 +62,8 @@ def test_sorted_table_and_pushed_lookup(spark, tmp):
 def test_bucket_partition_pruning(spark, tmp):
     rows = [(START, b, "e4", 1) for b in (1400, 1500, 1600)]
     path = os.path.join(tmp, "bucketed")
-    spark.createDataFrame(rows, COUNTS).write.partitionBy("player_elo_bucket").parquet(path)
+    write_bucketed_counts(spark.createDataFrame(rows, COUNTS), path)
+    assert sorted(os.listdir(path))[:3] == ["_SUCCESS", "player_elo_bucket=1400", "player_elo_bucket=1500"]
     df = spark.read.parquet(path).filter(F.col("player_elo_bucket") == 1500)
     assert "PartitionFilters: [isnotnull(player_elo_bucket" in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 1
