@@ -99,7 +99,8 @@ def main():
 
     # Warm-up: JVM code paths and the Python workers (a per-executor fixed cost).
     _run(Q.bucket_counts(spark, sf_dir))
-    _run(Q.game_positions(spark, "/root/testdata/sf0.001"))
+    small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    _run(Q.game_positions(spark, small if os.path.isdir(small) else sf_dir))
 
     games = qualify_games(Q.pgn_games(spark, sf_dir))
     positions_dir = scratch_path(spark, "bench-positions")
