@@ -196,3 +196,16 @@ def test_batch_lookup_pushes_few_positions_into_the_scan(spark, tmp):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "In(base_fen, [fen0007,fen0300])" in plan
     assert sorted((r.request_id, r.plays) for r in out.collect()) == [(1, 7), (2, 300), (3, 7)]
+
+
+def test_stream_ingest_reads_zstd_archives(spark, tmp):
+    import zstandard
+    src = os.path.join(tmp, "src")
+    os.makedirs(src)
+    with open(os.path.join(src, "games_2024-06.pgn.zst"), "wb") as f:
+        f.write(zstandard.ZstdCompressor().compress((GAME * 4).encode()))
+    monthly, ckpt = os.path.join(tmp, "monthly"), os.path.join(tmp, "ckpt")
+    ingest_stream(spark, src, monthly, ckpt, path_glob="*.zst")
+    e4 = merge_counts(counts_view(spark, None, monthly)).filter(
+        (F.col("base_fen") == START) & (F.col("move_san") == "e4")).first()
+    assert e4.times_played == 4
