@@ -260,9 +260,12 @@ def replay_quarantine(spark, sf_dir):
 def pgn_flagship(spark, sf_dir):
     """Opening book: for every position, the top five moves over the default
     rating range with their share of all moves played there."""
-    counts = pgn_counts(spark, sf_dir)
-    stats = (counts.filter(F.col("player_elo_bucket").between(DEFAULT_ELO_MIN, DEFAULT_ELO_MAX))
-             .withColumnRenamed("times_played", "plays"))
+    # Straight from positions: the grouping-sets aggregate inside top_k_share
+    # counts per (position, move) with map-side combining, so no separate
+    # count stage (and its shuffle) is needed.
+    positions = pgn_positions(spark, sf_dir)
+    stats = (positions.filter(F.col("player_elo_bucket").between(DEFAULT_ELO_MIN, DEFAULT_ELO_MAX))
+             .select("base_fen", "move_san", F.lit(1).cast("long").alias("plays")))
     return top_k_share(stats, ["base_fen"], "move_san", "plays", 5).select(
         "base_fen", "rank", "move_san", "plays", "percentage")
 
