@@ -58,12 +58,21 @@ def top_k_share(stats: DataFrame, group_cols, item_col: str, weight_col: str, k:
 
 
 def next_item_stats(df: DataFrame, context: str, item: str, *, bucket: str | None = None,
-                    weight: str | None = None, k: int = 5) -> DataFrame:
-    """Counts of ``item`` per ``context`` (and bucket) -> top ``k`` with shares per context."""
-    keys = [context] + ([bucket] if bucket else []) + [item]
-    agg = (F.count(F.lit(1)) if weight is None else F.sum(weight)).cast("long").alias("plays")
-    per_bucket = df.groupBy(*keys).agg(agg)
-    return top_k_share(per_bucket, [context], item, "plays", k)
+                    lo: int | None = None, hi: int | None = None, weight: str | None = None,
+                    k: int = 5) -> DataFrame:
+    """Top ``k`` items per context with their share of the context's total:
+    the lookup made column-generic.  ``bucket`` with ``lo``/``hi`` keeps an
+    inclusive range (as rating buckets are in the lookup); ``weight`` sums a
+    column instead of counting rows.  One aggregation (see ``top_k_share``)."""
+    if bucket is not None and (lo is not None or hi is not None):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col(bucket) >= lo)
+        if hi is not None:
+            cond = cond & (F.col(bucket) <= hi)
+        df = df.filter(cond)
+    plays = (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("plays")
+    return top_k_share(df.select(context, item, plays), [context], item, "plays", k)
 
 
 def sequence_steps(df: DataFrame, by, order, item: str, *, max_steps: int = 40,

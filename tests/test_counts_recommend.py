@@ -130,3 +130,10 @@ def test_sql_lookup_with_bound_parameters(spark, counts):
     a = [tuple(r) for r in top_moves(counts, START + " 0 1", 1000, 2000).collect()]
     b = [tuple(r) for r in top_moves_sql(spark, counts, START + " 0 1", 1000, 2000).collect()]
     assert a == b
+
+
+def test_next_item_stats_bucket_range(spark, counts):
+    rows = next_item_stats(counts, "base_fen", "move_san", bucket="player_elo_bucket", lo=1000, hi=2000,
+                           weight="times_played").filter(F.col("base_fen") == START).orderBy("rank").collect()
+    assert [r.move_san for r in rows] == ["e4", "d4", "Nf3", "b3", "g3"]
+    assert rows[0].percentage == pytest.approx(80 * 100.0 / 150)
