@@ -1,6 +1,7 @@
 """Property tests (hypothesis): random legal playouts through the kernel and the job."""
 
 from hypothesis import given, settings
+from pyspark.sql import functions as F
 from hypothesis import strategies as st
 
 from plyframe.functions.board import START_FEN, Position, Replayer
@@ -68,3 +69,28 @@ def test_annotated_random_games_through_the_job(spark):
     for r in extract_positions(games_df(spark, games)).orderBy("game_id", "ply").collect():
         got.setdefault(r.game_id, []).append((r.base_fen, r.move_san))
     assert {k: v for k, v in expected.items() if v} == got
+
+
+def test_malformed_archive_text_never_fails_the_job(spark):
+    """Random text made of PGN-significant characters runs through every stage without an error."""
+    import random
+
+    from plyframe.operators.counts import count_moves
+    from plyframe.operators.extract import extract_positions, replay_errors
+    from plyframe.operators.qualify import qualify_games
+    from plyframe.sources.archive import parse_games
+
+    rnd = random.Random(11)
+    alphabet = list('[]"{}()$;*?!.-=+#/ \n\t\r') + list("abcdefgh12345678NBRQKOxZ0") + ["é", " ", "Event", "Elo"]
+    records = []
+    for _ in range(300):
+        body = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 400)))
+        head = rnd.choice(['', '[Event "Rated Blitz game"]\n[WhiteElo "1500"]\n[BlackElo "1600"]\n',
+                           '[FEN "' + "".join(rnd.choice(alphabet) for _ in range(30)) + '"]\n'
+                           '[WhiteElo "1500"]\n[BlackElo "1600"]\n'])
+        records.append((head + body,))
+    df = spark.createDataFrame(records, "value string").repartition(4)
+    games = qualify_games(parse_games(df).withColumn("game_id", F.col("game_index").cast("string")))
+    for mode in ("lenient", "strict"):
+        count_moves(extract_positions(games, mode=mode)).write.format("noop").mode("overwrite").save()
+    replay_errors(games).write.format("noop").mode("overwrite").save()
