@@ -57,7 +57,7 @@ def _normalise_one(fen):
             if not isinstance(fen, str) or not fen.strip():
                 raise ValueError("missing")
             hit = (Position.from_fen(fen).base_fen(), None)
-        except ValueError:
+        except Exception:  # any failure marks this request only, never the job
             hit = (None, "invalid_fen")
         if len(_NORMALISED) >= _NORMALISED_MAX:
             _NORMALISED.clear()
@@ -86,7 +86,7 @@ def sequence_fen_udf(moves: pd.Series) -> pd.DataFrame:
         try:
             out.append(play_sequence(seq or ""))
             errs.append(None)
-        except ValueError:
+        except Exception:  # any failure marks this row only, never the job
             out.append(None)
             errs.append("invalid_move_sequence")
     return pd.DataFrame({"fen": out, "error": errs})
