@@ -25,6 +25,11 @@ from plyframe.sources.storage import merge_months, read_positions, write_month,
 from pyspark.sql import functions as F  # noqa: E402
 
 
+# The reference's published stage-1 throughput and its core count.
+REFERENCE_GAMES_PER_SEC = 513.0
+REFERENCE_CORES = 16
+
+
 def _run(df):
     df.write.format("noop").mode("overwrite").save()
 
@@ -111,6 +116,10 @@ def main():
     extra["positions"] = n_pos
     extra["games_per_sec"] = round(n_games / timings["extract_write"], 1)
     extra["positions_per_sec"] = round(n_pos / timings["extract_write"], 1)
+    extra["games_per_sec_per_core"] = round(extra["games_per_sec"] / int(cpus), 1)
+    # Published stage-1 rate of the reference (process pool, 16 logical cores).
+    extra["reference_games_per_sec"] = REFERENCE_GAMES_PER_SEC
+    extra["reference_games_per_sec_per_core"] = round(REFERENCE_GAMES_PER_SEC / REFERENCE_CORES, 1)
 
     monthly = scratch_path(spark, "bench-monthly")
     merged = scratch_path(spark, "bench-merged")
