@@ -10,7 +10,7 @@ from __future__ import annotations
 from plyframe.functions.columns import BAD_TERMINATIONS
 from plyframe.plans import golden, synth
 from plyframe.plans.queries import (EXPLORE_RANGE, LEDGER_BEFORE, LIMIT_GAMES, NORMALISE_INPUTS,
-                                    PAGE_BASE_URL)
+                                    PAGE_BASE_URL, ROW_INDEX)
 from plyframe.streaming.ingest import ARCHIVE_BASE_URL, MAX_MONTHS_PER_RUN
 
 
@@ -258,6 +258,10 @@ GROUP BY path"""
     sql["ledger_add"] = f"""WITH {_months_cte()}
 SELECT year_month FROM ledger UNION SELECT year_month FROM pending"""
     sql["incremental_equals_batch"] = _COUNTS_SQL + "\nSELECT * FROM counts"
+    sql["positions_roundtrip"] = _COUNTS_SQL + "\nSELECT * FROM counts"
+    sql["counts_view_months"] = _COUNTS_SQL + "\nSELECT * FROM counts"
+    sql["sorted_row_at"] = _COUNTS_SQL + f"""
+SELECT * FROM counts ORDER BY base_fen, player_elo_bucket, move_san LIMIT 1 OFFSET {ROW_INDEX}"""
     strict = _positions_sql(strict=True)
     sql["extraction_delta"] = f"""WITH s AS ({strict} SELECT * FROM positions),
 l AS ({pos} SELECT * FROM positions)

@@ -21,13 +21,16 @@ from plyframe.operators.qualify import filter_report, limit_games, qualify_games
 from plyframe.operators.recommend import DEFAULT_ELO_MAX, DEFAULT_ELO_MIN, recommend, top_moves
 from plyframe.plans import synth
 from plyframe.session import scratch_path
-from plyframe.sources.storage import read_counts, read_monthly, write_sorted
+from plyframe.sources.storage import (counts_view, merge_months, read_counts, read_monthly, read_positions,
+                                      row_at, write_month, write_positions, write_sorted)
 from plyframe.streaming.ingest import (MAX_MONTHS_PER_RUN, ingest_stream, ledger_union, list_links,
                                        pending_months)
 
 ORDER_KEYS = ("o_orderpriority", "price_bucket", "o_orderstatus")
 LEDGER_BEFORE = "1998-01"  # months before this count as already processed
 LIMIT_GAMES = 100
+POSITION_FILE_ROWS = 5_000  # small cap so the round trip spans many files
+ROW_INDEX = 35
 PAGE_LINK_PATTERN = r'href="(/[^"]+)"'
 PAGE_BASE_URL = "https://example.org/"
 
@@ -306,6 +309,32 @@ def extraction_delta(spark, sf_dir):
     return compare_extractions(extract_positions(games, mode="strict"), extract_positions(games))
 
 
+def positions_roundtrip(spark, sf_dir):
+    """Positions written as bounded files (many per task), read back, counted."""
+    path = scratch_path(spark, "positions")
+    write_positions(pgn_positions(spark, sf_dir), path, max_records=POSITION_FILE_ROWS)
+    return count_moves(read_positions(spark, path))
+
+
+def counts_view_months(spark, sf_dir):
+    """Months before 1998 counted and merged; later months written after the
+    merge; the lookup view (merged UNION ALL newer months) sums to the full count."""
+    games = qualify_games(synth.synth_games(spark, sf_dir, with_month=True))
+    monthly = count_moves(extract_positions(games), keys=("month", "base_fen", "player_elo_bucket", "move_san"))
+    root, merged = scratch_path(spark, "view-monthly"), scratch_path(spark, "view-merged")
+    write_month(monthly.filter(F.col("month") < LEDGER_BEFORE), root)
+    merge_months(spark, root, merged)
+    write_month(monthly.filter(F.col("month") >= LEDGER_BEFORE), root)
+    return merge_counts(counts_view(spark, merged, root))
+
+
+def sorted_row_at(spark, sf_dir):
+    """Positional access on the position-sorted merged table (row 35 in key order)."""
+    path = scratch_path(spark, "row-at")
+    write_sorted(pgn_counts(spark, sf_dir), path)
+    return row_at(read_counts(spark, path), ROW_INDEX, ["base_fen", "player_elo_bucket", "move_san"])
+
+
 def incremental_equals_batch(spark, sf_dir):
     """Archive text written as files under month= folders, ingested by the
     streaming path twice (the second run finds nothing new), merged: equals a
@@ -347,5 +376,8 @@ QUERIES = {
     "pending_months": pending_months_q,
     "ledger_add": ledger_add,
     "incremental_equals_batch": incremental_equals_batch,
+    "positions_roundtrip": positions_roundtrip,
+    "counts_view_months": counts_view_months,
+    "sorted_row_at": sorted_row_at,
     "extraction_delta": extraction_delta,
 }

@@ -86,15 +86,16 @@ def archive_records(orders: DataFrame) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("game_key"), month().alias("month"), value.alias("value"))
 
 
-def games_from_records(records: DataFrame) -> DataFrame:
+def games_from_records(records: DataFrame, with_month: bool = False) -> DataFrame:
     """Parsed records -> games(raw) keyed by the Site tag's trailing id."""
     from plyframe.sources.archive import parse_games
     g = parse_games(records)
     site = F.try_element_at("headers", F.lit("Site"))
-    return g.select(F.substring_index(site, "/", -1).alias("game_id"), "headers", "movetext")
+    return g.select(F.substring_index(site, "/", -1).alias("game_id"), *(["month"] if with_month else []),
+                    "headers", "movetext")
 
 
-def synth_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+def synth_games(spark: SparkSession, sf_dir: str, with_month: bool = False) -> DataFrame:
     from plyframe.sources.archive import spread
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return games_from_records(spread(archive_records(orders), "game_key"))
+    return games_from_records(spread(archive_records(orders), "game_key"), with_month)
