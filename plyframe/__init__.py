@@ -8,6 +8,7 @@ Typical flow::
 """
 
 from plyframe.functions.columns import bucket, clean_event, parse_rating, tokens
+from plyframe.functions.sql import register_sql_functions
 from plyframe.operators.counts import (compare_extractions, count_moves, merge_counts, most_played,
                                        next_item_stats, sequence_steps, top_k_share)
 from plyframe.operators.extract import extract_positions, replay_errors, tokenize_moves
@@ -27,7 +28,7 @@ __all__ = [
     "list_links", "list_months", "load_ledger", "merge_counts", "merge_months", "most_played",
     "next_item_stats", "observe_games", "observe_positions", "parse_games", "parse_rating",
     "pending_months", "qualify_games", "read_counts", "read_games", "read_monthly", "read_positions",
-    "read_records", "recommend", "replay_errors", "requests_from_json", "responses_to_json",
+    "read_records", "recommend", "register_sql_functions", "replay_errors", "requests_from_json", "responses_to_json",
     "sequence_steps", "tokenize_moves", "tokens", "top_k_share", "top_moves", "top_moves_sql",
     "update_months", "validate_requests", "write_bucketed_counts", "write_month", "write_positions",
     "write_sorted",

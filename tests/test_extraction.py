@@ -100,3 +100,26 @@ def test_null_moves_and_drops(spark):
     assert [r["move_san"] for r in rows if r["game_id"] == "1"] == ["e4", "e5"]  # a drop ends the game
     strict = tokenize_moves(df, "strict").orderBy("game_id").collect()
     assert strict[0].tokens == ["e4", "--", "d4", "e5", "Z0", "Nc6"] and strict[1].tokens == ["e4", "e5"]
+
+
+def test_sql_functions_match_dataframe_api(spark):
+    from plyframe.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    texts = ["1. e4?! { c } 1... e5 $1 2. Nf3 (2. Bc4 (2. d4 d5) Nf6) 2... Nc6 1-0",
+             "1. e4 e5 2. Qxe5 Nc6 1-0", "not a real pgn @@@", "1. f3 e5 2. g4 Qh4# 0-1"]
+    df = games_df(spark, [(t, "Rated Blitz game", 1500, 1500) for t in texts])
+    df.createOrReplaceTempView("sql_games")
+    for mode in ("lenient", "strict"):
+        got = {r.game_id: r.t for r in spark.sql(f"SELECT game_id, {mode}_tokens(movetext) AS t FROM sql_games").collect()}
+        want = {r.game_id: r.tokens for r in tokenize_moves(df, mode).collect()}
+        assert got == want
+    rows = spark.sql("""SELECT game_id, ply, move_san FROM (
+                          SELECT game_id, inline_outer(r.plies) FROM (
+                            SELECT game_id, replay_moves(start_fen, toks) AS r FROM (
+                              SELECT game_id, start_fen, lenient_tokens(movetext) AS toks FROM sql_games)))
+                        WHERE ply IS NOT NULL""").collect()
+    api = extract_positions(df).select("game_id", "ply", "move_san").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, api))
+    fen = spark.sql("SELECT normalise_fen('rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq e3 0 1').fen AS f").first().f
+    assert fen == "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq -"
+    assert " b " in spark.sql("SELECT sequence_fen('e4 e5 Nf3').fen AS f").first().f
