@@ -72,28 +72,36 @@ def _strip_ws(c: Column) -> Column:
 def record_games(value) -> Column:
     """Fold the lines of one archive record into ``array<struct<headers, movetext>>``.
 
-    Tag lines ``[Key "Value"]`` update a running header map (a repeated key
+    Tag lines ``[Key "Value"]`` add to the running headers (a repeated key
     keeps the last value); every other non-blank line is one game's movetext
-    and resets the headers.  Pure SQL higher-order functions, no Python.
+    and resets the headers.  Pure SQL higher-order functions, no Python.  Tags
+    are collected as an array and turned into a map once per game; only a game
+    with a repeated key pays for the last-wins filter.
     """
     lines = F.filter(F.transform(F.split(col_of(value), "\n"), _strip_ws), lambda l: l != F.lit(""))
-    empty_map = F.create_map().cast("map<string,string>")
+    empty_tags = F.array().cast("array<struct<k:string,v:string>>")
     empty_games = F.array().cast("array<struct<headers:map<string,string>,movetext:string>>")
 
+    def headers_of(tags):
+        keys = F.transform(tags, lambda e: e["k"])
+        last_wins = F.filter(tags, lambda e, i: ~F.exists(F.slice(tags, i + 2, F.size(tags) + 1),
+                                                          lambda x: x["k"] == e["k"]))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), tags)
+                                  .otherwise(last_wins))
+
     def step(acc, line):
         space = F.instr(line, " ")
         key = F.substring(line, F.lit(2), space - 2)
         val = F.trim(F.substring(line, space + 1, F.length(line)), F.lit('"]'))
-        with_tag = F.struct(
-            F.map_concat(F.map_filter(acc["h"], lambda k, v: k != key), F.create_map(key, val)).alias("h"),
-            acc["g"].alias("g"))
-        new_game = F.struct(
-            empty_map.alias("h"),
-            F.array_append(acc["g"], F.struct(acc["h"].alias("headers"), line.alias("movetext"))).alias("g"))
+        with_tag = F.struct(F.array_append(acc["h"], F.struct(key.alias("k"), val.alias("v"))).alias("h"),
+                            acc["g"].alias("g"))
+        new_game = F.struct(empty_tags.alias("h"),
+                            F.array_append(acc["g"], F.struct(headers_of(acc["h"]).alias("headers"),
+                                                              line.alias("movetext"))).alias("g"))
         return (F.when(line.startswith("["), F.when(space > 0, with_tag).otherwise(acc))
                 .otherwise(new_game))
 
-    return F.aggregate(lines, F.struct(empty_map.alias("h"), empty_games.alias("g")), step,
+    return F.aggregate(lines, F.struct(empty_tags.alias("h"), empty_games.alias("g")), step,
                        lambda acc: acc["g"])
 
 
