@@ -21,7 +21,11 @@ STRICT_RESULT = r"\b(?:1-0|0-1|1/2-1/2|\*)\b"
 # Lenient tokenizer: SAN-shaped words, null moves, drops (illegal on a standard
 # board, so they end the game) and variation brackets; everything else (move
 # numbers, results, glyphs, suffixes like ?! and +) is skipped.
-LENIENT_TOKEN = (r"(\(|\)|O-O-O|O-O|0-0-0|0-0|--|Z0|0000|@@@@|[PNBRQK]?@[a-h][1-8]"
+# The leading lookahead lists every character a token can start with, so the
+# matcher rejects other positions (spaces, dots, '9', '$', '?', ...) with one
+# check instead of trying each alternative there; the matches are unchanged.
+LENIENT_TOKEN = (r"(?=[()O0\-Z@PNBKRQa-h1-8x])"
+                 r"(\(|\)|O-O-O|O-O|0-0-0|0-0|--|Z0|0000|@@@@|[PNBRQK]?@[a-h][1-8]"
                  r"|[NBKRQ]?[a-h]?[1-8]?[-x]?[a-h][1-8](?:=?[NBRQKnbrqk])?)")
 SAN_FULL = (r"^(?:[NBKRQ]?[a-h]?[1-8]?[\-x]?[a-h][1-8](?:=?[nbrqkNBRQK])?[\+#]?|[O0]-[O0](?:-[O0])?[\+#]?"
             r"|--|Z0|0000|@@@@)$")
