@@ -27,8 +27,11 @@ STRICT_RESULT = r"\b(?:1-0|0-1|1/2-1/2|\*)\b"
 LENIENT_TOKEN = (r"(?=[()O0\-Z@PNBKRQa-h1-8x])"
                  r"(\(|\)|O-O-O|O-O|0-0-0|0-0|--|Z0|0000|@@@@|[PNBRQK]?@[a-h][1-8]"
                  r"|[NBKRQ]?[a-h]?[1-8]?[-x]?[a-h][1-8](?:=?[NBRQKnbrqk])?)")
-SAN_FULL = (r"^(?:[NBKRQ]?[a-h]?[1-8]?[\-x]?[a-h][1-8](?:=?[nbrqkNBRQK])?[\+#]?|[O0]-[O0](?:-[O0])?[\+#]?"
-            r"|--|Z0|0000|@@@@)$")
+# One whole token the strict path accepts (the move grammar with its check
+# suffix, castling with letters or zeros, null moves).
+SAN_TOKEN = (r"(?:[NBKRQ]?[a-h]?[1-8]?[\-x]?[a-h][1-8](?:=?[nbrqkNBRQK])?[\+#]?|[O0]-[O0](?:-[O0])?[\+#]?"
+             r"|--|Z0|0000|@@@@)")
+SAN_FULL = "^" + SAN_TOKEN + "$"
 
 
 def col_of(c) -> Column:
@@ -131,16 +134,15 @@ def lenient_tokens(movetext, max_tokens: int | None = None) -> Column:
 
 
 def strict_tokens(movetext, max_tokens: int | None = None) -> Column:
-    """The strict tokenizer: four removals, whitespace split, cut at the first non-SAN token."""
+    """The strict tokenizer: four removals, then the whitespace-separated tokens
+    up to the first one that is not a whole SAN token.  One anchored regex takes
+    that prefix (at most ``max_tokens`` tokens), so no per-token check runs."""
     s = col_of(movetext)
     for pattern in (STRICT_COMMENT, STRICT_MOVE_NUMBER, STRICT_NAG, STRICT_RESULT):
         s = F.regexp_replace(s, pattern, " ")
-    toks = F.filter(F.split(F.trim(s), r"\s+"), lambda t: t != F.lit(""))
-    bad = F.array_position(F.transform(toks, lambda t: ~t.rlike(SAN_FULL)), True)
-    keep = F.when(bad > 0, bad - 1).otherwise(F.size(toks))
-    if max_tokens is not None:
-        keep = F.least(keep, F.lit(max_tokens))
-    return F.slice(toks, 1, keep)
+    count = "*" if max_tokens is None else "{0,%d}" % max_tokens
+    prefix = F.regexp_extract(s, r"^\s*((?:" + SAN_TOKEN + r"(?:\s+|$))" + count + ")", 1)
+    return F.filter(F.split(F.trim(prefix), r"\s+"), lambda t: t != F.lit(""))
 
 
 def tokens(movetext, mode: str = "lenient", max_tokens: int | None = None) -> Column:

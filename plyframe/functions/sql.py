@@ -26,7 +26,7 @@ def register_sql_functions(spark: SparkSession, max_plies: int = MAX_PLIES) -> N
     spark.udf.register("normalise_fen", normalise_fen_udf)
     spark.udf.register("sequence_fen", sequence_fen_udf)
     spark.udf.register("replay_moves", replay_udf(max_plies))
-    from plyframe.functions.columns import LENIENT_TOKEN, SAN_FULL, STRICT_COMMENT, STRICT_MOVE_NUMBER, \
+    from plyframe.functions.columns import LENIENT_TOKEN, SAN_TOKEN, STRICT_COMMENT, STRICT_MOVE_NUMBER, \
         STRICT_NAG, STRICT_RESULT
 
     def lit(s: str) -> str:
@@ -49,10 +49,7 @@ def register_sql_functions(spark: SparkSession, max_plies: int = MAX_PLIES) -> N
     strict = "movetext"
     for pattern in (STRICT_COMMENT, STRICT_MOVE_NUMBER, STRICT_NAG, STRICT_RESULT):
         strict = f"regexp_replace({strict}, {lit(pattern)}, ' ')"
+    prefix = lit(r"^\s*((?:" + SAN_TOKEN + r"(?:\s+|$))" + "{0,%d}" % max_plies + ")")
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION strict_tokens(movetext STRING) RETURNS ARRAY<STRING>
-        RETURN slice(
-          filter(split(trim({strict}), '\\\\s+'), t -> t <> ''), 1,
-          least({max_plies}, coalesce(nullif(array_position(
-            transform(filter(split(trim({strict}), '\\\\s+'), t -> t <> ''), t -> NOT t RLIKE {lit(SAN_FULL)}),
-            true), 0) - 1, size(filter(split(trim({strict}), '\\\\s+'), t -> t <> '')))))""")
+        RETURN filter(split(trim(regexp_extract({strict}, {prefix}, 1)), {lit(r"\s+")}), t -> t <> '')""")
