@@ -53,8 +53,10 @@ def top_k_share(stats: DataFrame, group_cols, item_col: str, weight_col: str, k:
     return (top.withColumn("_total", total)
                .filter(F.col("_is_total") == 0)
                .select(*group_cols, item_col, weight_col, (F.col("_rn") - 1).cast("int").alias(rank_col),
-                       (F.col(weight_col).cast("double") * F.lit(100.0)
-                        / F.col("_total").cast("double")).alias(share_col)))
+                       # try_divide: a group whose weights sum to 0 gets a null share
+                       # instead of failing the job (ANSI division by zero).
+                       F.try_divide(F.col(weight_col).cast("double") * F.lit(100.0),
+                                    F.col("_total").cast("double")).alias(share_col)))
 
 
 def next_item_stats(df: DataFrame, context: str, item: str, *, bucket: str | None = None,

@@ -162,7 +162,7 @@ def top_moves_sql(spark, counts: DataFrame, fen: str, elo_min: int = DEFAULT_ELO
           WHERE base_fen = :fen AND player_elo_bucket BETWEEN :lo AND :hi
           GROUP BY move_san)
         SELECT move_san, CAST(plays AS BIGINT) AS plays,
-               CAST(plays AS DOUBLE) * 100D / CAST(SUM(plays) OVER () AS DOUBLE) AS percentage
+               try_divide(CAST(plays AS DOUBLE) * 100D, CAST(SUM(plays) OVER () AS DOUBLE)) AS percentage
         FROM hits
         ORDER BY plays DESC, move_san
         LIMIT :k

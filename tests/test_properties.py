@@ -94,3 +94,46 @@ def test_malformed_archive_text_never_fails_the_job(spark):
     for mode in ("lenient", "strict"):
         count_moves(extract_positions(games, mode=mode)).write.format("noop").mode("overwrite").save()
     replay_errors(games).write.format("noop").mode("overwrite").save()
+
+
+def test_top_k_share_matches_brute_force(spark):
+    import random
+    from collections import defaultdict
+
+    from plyframe.operators.counts import top_k_share
+
+    rnd = random.Random(9)
+    rows = [(f"g{rnd.randrange(60)}", rnd.choice("abcdefghij"), rnd.randrange(0, 5)) for _ in range(5000)]
+    rows += [("zero", "a", 0), ("zero", "b", 0)]  # a group whose weights sum to 0
+    df = spark.createDataFrame(rows, "g string, item string, w long").repartition(6)
+    got = {(r.g, r.rank): (r.item, r.w, r.percentage) for r in top_k_share(df, ["g"], "item", "w", 3).collect()}
+    sums = defaultdict(lambda: defaultdict(int))
+    for g, item, w in rows:
+        sums[g][item] += w
+    want = {}
+    for g, items in sums.items():
+        total = sum(items.values())
+        ranked = sorted(items.items(), key=lambda kv: (-kv[1], kv[0]))[:3]
+        for rank, (item, w) in enumerate(ranked, 1):
+            want[(g, rank)] = (item, w, (w * 100.0 / total) if total else None)
+    assert got.keys() == want.keys()
+    for key, (item, w, pct) in want.items():
+        g_item, g_w, g_pct = got[key]
+        assert (g_item, g_w) == (item, w)
+        assert (g_pct is None and pct is None) or abs(g_pct - pct) < 1e-9
+
+
+def test_compare_extractions_matches_multiset_difference(spark):
+    import random
+    from collections import Counter
+
+    from plyframe.operators.counts import compare_extractions
+
+    rnd = random.Random(4)
+    a = [(rnd.randrange(30), rnd.choice("xyz")) for _ in range(400)]
+    b = [(rnd.randrange(30), rnd.choice("xyz")) for _ in range(350)]
+    schema = "k long, v string"
+    r = compare_extractions(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).first()
+    ca, cb = Counter(a), Counter(b)
+    assert (r.rows_a, r.rows_b) == (len(a), len(b))
+    assert (r.only_a, r.only_b) == (sum((ca - cb).values()), sum((cb - ca).values()))
