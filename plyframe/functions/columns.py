@@ -39,8 +39,9 @@ def col_of(c) -> Column:
 
 
 def bucket(c, width: int = 100) -> Column:
-    """Floor to a multiple of ``width`` (1450 -> 1400), as an int."""
-    return (F.floor(col_of(c) / F.lit(width)) * F.lit(width)).cast("int")
+    """Floor to a multiple of ``width`` (1450 -> 1400), as an int (null if it
+    does not fit, rather than an ANSI overflow error failing the job)."""
+    return (F.floor(col_of(c) / F.lit(width)) * F.lit(width)).try_cast("int")
 
 
 def header(headers, key: str, default: str = "") -> Column:
