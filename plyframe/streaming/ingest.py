@@ -22,6 +22,7 @@ MAX_MONTHS_PER_RUN = 3
 MONTH_IN_PATH = r"(\d{4}-\d{2})"
 # The monthly counting stage keeps buckets 600..3900 only.
 COUNTED_BUCKETS = (600, 3900)
+UNKNOWN_MONTH = "unknown"
 
 
 def list_links(pages: DataFrame, html_col: str = "html", pattern: str = ARCHIVE_LINK_PATTERN,
@@ -113,13 +114,15 @@ def ingest_stream(spark: SparkSession, source_dir: str, monthly_root: str, check
               .option("maxFilesPerTrigger", max_files_per_trigger or 100_000)
               .text(f"{source_dir.rstrip('/')}/{path_glob}"))
     value = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit(tag), "value"))
-    records = stream.select(F.regexp_extract(F.col("_metadata.file_path"), month_pattern, 1).alias("month"),
+    month = F.regexp_extract(F.col("_metadata.file_path"), month_pattern, 1)
+    # A file whose path names no month is kept, under month=unknown.
+    records = stream.select(F.when(month != "", month).otherwise(F.lit(UNKNOWN_MONTH)).alias("month"),
                             value.alias("value"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         games = parse_games(batch).select(
             F.lit(None).cast("string").alias("game_id"), "month", "headers", "movetext")
-        write_month(_month_counts(games.filter(F.col("month") != "")), monthly_root, part=f"b{batch_id:010d}")
+        write_month(_month_counts(games), monthly_root, part=f"b{batch_id:010d}")
 
     query = (records.writeStream.foreachBatch(per_batch)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -209,3 +209,15 @@ def test_stream_ingest_reads_zstd_archives(spark, tmp):
     e4 = merge_counts(counts_view(spark, None, monthly)).filter(
         (F.col("base_fen") == START) & (F.col("move_san") == "e4")).first()
     assert e4.times_played == 4
+
+
+def test_stream_keeps_files_without_a_month(spark, tmp):
+    src = os.path.join(tmp, "src")
+    os.makedirs(src)
+    with open(os.path.join(src, "games.pgn"), "w") as f:
+        f.write(GAME * 2)
+    monthly, ckpt = os.path.join(tmp, "monthly"), os.path.join(tmp, "ckpt")
+    ingest_stream(spark, src, monthly, ckpt)
+    months = {r[0] for r in spark.read.parquet(monthly).select("month").distinct().collect()}
+    assert months == {"unknown"}
+    assert merge_counts(counts_view(spark, None, monthly)).agg(F.sum("times_played")).first()[0] == 12
