@@ -26,3 +26,16 @@ def test_entry_from_foreign_cwd():
     assert line, out.stderr[-2000:]
     _, flagship, quarantine = line[0].split()
     assert int(flagship) > 0 and int(quarantine) > 0
+
+
+def test_bench_prints_one_json_line():
+    import json
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR="/root/testdata/sf0.001", BENCH_CPUS="2")
+    out = subprocess.run([sys.executable, os.path.join(root, "bench.py")], cwd=tempfile.mkdtemp(prefix="plyframe-b-"),
+                         env=env, capture_output=True, text=True, timeout=900)
+    lines = [l for l in out.stdout.splitlines() if l.strip()]
+    assert len(lines) == 1, out.stdout[-2000:] + out.stderr[-2000:]
+    doc = json.loads(lines[0])
+    assert doc["unit"] == "sec" and doc["value"] > 0 and doc["sf"] == "0.001"
+    assert set(doc["queries"]) >= {"extract_write", "game_positions", "pgn_flagship", "request_errors"}
