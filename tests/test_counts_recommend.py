@@ -137,3 +137,15 @@ def test_next_item_stats_bucket_range(spark, counts):
                            weight="times_played").filter(F.col("base_fen") == START).orderBy("rank").collect()
     assert [r.move_san for r in rows] == ["e4", "d4", "Nf3", "b3", "g3"]
     assert rows[0].percentage == pytest.approx(80 * 100.0 / 150)
+
+
+def test_concurrent_lookups_share_one_session(spark, counts):
+    from concurrent.futures import ThreadPoolExecutor
+    expected = [tuple(r) for r in top_moves(counts, START + " 0 1", 1000, 2000).collect()]
+
+    def lookup(_):
+        return [tuple(r) for r in top_moves(counts, START + " 0 1", 1000, 2000).collect()]
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        results = list(pool.map(lookup, range(8)))
+    assert all(r == expected for r in results)
