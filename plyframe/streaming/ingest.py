@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plyframe.functions.columns import url_join
 from plyframe.operators.counts import count_moves
 from plyframe.operators.extract import extract_positions
+from plyframe.operators.metrics import observe_games, observe_positions
 from plyframe.operators.qualify import qualify_games
 from plyframe.schemas import LEDGER
 from plyframe.sources.archive import RECORD_SEP, parse_games, read_games
@@ -82,20 +83,28 @@ def ingest(spark: SparkSession, archives: DataFrame, monthly_root: str, ledger_p
     partition overwrite, so a rerun replaces the month instead of adding to
     it).  A failing month commits nothing, is reported and does not stop the
     others; the ledger records a month only after its data commit.  Returns a
-    report (year_month, status, error).
+    report (year_month, status, error, games_scanned, games_kept, positions);
+    the counters are observed during the write job itself, no extra pass.
     """
     # The run list is capped (max_months), so it may pass through the driver.
     run = [(r["year_month"], r["path"]) for r in archives.select("year_month", "path").orderBy("year_month").collect()]
     report = []
     for month, path in run:
         try:
-            games = read_games(spark, path, record_sep=record_sep).withColumn("month", F.lit(month))
-            write_month(_month_counts(games), monthly_root)
+            raw = read_games(spark, path, record_sep=record_sep).withColumn("month", F.lit(month))
+            judged, games_seen = observe_games(qualify_games(raw, with_reason=True), f"games-{month}")
+            kept = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+            positions, plies = observe_positions(extract_positions(kept), f"positions-{month}")
+            counted = positions.filter(F.col("player_elo_bucket").between(*COUNTED_BUCKETS))
+            write_month(count_moves(counted, keys=("month", "base_fen", "player_elo_bucket", "move_san")),
+                        monthly_root)
             add_to_ledger(spark, ledger_path, spark.createDataFrame([(month,)], LEDGER))
-            report.append((month, "done", None))
+            report.append((month, "done", None, games_seen.get["scanned"], games_seen.get["kept"],
+                           plies.get["positions"]))
         except Exception as e:  # isolate the month; the others still run
-            report.append((month, "failed", f"{type(e).__name__}: {str(e)[:300]}"))
-    return spark.createDataFrame(report, "year_month string, status string, error string")
+            report.append((month, "failed", f"{type(e).__name__}: {str(e)[:300]}", None, None, None))
+    return spark.createDataFrame(report, "year_month string, status string, error string, games_scanned long, "
+                                         "games_kept long, positions long")
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, monthly_root: str, checkpoint: str, *,

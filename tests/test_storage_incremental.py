@@ -120,6 +120,7 @@ def test_batch_ingest_is_idempotent(spark, tmp):
     for _ in range(2):
         report = ingest(spark, archives, monthly, ledger)
     assert [(r.year_month, r.status) for r in report.collect()] == [("2024-01", "done"), ("2024-02", "done")]
+    assert [(r.games_scanned, r.games_kept, r.positions) for r in report.collect()] == [(3, 3, 18), (2, 2, 12)]
     assert [r[0] for r in load_ledger(spark, ledger).collect()] == ["2024-01", "2024-02"]
     view = merge_counts(counts_view(spark, None, monthly))
     e4 = view.filter((F.col("base_fen") == START) & (F.col("move_san") == "e4")).first()
