@@ -69,12 +69,6 @@ def pending_months(available: DataFrame, ledger: DataFrame, max_months: int | No
     return todo.limit(max_months) if max_months is not None else todo
 
 
-def _month_counts(games: DataFrame, month_col: str = "month") -> DataFrame:
-    positions = extract_positions(qualify_games(games))
-    kept = positions.filter(F.col("player_elo_bucket").between(*COUNTED_BUCKETS))
-    return count_moves(kept, keys=(month_col, "base_fen", "player_elo_bucket", "move_san"))
-
-
 def ingest(spark: SparkSession, archives: DataFrame, monthly_root: str, ledger_path: str, *,
            record_sep: str = RECORD_SEP) -> DataFrame:
     """Batch path: (year_month, path) archives -> counts in ``month=`` partitions.
@@ -107,6 +101,15 @@ def ingest(spark: SparkSession, archives: DataFrame, monthly_root: str, ledger_p
                                          "games_kept long, positions long")
 
 
+def progress_path(monthly_root: str) -> str:
+    return monthly_root.rstrip("/") + "_progress"
+
+
+def stream_progress(spark: SparkSession, monthly_root: str) -> DataFrame:
+    """Per micro-batch counters of ``ingest_stream`` (games scanned, kept, positions)."""
+    return spark.read.parquet(progress_path(monthly_root)).orderBy("batch_id")
+
+
 def ingest_stream(spark: SparkSession, source_dir: str, monthly_root: str, checkpoint: str, *,
                   path_glob: str = "*", month_pattern: str = MONTH_IN_PATH,
                   max_files_per_trigger: int | None = None, record_sep: str = RECORD_SEP):
@@ -131,7 +134,18 @@ def ingest_stream(spark: SparkSession, source_dir: str, monthly_root: str, check
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         games = parse_games(batch).select(
             F.lit(None).cast("string").alias("game_id"), "month", "headers", "movetext")
-        write_month(_month_counts(games), monthly_root, part=f"b{batch_id:010d}")
+        judged, games_seen = observe_games(qualify_games(games, with_reason=True), f"stream-games-{batch_id}")
+        kept = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+        positions, plies = observe_positions(extract_positions(kept), f"stream-positions-{batch_id}")
+        counted = positions.filter(F.col("player_elo_bucket").between(*COUNTED_BUCKETS))
+        write_month(count_moves(counted, keys=("month", "base_fen", "player_elo_bucket", "move_san")),
+                    monthly_root, part=f"b{batch_id:010d}")
+        # One progress row per micro-batch, replaced (not duplicated) on replay.
+        progress = spark.createDataFrame(
+            [(batch_id, games_seen.get["scanned"], games_seen.get["kept"], plies.get["positions"])],
+            "batch_id long, games_scanned long, games_kept long, positions long")
+        (progress.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(progress_path(monthly_root)))
 
     query = (records.writeStream.foreachBatch(per_batch)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

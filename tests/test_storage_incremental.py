@@ -184,6 +184,9 @@ def test_stream_month_split_over_files_and_batches(spark, tmp):
     assert e4.times_played == 6
     parts = {r[0] for r in spark.read.parquet(monthly).select("part").distinct().collect()}
     assert len(parts) == 3
+    from plyframe.streaming.ingest import stream_progress
+    rows = stream_progress(spark, monthly).collect()
+    assert sorted((r.games_scanned, r.games_kept, r.positions) for r in rows) == [(1, 1, 6), (2, 2, 12), (3, 3, 18)]
 
 
 def test_batch_lookup_pushes_few_positions_into_the_scan(spark, tmp):
