@@ -20,7 +20,7 @@ from plyframe.sources.archive import parse_games, read_games, read_records
 from plyframe.sources.storage import (counts_view, merge_months, read_counts, read_monthly, read_positions,
                                       write_bucketed_counts, write_month, write_positions, write_sorted)
 from plyframe.streaming.ingest import (ingest, ingest_stream, list_links, list_months, load_ledger,
-                                       pending_months, update_months)
+                                       pending_months, stream_progress, update_months)
 
 __all__ = [
     "as_responses", "bucket", "clean_event", "compare_extractions", "count_moves", "counts_view",
@@ -29,7 +29,7 @@ __all__ = [
     "next_item_stats", "observe_games", "observe_positions", "parse_games", "parse_rating",
     "pending_months", "qualify_games", "read_counts", "read_games", "read_monthly", "read_positions",
     "read_records", "recommend", "register_sql_functions", "replay_errors", "requests_from_json", "responses_to_json",
-    "sequence_steps", "tokenize_moves", "tokens", "top_k_share", "top_moves", "top_moves_sql",
+    "sequence_steps", "stream_progress", "tokenize_moves", "tokens", "top_k_share", "top_moves", "top_moves_sql",
     "update_months", "validate_requests", "write_bucketed_counts", "write_month", "write_positions",
     "write_sorted",
 ]
