@@ -117,3 +117,18 @@ def test_game_ids_follow_file_order(spark, tmp):
     path = _write(tmp, "o.pgn", "".join(games))
     first = limit_games(qualify_games(read_games(spark, path)), 5).collect()
     assert [r.movetext.split()[-3] for r in first] == ["3.", "4.", "5.", "6.", "7."]
+
+
+def test_bz2_archive_splits_without_changing_games(spark, tmp):
+    import bz2
+    path = os.path.join(tmp, "games_2024-02.pgn.bz2")
+    with open(path, "wb") as f:
+        f.write(bz2.compress((FIVE_GAMES * 200).encode()))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # several splits of one bz2 file
+        games = read_games(spark, path)
+        assert games.count() == 1000
+        assert qualify_games(games).count() == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
