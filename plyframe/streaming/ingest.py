@@ -34,9 +34,14 @@ def list_links(pages: DataFrame, html_col: str = "html", pattern: str = ARCHIVE_
     A key listed twice is kept once (smallest url, so reruns agree).
     """
     html = F.col(html_col)
-    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), key_group).alias("k"),
-                         F.regexp_extract_all(html, F.lit(pattern), path_group).alias("p"))
-    found = pages.select(F.inline(pairs)).select(F.col("k").alias(key_name), url_join(base_url, "p").alias("url"))
+    keys = F.regexp_extract_all(html, F.lit(pattern), key_group)
+    if path_group == key_group:  # one regex pass when the key is the path itself
+        found = pages.select(F.explode(keys).alias("k")).select(F.col("k").alias(key_name),
+                                                                 url_join(base_url, "k").alias("url"))
+    else:
+        pairs = F.arrays_zip(keys.alias("k"), F.regexp_extract_all(html, F.lit(pattern), path_group).alias("p"))
+        found = pages.select(F.inline(pairs)).select(F.col("k").alias(key_name),
+                                                     url_join(base_url, "p").alias("url"))
     return found.groupBy(key_name).agg(F.min("url").alias("url")).orderBy(key_name)
 
 
