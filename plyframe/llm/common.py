@@ -37,7 +37,7 @@ def crc_fold(mod: int, col: str = "doc_id") -> Column:
 
 def row_key(text: str = "text") -> Column:
     """Fingerprint of a row's text that tells rows of one doc_id apart."""
-    c = F.col(text)
+    c = F.col(text).cast("string")
     return F.concat_ws(":", F.xxhash64(c).cast("string"), F.coalesce(F.octet_length(c), F.lit(-1)).cast("string"))
 
 

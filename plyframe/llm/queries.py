@@ -6,13 +6,26 @@ from pyspark.sql import functions as F
 
 from plyframe.llm.common import documents
 from plyframe.llm.exact_dedup import exact_dedup
+from plyframe.llm.mixture import mix
+from plyframe.llm.simhash import simhash_groups
 
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(spark, documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup,)}
+def op6_simhash_near_dedup(spark, sf_dir):
+    return simhash_groups(spark, documents(spark, sf_dir))
+
+
+def op7_mixture(spark, sf_dir):
+    taken = mix(spark, documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return taken.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target",
+                        (F.size("_mix.shards") * F.col("_mix.size")).alias("taken"), "source",
+                        F.concat_ws(",", "_mix.shards").alias("shards"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_simhash_near_dedup, op7_mixture)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
