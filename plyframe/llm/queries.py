@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plyframe.llm.common import documents
 from plyframe.llm.exact_dedup import exact_dedup
 from plyframe.llm.mixture import mix
+from plyframe.llm.pieces import encode_pieces
 from plyframe.llm.simhash import simhash_groups
 
 
@@ -25,7 +26,29 @@ def op7_mixture(spark, sf_dir):
                         F.concat_ws(",", "_mix.shards").alias("shards"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_simhash_near_dedup, op7_mixture)}
+def piece_model(path: str | None = None) -> bytes:
+    """The SentencePiece model file: ``path``, or the public one installed here."""
+    if path is None:
+        import public_tokenizers
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def piece_digests(docs, model_path: str | None = None):
+    """One row per row of ``docs``: the contract's digests of ``encode_pieces``, and the bytes its spans cover."""
+    rows = encode_pieces(docs.select("doc_id", "text"), piece_model(model_path))
+    covered = F.aggregate(F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0), lambda a, x: a + x)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"), covered.cast("long").alias("covered_bytes"))
+
+
+def op8_sentencepiece(spark, sf_dir):
+    return piece_digests(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
