@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import documents
+from plyframe.llm import toxicity
+from plyframe.llm.common import crc_fold, documents
 from plyframe.llm.exact_dedup import exact_dedup
 from plyframe.llm.mixture import mix
 from plyframe.llm.pieces import encode_pieces
@@ -48,7 +49,19 @@ def op8_sentencepiece(spark, sf_dir):
     return piece_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece)}
+def toxic_scores(spark, docs, sf_dir):
+    """The rows of ``docs`` and ``_score``, by a model of the labelled rows of ``sf_dir``."""
+    rows = toxicity.sample(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "labels"))
+    return toxicity.score(docs, toxicity.train(rows))
+
+
+def op9_toxicity(spark, sf_dir):
+    scored = toxic_scores(spark, documents(spark, sf_dir).select("doc_id", "text"), sf_dir)
+    return scored.select("doc_id", (crc_fold(3) == 1).alias("held_out"), F.col("_score").alias("score"),
+                         (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
