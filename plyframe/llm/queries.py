@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plyframe.llm import toxicity
-from plyframe.llm.common import crc_fold, documents
+from plyframe.llm.common import crc_fold, documents, save
 from plyframe.llm.exact_dedup import exact_dedup
 from plyframe.llm.mixture import mix
 from plyframe.llm.pieces import encode_pieces
 from plyframe.llm.simhash import simhash_groups
+from plyframe.llm.warc import read_archives, resolve_revisits, write_archives
+from plyframe.session import scratch_path
 
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(spark, documents(spark, sf_dir))
 
 
+def op2_warc(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    write_archives(spark, documents(spark, sf_dir, "pages"), path)
+    records = resolve_revisits(save(spark, read_archives(spark, path), "warc-records"))
+    return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+                          "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash_groups(spark, documents(spark, sf_dir))
 
@@ -61,7 +71,7 @@ def op9_toxicity(spark, sf_dir):
                          (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -69,5 +79,13 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g USING (norm)
+""",
+    "op2_warc": r"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+g AS (SELECT p, min(page_id) AS first_id FROM t WHERE strlen(p) >= 100 GROUP BY p)
+SELECT t.page_id, strlen(t.p) AS payload_bytes, sha256(t.p) AS payload_digest,
+  CASE WHEN t.page_id > g.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN t.page_id > g.first_id THEN g.first_id END AS refers_to
+FROM t LEFT JOIN g USING (p)
 """,
 }
