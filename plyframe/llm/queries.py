@@ -9,6 +9,7 @@ from plyframe.llm.common import crc_fold, documents, save
 from plyframe.llm.exact_dedup import exact_dedup
 from plyframe.llm.mixture import mix
 from plyframe.llm.pieces import encode_pieces
+from plyframe.llm.preferences import preference_pairs, swapped_replies
 from plyframe.llm.simhash import simhash_groups
 from plyframe.llm.warc import read_archives, resolve_revisits, write_archives
 from plyframe.session import scratch_path
@@ -26,6 +27,12 @@ def op2_warc(spark, sf_dir):
                           "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op3_preferences(spark, sf_dir):
+    pairs = preference_pairs(*swapped_replies(documents(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s.begin, s.end)), ",")
+    return pairs.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash_groups(spark, documents(spark, sf_dir))
 
@@ -71,7 +78,7 @@ def op9_toxicity(spark, sf_dir):
                          (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_preferences, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -87,5 +94,35 @@ SELECT t.page_id, strlen(t.p) AS payload_bytes, sha256(t.p) AS payload_digest,
   CASE WHEN t.page_id > g.first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN t.page_id > g.first_id THEN g.first_id END AS refers_to
 FROM t LEFT JOIN g USING (p)
+""",
+    "op3_preferences": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max({'turn': turn, 'text': text}) AS l FROM t WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY 1),
+s AS (SELECT a.conv_id, a.l.turn AS last_turn, a.l.text AS own, b.l.text AS reply FROM l a JOIN l b ON b.conv_id = xor(a.conv_id, 1)),
+w AS (SELECT t.*, role = 'assistant' AND turn = last_turn AND text = own AS is_last, reply,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1 AS pos
+      FROM t JOIN s USING (conv_id)),
+c AS (SELECT conv_id, pos, role, replace(text, '<|im_', '<| im_') AS text, text AS raw,
+        replace(CASE WHEN is_last THEN reply ELSE text END, '<|im_', '<| im_') AS rtext,
+        CASE WHEN is_last THEN reply ELSE text END AS rraw FROM w),
+d AS (SELECT conv_id, coalesce(min(CASE WHEN raw <> rraw THEN pos END), max(pos) + 1) AS n FROM c GROUP BY 1),
+r AS (SELECT c.conv_id, pos, n, role, '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' AS ctext,
+        rtext || '<|im_end|>' AS rtext FROM c JOIN d USING (conv_id)),
+o AS (SELECT *, CASE WHEN pos >= n THEN coalesce(sum(CASE WHEN pos >= n THEN length(head) + length(ctext) + 1 END)
+          OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS cat,
+        CASE WHEN pos >= n THEN coalesce(sum(CASE WHEN pos >= n THEN length(head) + length(rtext) + 1 END)
+          OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS rat FROM r)
+SELECT conv_id AS pair_id, CAST(any_value(n) AS BIGINT) AS prompt_turns,
+  coalesce(string_agg(CASE WHEN pos < n THEN head || ctext || chr(10) END, '' ORDER BY pos), '') AS prompt,
+  coalesce(string_agg(CASE WHEN pos >= n THEN head || ctext || chr(10) END, '' ORDER BY pos), '') AS chosen,
+  coalesce(string_agg(CASE WHEN pos >= n THEN head || rtext || chr(10) END, '' ORDER BY pos), '') AS rejected,
+  coalesce(string_agg(CASE WHEN pos >= n AND role = 'assistant' THEN
+    CAST(CAST(cat + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(cat + length(head) + length(ctext) AS BIGINT) AS VARCHAR)
+    END, ',' ORDER BY pos), '') AS chosen_mask,
+  coalesce(string_agg(CASE WHEN pos >= n AND role = 'assistant' THEN
+    CAST(CAST(rat + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(rat + length(head) + length(rtext) AS BIGINT) AS VARCHAR)
+    END, ',' ORDER BY pos), '') AS rejected_mask
+FROM o GROUP BY conv_id
 """,
 }
