@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plyframe.llm import toxicity
+from plyframe.llm import language, toxicity
 from plyframe.llm.common import crc_fold, documents, save
 from plyframe.llm.exact_dedup import exact_dedup
 from plyframe.llm.mixture import mix
@@ -33,6 +33,12 @@ def op3_preferences(spark, sf_dir):
     return pairs.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
 
 
+def op4_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language.train(language.sample(docs, crc_fold(4) != 2))
+    return language.predict(docs.select("doc_id", (crc_fold(4) == 2).alias("held_out"), "text"), model)
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash_groups(spark, documents(spark, sf_dir))
 
@@ -78,7 +84,7 @@ def op9_toxicity(spark, sf_dir):
                          (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_preferences, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_preferences, op4_language_id, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
