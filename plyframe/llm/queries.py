@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plyframe.llm import language, toxicity
 from plyframe.llm.common import crc_fold, documents, save
+from plyframe.llm.embeddings import near_vectors
 from plyframe.llm.exact_dedup import exact_dedup
 from plyframe.llm.mixture import mix
 from plyframe.llm.pieces import encode_pieces
@@ -39,6 +40,10 @@ def op4_language_id(spark, sf_dir):
     return language.predict(docs.select("doc_id", (crc_fold(4) == 2).alias("held_out"), "text"), model)
 
 
+def op5_embedding_near_dedup(spark, sf_dir):
+    return near_vectors(spark, documents(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash_groups(spark, documents(spark, sf_dir))
 
@@ -84,7 +89,7 @@ def op9_toxicity(spark, sf_dir):
                          (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_preferences, op4_language_id, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_preferences, op4_language_id, op5_embedding_near_dedup, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
