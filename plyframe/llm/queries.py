@@ -11,6 +11,7 @@ from plyframe.llm.exact_dedup import exact_dedup
 from plyframe.llm.mixture import mix
 from plyframe.llm.pieces import encode_pieces
 from plyframe.llm.preferences import preference_pairs, swapped_replies
+from plyframe.llm.secrets import scan
 from plyframe.llm.simhash import simhash_groups
 from plyframe.llm.warc import read_archives, resolve_revisits, write_archives
 from plyframe.session import scratch_path
@@ -89,7 +90,15 @@ def op9_toxicity(spark, sf_dir):
                          (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_preferences, op4_language_id, op5_embedding_near_dedup, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity)}
+def op10_secret_scan(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    found = scan(spark, docs, crc_fold(2) == 0)
+    return found.select("doc_id", "nth", "begin", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"),
+                        (crc_fold(2) == 1).alias("held_out"), "score", "is_secret")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_preferences, op4_language_id, op5_embedding_near_dedup, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity,
+                                  op10_secret_scan)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
