@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plyframe.schemas import COUNT_KEYS
+from plyframe.session import scratch_path
 
 
 def count_moves(positions: DataFrame, keys=COUNT_KEYS, name: str = "times_played") -> DataFrame:
@@ -77,26 +79,60 @@ def next_item_stats(df: DataFrame, context: str, item: str, *, bucket: str | Non
     return top_k_share(df.select(context, item, plays), [context], item, "plays", k)
 
 
-def sequence_steps(df: DataFrame, by, order, item: str, *, max_steps: int = 40,
+def sequence_steps(df: DataFrame, by, order, item: str, *, max_steps: int | None = None,
                    context_len: int = 1, start: str = "^", sep: str = ">") -> DataFrame:
-    """Per sequence (``by``) in ``order``: ``step`` number, ``context`` = the
-    previous ``context_len`` items (``start`` for the first), first
-    ``max_steps`` steps only.
-
-    The step cut is its own window so Spark trims each sequence to
-    ``max_steps`` rows per task before shuffling (a hot sequence cannot flood
-    one task); the lags then run on at most ``max_steps`` rows per sequence.
+    """Per sequence (``by``) in ascending ``order``: ``step`` number and ``context`` = the
+    previous ``context_len`` items (``start`` for the first).  Every row is kept
+    unless ``max_steps`` asks for the first ones only.
+
+    Without a cut a sequence may hold any share of the rows, so it is never one
+    task's work: rows are range-partitioned by (sequence, order) and written;
+    each chunk numbers its own rows, and the rows before a chunk and its last
+    items are carried over the boundary from a table with one row per chunk.
+    With ``max_steps`` Spark trims each sequence per task before shuffling and
+    the lags run on at most ``max_steps`` rows per sequence.
     """
-    if not isinstance(max_steps, int) or max_steps < 1:
-        raise ValueError("max_steps must be a positive int: the cap keeps every sequence's window bounded")
     by = [by] if isinstance(by, str) else list(by)
     order = [order] if isinstance(order, (str, Column)) else list(order)
-    w = Window.partitionBy(*by).orderBy(*order)
-    ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_steps)
-    first = ranked.withColumn("step", F.col("_rn") - 1).drop("_rn")
-    w2 = Window.partitionBy(*by).orderBy("step")
-    ctx = F.concat_ws(sep, *[F.lag(item, i).over(w2) for i in range(context_len, 0, -1)])
-    return first.withColumn("context", F.when(ctx == "", F.lit(start)).otherwise(ctx))
+    if max_steps is not None:
+        w = Window.partitionBy(*by).orderBy(*order)
+        ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_steps)
+        first = ranked.withColumn("step", F.col("_rn") - 1).drop("_rn")
+        w2 = Window.partitionBy(*by).orderBy("step")
+        ctx = F.concat_ws(sep, *[F.lag(item, i).over(w2) for i in range(context_len, 0, -1)])
+        return first.withColumn("context", F.when(ctx == "", F.lit(start)).otherwise(ctx))
+    spark = df.sparkSession
+    path = scratch_path(spark, "sequence-chunks")
+    df.repartitionByRange(*by, *order).withColumn("_chunk", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.schema(T.StructType(df.schema.fields + [T.StructField("_chunk", T.IntegerType())])).parquet(path)
+    # Plain columns for the sequence, so that a null sequence is one as well.
+    w = Window.partitionBy("_chunk", *by).orderBy(*order)
+    numbered = rows.withColumn("_rn", F.row_number().over(w)).withColumns(
+        {f"_lag{i}": F.lag(item, i).over(w) for i in range(1, context_len + 1)})
+    counts = rows.groupBy("_chunk", *by).agg(F.count(F.lit(1)).alias("_n"))
+    back = Window.partitionBy("_chunk", *by).orderBy(*[_reverse(o) for o in order])
+    tails = (rows.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= context_len)
+             .groupBy("_chunk", *by).agg(F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("at"),
+                                                                              F.col(item).alias("item")))).alias("_tail")))
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in ["_chunk", *by]])
+    chunks = counts.join(tails, same(counts, tails)).select(*[counts[c] for c in counts.columns], "_tail")
+    before = Window.partitionBy(*by).orderBy("_chunk")
+    carried = F.flatten(F.collect_list("_tail").over(before.rowsBetween(-context_len, -1)))
+    chunks = chunks.select("_chunk", *by, (F.sum("_n").over(before) - F.col("_n")).alias("_offset"),
+                           carried.alias("_carry"))
+    joined = numbered.join(chunks, same(numbered, chunks)).select(
+        *[numbered[c] for c in numbered.columns], "_offset", "_carry")
+    # The i-th item back: in the chunk, or that far from the end of what was carried over.
+    ctx = F.concat_ws(sep, *[F.when(F.col("_rn") > i, F.col(f"_lag{i}"))
+                             .otherwise(F.try_element_at("_carry", F.least((F.col("_rn") - i - 1).cast("int"), F.lit(-1)))["item"])
+                             for i in range(context_len, 0, -1)])
+    return joined.select(*df.columns, (F.col("_offset") + F.col("_rn") - 1).alias("step"),
+                         F.when(ctx == "", F.lit(start)).otherwise(ctx).alias("context"))
+
+
+def _reverse(order) -> Column:
+    """The opposite of an ascending order column (nulls first becomes nulls last)."""
+    return (F.col(order) if isinstance(order, str) else order).desc_nulls_last()
 
 
 def compare_extractions(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -86,8 +86,7 @@ _LINEITEM_COUNTS = """lcounts AS (
 _EVENT_STEPS = """esteps AS (
   SELECT *, LAG(event_type, 2) OVER (PARTITION BY user_id ORDER BY step) AS l2,
             LAG(event_type, 1) OVER (PARTITION BY user_id ORDER BY step) AS l1
-  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events)
-  WHERE step < 40),
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events)),
 ecounts AS (
   SELECT COALESCE(l1, '^') AS base_fen, CAST(FLOOR(value / 25.0) * 25 AS INTEGER) AS player_elo_bucket,
          event_type AS move_san, COUNT(*) AS times_played
@@ -194,8 +193,7 @@ SELECT COALESCE(NULLIF(concat_ws('>', l2, l1), ''), '^') AS context,
 FROM esteps GROUP BY ALL"""
     sql["conversation_transitions"] = """WITH s AS (
   SELECT *, LAG(role) OVER (PARTITION BY conv_id ORDER BY step) AS prev
-  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step FROM conversations)
-  WHERE step < 40)
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step FROM conversations))
 SELECT COALESCE(prev, '^') AS context, role AS item, COUNT(*) AS times_played FROM s GROUP BY ALL"""
     sql["quality_filter_reasons"] = f"""WITH {GAMES_CTE}
 SELECT COALESCE(reject_reason, 'kept') AS outcome, COUNT(*) AS games FROM judged GROUP BY ALL"""

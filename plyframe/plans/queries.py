@@ -127,7 +127,7 @@ def most_played_row(spark, sf_dir):
 
 def _event_steps(spark, sf_dir, context_len=1):
     ev = table(spark, sf_dir, "events")
-    return sequence_steps(ev, "user_id", ["ts", "event_id"], "event_type", max_steps=40, context_len=context_len)
+    return sequence_steps(ev, "user_id", ["ts", "event_id"], "event_type", context_len=context_len)
 
 
 def event_counts(spark, sf_dir):
@@ -158,7 +158,7 @@ def event_transitions(spark, sf_dir):
 
 def conversation_transitions(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
-    steps = sequence_steps(conv, "conv_id", "turn", "role", max_steps=40, context_len=1)
+    steps = sequence_steps(conv, "conv_id", "turn", "role", context_len=1)
     return count_moves(steps.select("context", F.col("role").alias("item")), keys=("context", "item"))
 
 

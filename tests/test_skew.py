@@ -1,5 +1,6 @@
 """One key holds a third of all rows: results stay exact and hot groups are trimmed before shuffles."""
 
+import os
 import random
 from collections import Counter
 
@@ -54,6 +55,32 @@ def test_hot_sequence_cut_before_shuffle(spark):
     assert "WindowGroupLimit" in _plan(steps)
 
 
+def test_hot_sequence_is_whole_and_spans_many_tasks(spark):
+    rnd = random.Random(8)
+    rows = [(0 if i % 3 == 0 else None if i % 31 == 1 else 1 + i % 500, i, rnd.choice("abc") if i % 7 else None)
+            for i in range(12_000)]
+    df = spark.createDataFrame(rows, "sid long, pos long, item string").repartition(8)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        steps = sequence_steps(df, "sid", "pos", "item", context_len=2)
+        got = {r.pos: (r.sid, r.step, r.context) for r in steps.collect()}
+        # the hot sequence was cut into several chunks
+        from plyframe.session import checkpoint_root
+        import glob
+        newest = max(glob.glob(f"{checkpoint_root(spark)}/plyframe/sequence-chunks-*"), key=os.path.getmtime)
+        chunks = spark.read.parquet(newest).filter("sid = 0").groupBy("_chunk").count().collect()
+        assert len(chunks) > 1 and max(c["count"] for c in chunks) < 4_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want, seen = {}, {}
+    for sid, pos, item in sorted(rows, key=lambda r: r[1]):
+        past = seen.setdefault(sid, [])
+        want[pos] = (sid, len(past), ">".join(x for x in past[-2:] if x is not None) or "^")
+        past.append(item)
+    assert got == want
+
+
 def test_hot_requests_collapse(spark):
     rows, df = _positions(spark)
     counts = count_moves(df)
