@@ -17,17 +17,17 @@ from plyframe.operators.qualify import filter_report, limit_games, qualify_games
 from plyframe.operators.recommend import (as_responses, display_share, recommend, requests_from_json,
                                           responses_to_json, top_moves, top_moves_sql, validate_requests)
 from plyframe.sources.archive import parse_games, read_games, read_records
-from plyframe.sources.storage import (counts_view, merge_months, read_counts, read_monthly, read_positions,
-                                      write_bucketed_counts, write_month, write_positions, write_sorted)
+from plyframe.sources.storage import (compact_month, counts_view, merge_months, read_counts, read_merged, read_monthly,
+                                      read_positions, write_bucketed_counts, write_month, write_positions, write_sorted)
 from plyframe.streaming.ingest import (ingest, ingest_stream, list_links, list_months, load_ledger,
                                        pending_months, stream_progress, update_months)
 
 __all__ = [
-    "as_responses", "bucket", "clean_event", "compare_extractions", "count_moves", "counts_view",
+    "as_responses", "bucket", "clean_event", "compact_month", "compare_extractions", "count_moves", "counts_view",
     "display_share", "extract_positions", "filter_report", "ingest", "ingest_stream", "limit_games",
     "list_links", "list_months", "load_ledger", "merge_counts", "merge_months", "most_played",
     "next_item_stats", "observe_games", "observe_positions", "parse_games", "parse_rating",
-    "pending_months", "qualify_games", "read_counts", "read_games", "read_monthly", "read_positions",
+    "pending_months", "qualify_games", "read_counts", "read_games", "read_merged", "read_monthly", "read_positions",
     "read_records", "recommend", "register_sql_functions", "replay_errors", "requests_from_json", "responses_to_json",
     "sequence_steps", "stream_progress", "tokenize_moves", "tokens", "top_k_share", "top_moves", "top_moves_sql",
     "update_months", "validate_requests", "write_bucketed_counts", "write_month", "write_positions",

@@ -96,6 +96,5 @@ def games_from_records(records: DataFrame, with_month: bool = False) -> DataFram
 
 
 def synth_games(spark: SparkSession, sf_dir: str, with_month: bool = False) -> DataFrame:
-    from plyframe.sources.archive import spread
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return games_from_records(spread(archive_records(orders), "game_key"), with_month)
+    return games_from_records(archive_records(orders).hint("rebalance"), with_month)

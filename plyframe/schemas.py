@@ -28,8 +28,8 @@ POSITIONS = T.StructType([
 ])
 
 # M5 / M6: counts per (position, bucket, move); monthly files add the
-# partition columns `month` and `part` (`full` for a batch month, `b<id>` for
-# a streaming micro-batch).
+# partition columns `month` and `part` (`full` for a whole month, else a hash of
+# the archive file the rows came from).
 COUNT_KEYS = ("base_fen", "player_elo_bucket", "move_san")
 COUNTS = T.StructType([
     T.StructField("base_fen", T.StringType()),
@@ -39,7 +39,12 @@ COUNTS = T.StructType([
 ])
 MONTHLY_COUNTS = T.StructType(COUNTS.fields + [T.StructField("month", T.StringType()),
                                                T.StructField("part", T.StringType())])
-COVERED = T.StructType([T.StructField("month", T.StringType()), T.StructField("part", T.StringType())])
+# On disk a load has its own directory; the log of loads says which count.
+STORED_COUNTS = T.StructType(MONTHLY_COUNTS.fields + [T.StructField("load", T.StringType())])
+COVERED = T.StructType([T.StructField("month", T.StringType()), T.StructField("part", T.StringType()),
+                        T.StructField("load", T.StringType())])
+LOADS = T.StructType(COVERED.fields + [T.StructField("whole", T.BooleanType()), T.StructField("seq", T.LongType())])
+VERSIONS = T.StructType([T.StructField("seq", T.LongType()), T.StructField("path", T.StringType())])
 
 # Output of the replay UDF.
 PLY = T.StructType([

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,8 +41,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is the configured shared location; only when it is
-    unset (local tests) do we create one under the system temp folder.
+    On a cluster this is the configured shared location, and its absence is an
+    error: executors do not see one another's disks.  Only on a local master
+    (tests) is a folder made under the system temp folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -50,6 +52,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         sc = None
     if not root and sc is not None:
         root = sc.getCheckpointDir()
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="plyframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)

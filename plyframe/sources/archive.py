@@ -12,19 +12,6 @@ from plyframe.functions.columns import record_games
 RECORD_SEP = "\n[Event "
 
 
-def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Hash-spread rows over the cluster when the source yields fewer partitions
-    than there are cores (a compressed monthly file is one task; so is a small
-    table).  The parse and replay that follow are CPU-bound per record, so
-    moving raw records once beats running them in a handful of tasks."""
-    try:
-        target = partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the plan as is
-        return df.repartition(partitions, key) if partitions else df
-    return df if current >= target else df.repartition(target, key)
-
-
 def parse_games(records: DataFrame, value_col: str = "value") -> DataFrame:
     """Records of archive text -> one row per game: ``headers map, movetext``.
 
@@ -54,12 +41,14 @@ def read_games(spark: SparkSession, paths, *, record_sep: str = RECORD_SEP,
                partitions: int | None = None) -> DataFrame:
     """Archive files -> games(raw) with ``game_id`` = ``file#record.index`` (zero-padded).
 
-    Compressed files are one task each; their raw records are spread over
-    ``partitions`` (default: the cluster's parallelism) before parsing, so the
-    parse and replay are not bound to one core per file.
+    Compressed files are one task each; raw records are rebalanced by their
+    bytes (or dealt to ``partitions``) before parsing, so the parse and replay
+    are not bound to one core per file.
     """
     plist = [paths] if isinstance(paths, str) else list(paths)
-    games = parse_games(spread(read_records(spark, plist, record_sep), "record_id", partitions))
+    records = read_records(spark, plist, record_sep)
+    records = records.repartition(partitions, "record_id") if partitions else records.hint("rebalance")
+    games = parse_games(records)
     # Zero-padded so that ordering by game_id follows the order records were read.
     games = games.select(
         F.concat_ws("#", "file", F.concat_ws(".", F.lpad(F.col("record_id").cast("string"), 20, "0"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.operators.counts import merge_counts
-from plyframe.schemas import COUNTS, COVERED, MONTHLY_COUNTS, POSITIONS
+from plyframe.schemas import COUNTS, COVERED, LOADS, MONTHLY_COUNTS, POSITIONS, STORED_COUNTS, VERSIONS
 
 MAX_RECORDS_PER_FILE = 10_000_000
 # Row groups small enough that a point lookup on the sorted key reads few of them.
@@ -30,29 +33,110 @@ def write_bucketed_counts(counts: DataFrame, path: str, by: str = "player_elo_bu
     counts.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-BATCH_PART = "full"
+FULL_PART = "full"
+
+
+def _loads_path(root: str) -> str:
+    return root.rstrip("/") + "_loads"
+
+
+def _versions_path(merged_path: str) -> str:
+    return merged_path.rstrip("/") + "_versions"
+
+
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The Parquet table at ``path``; None only where the path does not exist."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _next(log: DataFrame | None) -> int:
+    return 1 if log is None else (log.agg(F.max("seq")).first()[0] or 0) + 1
 
 
-def write_month(counts: DataFrame, root: str, month: str | None = None, part: str = BATCH_PART) -> None:
-    """Replace the ``month=/part=`` partitions present in ``counts`` and nothing else.
+def write_month(counts: DataFrame, root: str, month: str | None = None, part: str = FULL_PART,
+                parts: DataFrame | None = None, whole: bool | None = None) -> None:
+    """Write one load of monthly counts and make it the current one.
 
-    Dynamic partition overwrite commits per job, so a rerun of a month (or a
-    replayed micro-batch, whose ``part`` is its batch id) swaps its partitions
-    instead of adding to them.  Rows are not moved to one task per month: each
-    writer task writes its own files into every partition it holds.
+    ``part`` names what the rows came from; counts with a ``part`` column of
+    their own hold many.  A load replaces the earlier loads of its parts, and
+    where ``whole`` (the default for the part ``full``) all earlier loads of its
+    months, whatever path wrote them.  A load goes to its own ``load=`` directory and counts from
+    the moment its lines are in the load log (``<root>_loads``, written last),
+    so readers see the old load or the new one, months can be written at the
+    same time, and a repeated batch replaces itself.  (Two loads of one month at
+    the same time: the greater load name counts.)  ``parts`` (month, part) names what the load covers
+    where some of it may have no rows; with ``month`` given the month is covered
+    even if ``counts`` is empty.
+
+    Rows are rebalanced by (month, part) before the write: few large files for
+    each, and a hot month is still split over tasks.
     """
+    spark = counts.sparkSession
     if month is not None:
         counts = counts.withColumn("month", F.lit(month))
-    (counts.withColumn("part", F.lit(part)).select(*[f.name for f in MONTHLY_COUNTS.fields])
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("month", "part").parquet(root))
+    if whole is None:
+        whole = part == FULL_PART and "part" not in counts.columns
+    if "part" not in counts.columns:
+        counts = counts.withColumn("part", F.lit(part))
+    load = uuid.uuid4().hex
+    (counts.select(*[f.name for f in MONTHLY_COUNTS.fields]).hint("rebalance", "month", "part")
+     .write.partitionBy("month", "part").parquet(f"{root.rstrip('/')}/load={load}"))
+    if parts is None and month is not None:
+        parts = spark.createDataFrame([(month, part)], "month string, part string")
+    written = read_table(spark, root, STORED_COUNTS)
+    covers = [] if written is None else [written.filter(F.col("load") == load).select("month", "part")]
+    covers += [] if parts is None else [parts.select("month", "part")]
+    if not covers:
+        return
+    seq = _next(read_table(spark, _loads_path(root), LOADS))
+    log = reduce(DataFrame.union, covers).distinct().select(
+        "month", "part", F.lit(whole).alias("whole"), F.lit(seq).cast("long").alias("seq"))
+    log.coalesce(1).write.parquet(f"{_loads_path(root)}/load={load}")
+
+
+def current_loads(spark: SparkSession, root: str) -> DataFrame | None:
+    """(month, part, load) that count: the last load of each part, not older than the month's last whole one."""
+    log = read_table(spark, _loads_path(root), LOADS)
+    if log is None:
+        return None
+    newest = F.struct("seq", "load")
+    last = log.groupBy("month", "part").agg(F.max(newest).alias("l"))
+    full = (log.filter("whole").groupBy(F.col("month").alias("_m")).agg(F.max(newest).alias("f")))
+    return (last.join(full, F.col("month").eqNullSafe(F.col("_m")), "left")
+            .filter(F.col("f").isNull() | (F.col("l") >= F.col("f")))
+            .select("month", "part", F.col("l.load").alias("load")))
+
+
+def _current(spark: SparkSession, root: str, loads: DataFrame) -> DataFrame | None:
+    data = read_table(spark, root, STORED_COUNTS)
+    return None if data is None else data.join(loads.select("load", "month", "part"), ["load", "month", "part"], "left_semi")
 
 
 def read_monthly(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(MONTHLY_COUNTS).parquet(root)
-    except AnalysisException:
+    """The rows of the current loads (``MONTHLY_COUNTS``); None where nothing was ever loaded."""
+    loads = current_loads(spark, root)
+    if loads is None:
+        if read_table(spark, root, STORED_COUNTS) is not None:
+            return spark.createDataFrame([], MONTHLY_COUNTS)  # a first load that never got to its log line
         return None
+    rows = _current(spark, root, loads)
+    return spark.createDataFrame([], MONTHLY_COUNTS) if rows is None else rows.select(*[f.name for f in MONTHLY_COUNTS.fields])
+
+
+def compact_month(spark: SparkSession, root: str, month: str) -> None:
+    """Merge all parts of a month into one full load with few files, each sorted by position.
+
+    A part loaded while this runs is newer than what was read and must be loaded again."""
+    rows = read_monthly(spark, root)
+    if rows is None:
+        raise FileNotFoundError(root)
+    one = merge_counts(rows.filter(F.col("month") == month).drop("month", "part"))
+    write_month(one, root, month)
 
 
 def write_sorted(counts: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -67,51 +151,77 @@ def write_sorted(counts: DataFrame, path: str, partitions: int | None = None) ->
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(COUNTS).parquet(path)
-    except AnalysisException:
-        return None
+    """A count table; None where there is none."""
+    return read_table(spark, path, COUNTS)
 
 
 def merge_months(spark: SparkSession, monthly_root: str, merged_path: str,
                  partitions: int | None = None) -> DataFrame:
-    """Rebuild the merged table from every month (never added to in place) and
-    record which months it covers in ``<merged_path>_months``."""
-    monthly = read_monthly(spark, monthly_root)
-    if monthly is None:
+    """Rebuild the merged table from every current load, as a new version.
+
+    A version holds the counts and the list of loads they cover; it is named in
+    ``<merged_path>_versions`` last, so a reader sees a whole version or the one
+    before, and earlier versions stay readable.
+    """
+    loads = current_loads(spark, monthly_root)
+    if loads is None:
         raise FileNotFoundError(monthly_root)
-    merged = merge_counts(monthly.drop("month", "part"))
-    write_sorted(merged, merged_path, partitions)
-    monthly.select("month", "part").distinct() \
-        .write.mode("overwrite").parquet(merged_path.rstrip("/") + "_months")
-    return read_counts(spark, merged_path)
+    version = f"{merged_path.rstrip('/')}/{uuid.uuid4().hex}"
+    loads.write.parquet(f"{version}/covered")
+    covered = spark.read.schema(COVERED).parquet(f"{version}/covered")
+    rows = _current(spark, monthly_root, covered)
+    rows = spark.createDataFrame([], COUNTS) if rows is None else rows.drop("month", "part", "load")
+    write_sorted(merge_counts(rows), f"{version}/counts", partitions)
+    seq = _next(read_table(spark, _versions_path(merged_path), VERSIONS))
+    spark.createDataFrame([(seq, version)], VERSIONS).coalesce(1).write.mode("append").parquet(_versions_path(merged_path))
+    return spark.read.schema(COUNTS).parquet(f"{version}/counts")
+
+
+def _version(spark: SparkSession, merged_path: str) -> str | None:
+    log = read_table(spark, _versions_path(merged_path), VERSIONS)
+    if log is not None:
+        return log.agg(F.max(F.struct("seq", "path"))["path"].alias("p")).first()["p"]
+    if read_counts(spark, merged_path) is not None:
+        raise ValueError(f"{merged_path} holds data but no finished version: which months it covers is not known")
+    return None
+
+
+def read_merged(spark: SparkSession, merged_path: str) -> DataFrame | None:
+    """The last finished version of the merged table."""
+    version = _version(spark, merged_path)
+    return None if version is None else spark.read.schema(COUNTS).parquet(f"{version}/counts")
 
 
 def counts_view(spark: SparkSession, merged_path: str | None, monthly_root: str | None,
                 prefer: str = "union") -> DataFrame | None:
     """The counts to answer lookups from, re-resolved on every call.
 
-    ``union``: the merged table plus month partitions written after the last
-    merge (anti-join on the (month, part) list the merge covered), so new
-    months and new micro-batches are visible at once.  ``merged_first``: the merged table alone when present, else all
-    monthly partitions.  None when there is no data at all.
+    ``union``: the merged table plus the loads made after its version (anti-join
+    on the loads it covers), so new months and micro-batches are visible at
+    once.  Where a load it covers has been replaced since, its counts cannot be
+    taken back out of the merged sums: the view is then the monthly loads until
+    the next merge.  ``merged_first``: the merged table alone when present, else
+    all monthly loads.  None when there is no data at all; merged data without a
+    finished version is an error, never "nothing covered".
 
     The view is a UNION ALL, not re-aggregated: a key may appear once per
     source, and lookups sum after their position filter has reached every
     scan.  Use ``merge_counts(view)`` where one row per key is needed.
     """
-    merged = read_counts(spark, merged_path) if merged_path else None
-    monthly = read_monthly(spark, monthly_root) if monthly_root else None
-    if merged is None:
+    version = _version(spark, merged_path) if merged_path else None
+    loads = current_loads(spark, monthly_root) if monthly_root else None
+    if version is None:
+        monthly = read_monthly(spark, monthly_root) if monthly_root else None
         return None if monthly is None else monthly.drop("month", "part")
-    if monthly is None or prefer == "merged_first":
+    merged = spark.read.schema(COUNTS).parquet(f"{version}/counts")
+    if loads is None or prefer == "merged_first":
         return merged
-    try:
-        covered = spark.read.schema(COVERED).parquet(merged_path.rstrip("/") + "_months")
-    except AnalysisException:
-        covered = None
-    newer = monthly if covered is None else monthly.join(covered, ["month", "part"], "left_anti")
-    return merged.unionByName(newer.drop("month", "part"))
+    covered = spark.read.schema(COVERED).parquet(f"{version}/covered")
+    keys = ["month", "part", "load"]
+    if not covered.join(loads, keys, "left_anti").isEmpty():
+        return read_monthly(spark, monthly_root).drop("month", "part")
+    newer = _current(spark, monthly_root, loads.join(covered, keys, "left_anti"))
+    return merged if newer is None else merged.unionByName(newer.drop(*keys))
 
 
 def head_rows(df: DataFrame, n: int = 10) -> DataFrame:

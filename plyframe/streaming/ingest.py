@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import time
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.functions.columns import url_join
+from plyframe.functions.columns import col_of, url_join
 from plyframe.operators.counts import count_moves
 from plyframe.operators.extract import extract_positions
 from plyframe.operators.metrics import observe_games, observe_positions
 from plyframe.operators.qualify import qualify_games
 from plyframe.schemas import LEDGER
-from plyframe.sources.archive import RECORD_SEP, parse_games, read_games
-from plyframe.sources.storage import write_month
+from plyframe.sources.archive import RECORD_SEP, parse_games, read_records
+from plyframe.sources.storage import FULL_PART, read_table, write_month
 
 # Monthly archive links on a listing page: an optional folder, a name ending in
 # _YYYY-MM, the .pgn.zst suffix (path = group 1, month = group 2).
@@ -21,8 +24,6 @@ ARCHIVE_LINK_PATTERN = r'href="((?:[\w-]+/)?[\w-]*?_(\d{4}-\d{2})\.pgn\.zst)"'
 ARCHIVE_BASE_URL = "https://archive.example.org/"
 MAX_MONTHS_PER_RUN = 3
 MONTH_IN_PATH = r"(\d{4}-\d{2})"
-# The monthly counting stage keeps buckets 600..3900 only.
-COUNTED_BUCKETS = (600, 3900)
 UNKNOWN_MONTH = "unknown"
 
 
@@ -51,9 +52,8 @@ def list_months(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def load_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Processed months as a sorted set; a missing ledger is empty."""
-    try:
-        df = spark.read.schema(LEDGER).parquet(path)
-    except AnalysisException:
+    df = read_table(spark, path, LEDGER)
+    if df is None:
         df = spark.createDataFrame([], LEDGER)
     return df.distinct().orderBy("year_month")
 
@@ -74,36 +74,63 @@ def pending_months(available: DataFrame, ledger: DataFrame, max_months: int | No
     return todo.limit(max_months) if max_months is not None else todo
 
 
+def part_of(file) -> Column:
+    """The part a file's rows are loaded as: the same for every path that reads the file."""
+    return F.substring(F.sha2(col_of(file), 256), 1, 16)
+
+
+def _counted(positions: DataFrame, buckets: tuple[int, int] | None) -> DataFrame:
+    kept = positions if buckets is None else positions.filter(F.col("player_elo_bucket").between(*buckets))
+    return count_moves(kept, keys=("month", "part", "base_fen", "player_elo_bucket", "move_san"))
+
+
 def ingest(spark: SparkSession, archives: DataFrame, monthly_root: str, ledger_path: str, *,
-           record_sep: str = RECORD_SEP) -> DataFrame:
-    """Batch path: (year_month, path) archives -> counts in ``month=`` partitions.
-
-    Each month is one distributed job (read, replay, count, write with dynamic
-    partition overwrite, so a rerun replaces the month instead of adding to
-    it).  A failing month commits nothing, is reported and does not stop the
-    others; the ledger records a month only after its data commit.  Returns a
-    report (year_month, status, error, games_scanned, games_kept, positions);
-    the counters are observed during the write job itself, no extra pass.
+           record_sep: str = RECORD_SEP, buckets: tuple[int, int] | None = None, at_once: int = 4) -> DataFrame:
+    """Batch path: (year_month, path) archives -> the current load of each month.
+
+    Each month is one distributed job (read, replay, count, write); its load
+    replaces everything loaded for the month before, by batch or stream, and
+    its rows are filed by source file, so the stream reading the same file
+    replaces them too.  ``at_once`` months run together: while one is
+    decompressed by a single task the others fill the cluster.  A failing month
+    commits nothing, is reported with its whole message and does not stop the
+    others; the ledger records a month only after its data commit.
+
+    ``archives`` is the list of one run (as ``update_months`` caps it): its rows
+    pass through the driver, one at a time.  ``buckets`` keeps an inclusive
+    range of rating buckets (None: all).  Returns a report (year_month, status,
+    error, games_scanned, games_kept, positions, files, seconds); the counters
+    are observed during the write job itself, no extra pass.
     """
-    # The run list is capped (max_months), so it may pass through the driver.
-    run = [(r["year_month"], r["path"]) for r in archives.select("year_month", "path").orderBy("year_month").collect()]
-    report = []
-    for month, path in run:
+    def one(row) -> tuple:
+        month, path = row["year_month"], row["path"]
+        began = time.monotonic()
         try:
-            raw = read_games(spark, path, record_sep=record_sep).withColumn("month", F.lit(month))
+            raw = parse_games(read_records(spark, path, record_sep).hint("rebalance")).select(
+                F.lit(None).cast("string").alias("game_id"), F.lit(month).alias("month"),
+                part_of("file").alias("part"), "headers", "movetext")
             judged, games_seen = observe_games(qualify_games(raw, with_reason=True), f"games-{month}")
             kept = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
             positions, plies = observe_positions(extract_positions(kept), f"positions-{month}")
-            counted = positions.filter(F.col("player_elo_bucket").between(*COUNTED_BUCKETS))
-            write_month(count_moves(counted, keys=("month", "base_fen", "player_elo_bucket", "move_san")),
-                        monthly_root)
-            add_to_ledger(spark, ledger_path, spark.createDataFrame([(month,)], LEDGER))
-            report.append((month, "done", None, games_seen.get["scanned"], games_seen.get["kept"],
-                           plies.get["positions"]))
+            write_month(_counted(positions, buckets), monthly_root, whole=True,
+                        parts=spark.createDataFrame([(month, FULL_PART)], "month string, part string"))
+            files = spark.read.format("binaryFile").load(path).select("path").count()
+            return (month, "done", None, games_seen.get["scanned"], games_seen.get["kept"], plies.get["positions"],
+                    files, time.monotonic() - began)
         except Exception as e:  # isolate the month; the others still run
-            report.append((month, "failed", f"{type(e).__name__}: {str(e)[:300]}", None, None, None))
+            return month, "failed", f"{type(e).__name__}: {e}", None, None, None, None, time.monotonic() - began
+
+    rows = archives.select("year_month", "path").orderBy("year_month").toLocalIterator()
+    report = []
+    with ThreadPoolExecutor(at_once) as pool:
+        for batch in iter(lambda: list(islice(rows, at_once)), []):
+            done = list(pool.map(one, batch))
+            report += done
+            months = [(r[0],) for r in done if r[1] == "done"]
+            if months:
+                add_to_ledger(spark, ledger_path, spark.createDataFrame(months, LEDGER))
     return spark.createDataFrame(report, "year_month string, status string, error string, games_scanned long, "
-                                         "games_kept long, positions long")
+                                         "games_kept long, positions long, files long, seconds double")
 
 
 def progress_path(monthly_root: str) -> str:
@@ -117,34 +144,38 @@ def stream_progress(spark: SparkSession, monthly_root: str) -> DataFrame:
 
 def ingest_stream(spark: SparkSession, source_dir: str, monthly_root: str, checkpoint: str, *,
                   path_glob: str = "*", month_pattern: str = MONTH_IN_PATH,
-                  max_files_per_trigger: int | None = None, record_sep: str = RECORD_SEP):
+                  max_files_per_trigger: int | None = None, record_sep: str = RECORD_SEP,
+                  buckets: tuple[int, int] | None = None):
     """Streaming path: new archive files under ``source_dir`` -> month partitions.
 
     ``availableNow`` drains what is there and stops; the file source's
     checkpoint log is the ledger, so a rerun sees only files added since.
-    Each micro-batch writes its counts to ``part=b<batch id>`` under every
-    month it holds: a replayed batch after a failure rewrites exactly those
-    partitions, and a month may span any number of files and batches.
+    Each file is read whole in one micro-batch and its counts are loaded as its
+    own part of every month it holds: a replayed batch, a lost checkpoint, other
+    batch sizes and the batch path all replace the same part instead of adding
+    to it.  Records are rebalanced over the cluster right after they are split,
+    so a compressed month is not parsed and replayed by the task that
+    decompresses it.
     """
     tag = record_sep.lstrip("\n")
-    stream = (spark.readStream.option("lineSep", record_sep)
-              .option("maxFilesPerTrigger", max_files_per_trigger or 100_000)
-              .text(f"{source_dir.rstrip('/')}/{path_glob}"))
+    reader = spark.readStream.option("lineSep", record_sep)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.text(f"{source_dir.rstrip('/')}/{path_glob}")
     value = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit(tag), "value"))
-    month = F.regexp_extract(F.col("_metadata.file_path"), month_pattern, 1)
+    file = F.col("_metadata.file_path")
+    month = F.regexp_extract(file, month_pattern, 1)
     # A file whose path names no month is kept, under month=unknown.
     records = stream.select(F.when(month != "", month).otherwise(F.lit(UNKNOWN_MONTH)).alias("month"),
-                            value.alias("value"))
+                            part_of(file).alias("part"), value.alias("value"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        games = parse_games(batch).select(
-            F.lit(None).cast("string").alias("game_id"), "month", "headers", "movetext")
+        games = parse_games(batch.hint("rebalance")).select(
+            F.lit(None).cast("string").alias("game_id"), "month", "part", "headers", "movetext")
         judged, games_seen = observe_games(qualify_games(games, with_reason=True), f"stream-games-{batch_id}")
         kept = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
         positions, plies = observe_positions(extract_positions(kept), f"stream-positions-{batch_id}")
-        counted = positions.filter(F.col("player_elo_bucket").between(*COUNTED_BUCKETS))
-        write_month(count_moves(counted, keys=("month", "base_fen", "player_elo_bucket", "move_san")),
-                    monthly_root, part=f"b{batch_id:010d}")
+        write_month(_counted(positions, buckets), monthly_root)
         # One progress row per micro-batch, replaced (not duplicated) on replay.
         progress = spark.createDataFrame(
             [(batch_id, games_seen.get["scanned"], games_seen.get["kept"], plies.get["positions"])],

@@ -4,6 +4,7 @@ import glob
 import os
 
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from plyframe.operators.counts import count_moves, merge_counts
@@ -12,9 +13,9 @@ from plyframe.operators.qualify import qualify_games
 from plyframe.operators.recommend import top_moves
 from plyframe.schemas import COUNTS
 from plyframe.sources.archive import read_games
-from plyframe.sources.storage import (counts_view, head_rows, merge_months, read_counts, read_positions,
-                                      row_at, write_bucketed_counts, write_month, write_positions,
-                                      write_sorted)
+from plyframe.sources.storage import (compact_month, counts_view, current_loads, head_rows, merge_months,
+                                      read_counts, read_merged, read_monthly, read_positions, row_at,
+                                      write_bucketed_counts, write_month, write_positions, write_sorted)
 from plyframe.streaming.ingest import (add_to_ledger, ingest, ingest_stream, list_months, load_ledger,
                                        pending_months)
 
@@ -90,27 +91,101 @@ def test_head_and_keyed_row(spark):
     assert row_at(df, 35, "k").first().k == 105
 
 
-def test_ledger_round_trip(spark, tmp):
+def test_ledger_is_a_set_in_order(spark, tmp):
     path = os.path.join(tmp, "ledger")
-    assert load_ledger(spark, path).count() == 0
-    months = spark.createDataFrame([("2024-02",), ("2024-01",)], "year_month string")
-    assert [r[0] for r in add_to_ledger(spark, path, months).collect()] == ["2024-01", "2024-02"]
-    assert [r[0] for r in add_to_ledger(spark, path, months).collect()] == ["2024-01", "2024-02"]
-
-
-def test_month_discovery(spark):
-    html = ('<a href="standard/games_rated_2024-01.pgn.zst">a</a>'
-            '<a href="standard/games_rated_2024-02.pgn.zst">b</a>'
-            '<a href="standard/games_rated_2023-12.pgn.zst">c</a>'
-            '<a href="standard/games_rated_2024-01.pgn.zst">dup</a>'
-            '<a href="https://example.com/other">noise</a>')
-    pages = spark.createDataFrame([(html,)], "html string")
-    got = list_months(pages).collect()
-    assert [r.year_month for r in got] == ["2023-12", "2024-01", "2024-02"]
-    assert all(r.url.startswith("https://") and r.url.endswith(".pgn.zst") for r in got)
-    ledger = spark.createDataFrame([("2023-12",)], "year_month string")
-    todo = pending_months(list_months(pages), ledger, max_months=1).collect()
-    assert [r.year_month for r in todo] == ["2024-01"]
+    assert load_ledger(spark, path).isEmpty()
+    for run in (["2031-11"], ["2030-04", "2031-11"], []):
+        got = add_to_ledger(spark, path, spark.createDataFrame([(m,) for m in run], "year_month string"))
+    assert [r.year_month for r in got.collect()] == ["2030-04", "2031-11"]
+
+
+def test_archive_links_of_a_listing(spark):
+    pages = spark.createDataFrame([
+        ("<li><a href=\"dump/plays_2031-11.pgn.zst\">x</a> 2030-04 <a href='q_2029-01.pgn.zst'>single quotes</a></li>",),
+        ('<a href="b_2030-04.pgn.zst"></a><a href="a_2030-04.pgn.zst"></a><a href="c_2030-4.pgn.zst"></a>',),
+        ('<a href="notes_2031-12.txt"></a><a href="a/b/c_2031-10.pgn.zst"></a>',), (None,), ("",)], "html string")
+    got = [(r.year_month, r.url.rsplit("/", 1)[1]) for r in list_months(pages).collect()]
+    assert sorted(got) == [("2030-04", "a_2030-04.pgn.zst"), ("2031-11", "plays_2031-11.pgn.zst")]
+    done = spark.createDataFrame([("2031-11",)], "year_month string")
+    assert [r.year_month for r in pending_months(list_months(pages), done, 5).collect()] == ["2030-04"]
+
+
+def _total(df):
+    return 0 if df is None else df.agg(F.sum("times_played")).first()[0] or 0
+
+
+def test_a_full_load_replaces_the_month_whatever_wrote_it(spark, tmp):
+    root = os.path.join(tmp, "monthly")
+    c = lambda n: spark.createDataFrame([(START, 1500, "e4", n)], COUNTS)
+    write_month(c(1), root, "2030-01", part="a")
+    write_month(c(2), root, "2030-01", part="b")
+    write_month(c(9), root, "2030-02", part="a")
+    assert _total(read_monthly(spark, root)) == 12
+    write_month(c(4), root, "2030-01", part="b")
+    assert _total(read_monthly(spark, root)) == 14
+    write_month(c(7), root, "2030-01")
+    assert _total(read_monthly(spark, root)) == 16
+    write_month(c(3), root, "2030-01", part="c")  # newer than the full load: added
+    assert _total(read_monthly(spark, root)) == 19
+    compact_month(spark, root, "2030-01")
+    assert _total(read_monthly(spark, root)) == 19 and current_loads(spark, root).count() == 2
+    write_month(c(1).limit(0), root, "2030-01")  # an empty month replaces as well
+    assert _total(read_monthly(spark, root)) == 9
+
+
+def test_view_after_a_covered_month_is_replaced(spark, tmp):
+    root, merged = os.path.join(tmp, "monthly"), os.path.join(tmp, "merged")
+    c = lambda n: spark.createDataFrame([(START, 1500, "e4", n)], COUNTS)
+    write_month(c(2), root, "2030-01")
+    write_month(c(5), root, "2030-02")
+    assert _total(merge_months(spark, root, merged)) == 7
+    write_month(c(10), root, "2030-01")
+    assert _total(counts_view(spark, merged, root)) == 15
+    assert _total(read_merged(spark, merged)) == 7 == _total(counts_view(spark, merged, root, prefer="merged_first"))
+    merge_months(spark, root, merged)
+    write_month(c(1), root, "2030-03")
+    assert _total(counts_view(spark, merged, root)) == 16
+
+
+def test_merged_data_without_a_finished_version_is_an_error(spark, tmp):
+    root, merged = os.path.join(tmp, "monthly"), os.path.join(tmp, "merged")
+    c = spark.createDataFrame([(START, 1500, "e4", 2)], COUNTS)
+    write_month(c, root, "2030-01")
+    write_sorted(c, merged)
+    with pytest.raises(ValueError, match="no finished version"):
+        counts_view(spark, merged, root)
+
+
+def test_one_archive_through_both_paths_and_a_new_checkpoint(spark, tmp):
+    src = os.path.join(tmp, "src")
+    path = _archive(src, "2030-05", n=4)
+    monthly = os.path.join(tmp, "monthly")
+    archives = spark.createDataFrame([("2030-05", path)], "year_month string, path string")
+    ingest(spark, archives, monthly, os.path.join(tmp, "ledger"))
+    want = _total(read_monthly(spark, monthly))
+    assert want == 4 * 6
+    _archive(src, "2030-06", n=1)
+    for name, files in (("c1", None), ("c2", 1)):
+        ingest_stream(spark, src, monthly, os.path.join(tmp, name), max_files_per_trigger=files)
+        assert _total(read_monthly(spark, monthly)) == want + 6
+    ingest(spark, archives, monthly, os.path.join(tmp, "ledger"))
+    assert _total(read_monthly(spark, monthly)) == want + 6
+
+
+def test_high_ratings_count_alike_on_every_path(spark, tmp):
+    src = os.path.join(tmp, "src")
+    os.makedirs(src)
+    path = os.path.join(src, "games_2030-07.pgn")
+    with open(path, "w") as f:
+        f.write(GAME.replace("1500", "4100").replace("1450", "5200"))
+    monthly, kept = os.path.join(tmp, "monthly"), os.path.join(tmp, "kept")
+    archives = spark.createDataFrame([("2030-07", path)], "year_month string, path string")
+    report = ingest(spark, archives, monthly, os.path.join(tmp, "l1")).first()
+    direct = count_moves(extract_positions(qualify_games(read_games(spark, path))))
+    assert _total(read_monthly(spark, monthly)) == _total(direct) == report.positions
+    assert report.files == 1 and report.seconds > 0
+    ingest(spark, archives, kept, os.path.join(tmp, "l2"), buckets=(600, 4200))
+    assert _total(read_monthly(spark, kept)) == _total(direct.filter("player_elo_bucket between 600 and 4200"))
 
 
 def test_batch_ingest_is_idempotent(spark, tmp):
