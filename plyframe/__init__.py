@@ -15,7 +15,7 @@ from plyframe.operators.extract import extract_positions, replay_errors, tokeniz
 from plyframe.operators.metrics import observe_games, observe_positions
 from plyframe.operators.qualify import filter_report, limit_games, qualify_games
 from plyframe.operators.recommend import (as_responses, display_share, recommend, requests_from_json,
-                                          responses_to_json, top_moves, top_moves_sql, validate_requests)
+                                          responses_to_json, top_moves, validate_requests)
 from plyframe.sources.archive import parse_games, read_games, read_records
 from plyframe.sources.storage import (compact_month, counts_view, merge_months, read_counts, read_merged, read_monthly,
                                       read_positions, write_bucketed_counts, write_month, write_positions, write_sorted)
@@ -29,7 +29,7 @@ __all__ = [
     "next_item_stats", "observe_games", "observe_positions", "parse_games", "parse_rating",
     "pending_months", "qualify_games", "read_counts", "read_games", "read_merged", "read_monthly", "read_positions",
     "read_records", "recommend", "register_sql_functions", "replay_errors", "requests_from_json", "responses_to_json",
-    "sequence_steps", "stream_progress", "tokenize_moves", "tokens", "top_k_share", "top_moves", "top_moves_sql",
+    "sequence_steps", "stream_progress", "tokenize_moves", "tokens", "top_k_share", "top_moves",
     "update_months", "validate_requests", "write_bucketed_counts", "write_month", "write_positions",
     "write_sorted",
 ]

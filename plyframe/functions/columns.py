@@ -39,9 +39,13 @@ def col_of(c) -> Column:
 
 
 def bucket(c, width: int = 100) -> Column:
-    """Floor to a multiple of ``width`` (1450 -> 1400), as an int (null if it
-    does not fit, rather than an ANSI overflow error failing the job)."""
-    return (F.floor(col_of(c) / F.lit(width)) * F.lit(width)).try_cast("int")
+    """Floor to a multiple of ``width`` (1450 -> 1400), as a bigint: exact for
+    integer columns of any size, null where the result does not fit."""
+    c = col_of(c)
+    whole = c.try_cast("long")
+    exact = F.try_subtract(whole, F.pmod(whole, F.lit(width).cast("long")))
+    floored = (F.floor(c / F.lit(width)) * F.lit(width)).try_cast("long")
+    return F.when(F.typeof(c).isin("tinyint", "smallint", "int", "bigint"), exact).otherwise(floored)
 
 
 def header(headers, key: str, default: str = "") -> Column:

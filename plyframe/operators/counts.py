@@ -47,7 +47,9 @@ def top_k_share(stats: DataFrame, group_cols, item_col: str, weight_col: str, k:
     top ``k``; ties go to the smaller item.
     """
     group_cols = list(group_cols)
-    agg = (stats.groupingSets([group_cols + [item_col], group_cols], *group_cols, item_col)
+    # Raw rows are folded once; only (group, item) sums are then expanded for the totals.
+    items = stats.groupBy(*group_cols, item_col).agg(F.sum(weight_col).cast("long").alias(weight_col))
+    agg = (items.groupingSets([group_cols + [item_col], group_cols], *group_cols, item_col)
            .agg(F.sum(weight_col).cast("long").alias(weight_col), F.grouping(item_col).alias("_is_total")))
     order = Window.partitionBy(*group_cols).orderBy(F.desc("_is_total"), F.desc(weight_col), F.asc(item_col))
     top = agg.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k + 1)

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyframe.functions.board import normalise_fen
 from plyframe.functions.replay import normalise_fen_udf
 from plyframe.operators.counts import top_k_share
-from plyframe.session import BROADCAST_MAX_ROWS
-
-# Answers are broadcast back to the requests only below this many rows.
-ANSWERS_BROADCAST_MAX_ROWS = 1_000_000
-# Up to this many distinct lookup keys, their positions filter the counts scan.
-PUSHDOWN_MAX_KEYS = 1_000
 
 # Default rating bounds and answer size of the lookup.
 DEFAULT_ELO_MIN = 0
@@ -23,10 +19,16 @@ TOP_K = 5
 _INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 
 
+_LONG_MIN, _LONG_MAX = -(1 << 63), (1 << 63) - 1
+
+
 def _bound(c: Column, default: int) -> Column:
-    text = c.cast("string")
-    return (F.when(c.isNull(), F.lit(default))
-            .when(text.rlike(_INT_TEXT), F.trim(text).try_cast("int")))
+    """Integer text of any size as a bigint (beyond its range: its end); null for other text."""
+    text = F.trim(c.cast("string"))
+    wide = text.try_cast("decimal(38,0)")
+    end = F.when(text.startswith("-"), F.lit(_LONG_MIN)).otherwise(F.lit(_LONG_MAX))
+    return (F.when(c.isNull(), F.lit(default).cast("long"))
+            .when(text.rlike(_INT_TEXT), F.coalesce(wide.try_cast("long"), end)))
 
 
 def display_share(c) -> Column:
@@ -42,15 +44,15 @@ def validate_requests(requests: DataFrame, key_is_fen: bool = True) -> DataFrame
     pawn can use matches the stored key without it.
     """
     fen = F.col("fen")
-    if key_is_fen:
-        norm = normalise_fen_udf(fen)
-    else:  # generic context keys are used as given
-        norm = F.struct(fen.alias("fen"), F.lit(None).cast("string").alias("error"))
     lo = _bound(F.col("elo_min"), DEFAULT_ELO_MIN)
     hi = _bound(F.col("elo_max"), DEFAULT_ELO_MAX)
-    # The UDF result is projected once and referenced by name afterwards, so
-    # the plan evaluates it once per request.
-    parsed = requests.select("request_id", fen.alias("fen"), norm.alias("_n"), lo.alias("lo"), hi.alias("hi"))
+    parsed = requests.select("request_id", fen, lo.alias("lo"), hi.alias("hi"))
+    if key_is_fen:  # each distinct FEN is parsed once, however many requests name it
+        norm = requests.select(fen.alias("_fen")).filter(fen.isNotNull()).distinct().select(
+            "_fen", normalise_fen_udf(F.col("_fen")).alias("_n"))
+        parsed = parsed.join(norm, F.col("fen") == F.col("_fen"), "left").drop("_fen")
+    else:  # generic context keys are used as given
+        parsed = parsed.withColumn("_n", F.struct(fen.alias("fen"), F.lit(None).cast("string").alias("error")))
     error = (F.when(F.col("fen").isNull() | (F.trim("fen") == ""), F.lit("missing_fen"))
              .when(F.col("_n.error").isNotNull(), F.lit("invalid_fen"))
              .when(F.col("lo").isNull() | F.col("hi").isNull(), F.lit("invalid_range")))
@@ -60,60 +62,64 @@ def validate_requests(requests: DataFrame, key_is_fen: bool = True) -> DataFrame
 
 
 def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
-              broadcast_keys: bool | None = None, key_is_fen: bool = True) -> DataFrame:
+              key_is_fen: bool = True, only: Sequence[str] | None = None) -> DataFrame:
     """Batch form of the lookup -> (request_id, error, rank, move_san, plays, percentage).
 
     Duplicate requests (a hot opening asked for by many) collapse to one
-    distinct (fen, lo, hi) key before touching the counts; keys join the
-    counts on the position with the bucket range as a join condition
-    (broadcast when the key set is provably small, shuffled on the position
-    otherwise); answers go back to every request by a left join, and a request
-    with no rows gets ``not_found``.
+    distinct (fen, lo, hi) key before touching the counts.  Counts are folded to
+    one row per (position, move) with its plays by bucket, so a key meets each
+    move of its position once, however many buckets there are.  Answers go back
+    to valid requests by a left join (a request with no rows gets
+    ``not_found``); invalid ones never enter a join.  Nothing runs until the
+    result is used; join strategies are left to the sizes Spark sees.
+
+    ``only`` names the positions all requests are about, where the caller knows
+    them: they become a filter on the counts scan (row groups of the sorted
+    table are skipped by min/max).
     """
     v = validate_requests(requests, key_is_fen)
     key = ["key_fen", "lo", "hi"]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("rank", "int"), ("move_san", "string"), ("plays", "long"),
+                                                     ("percentage", "double"))]
     if counts is None:
-        return v.select("request_id", F.coalesce("error", F.lit("no_source")).alias("error"),
-                        F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("move_san"),
-                        F.lit(None).cast("long").alias("plays"), F.lit(None).cast("double").alias("percentage"))
-    keys = v.filter(F.col("error").isNull()).select(*key).distinct()
-    c = counts.select("base_fen", "player_elo_bucket", "move_san", "times_played")
-    # Bounded checks decide the plan: a few positions are pushed into the
-    # counts scan as an IN list (row groups of the sorted table are skipped by
-    # min/max); the key set is broadcast when provably small (the probe side
-    # is the whole counts table); answers (at most k rows per key) likewise.
-    n_keys = None
-    if broadcast_keys is None:
-        few = keys.limit(PUSHDOWN_MAX_KEYS + 1).collect()
-        if len(few) <= PUSHDOWN_MAX_KEYS:
-            # At most PUSHDOWN_MAX_KEYS rows: they become the broadcast side
-            # directly, so the main job does not recompute the request keys.
-            n_keys = len(few)
-            c = c.filter(F.col("base_fen").isin(sorted({r["key_fen"] for r in few})))
-            keys = requests.sparkSession.createDataFrame(few, keys.schema)
-        else:
-            n_keys = keys.limit(BROADCAST_MAX_ROWS + 1).count()
-    if broadcast_keys or (n_keys is not None and n_keys <= BROADCAST_MAX_ROWS):
-        keys = F.broadcast(keys)
-    small_answers = n_keys is not None and n_keys * k <= ANSWERS_BROADCAST_MAX_ROWS
-    matched = c.join(keys, (c["base_fen"] == keys["key_fen"])
-                     & c["player_elo_bucket"].between(keys["lo"], keys["hi"]))
-    top = top_k_share(matched.withColumnRenamed("times_played", "plays"), key, "move_san", "plays", k)
-    out = v.join(F.broadcast(top) if small_answers else top, key, "left")
-    error = F.coalesce(F.col("error"), F.when(F.col("move_san").isNull(), F.lit("not_found")))
-    return out.select("request_id", error.alias("error"), F.col("rank").cast("int").alias("rank"),
-                      "move_san", "plays", "percentage")
+        return v.select("request_id", F.coalesce("error", F.lit("no_source")).alias("error"), *none)
+    valid = v.filter(F.col("error").isNull()).drop("error")
+    invalid = v.filter(F.col("error").isNotNull()).select("request_id", "error", *none)
+    c = counts if only is None else counts.filter(F.col("base_fen").isin(list(only)))
+    moves = (c.groupBy("base_fen", "move_san", F.col("player_elo_bucket").cast("long").alias("bucket"))
+             .agg(F.sum("times_played").alias("plays"))
+             .groupBy("base_fen", "move_san").agg(F.collect_list(F.struct("bucket", "plays")).alias("by")))
+    inside = F.filter("by", lambda x: x["bucket"].between(F.col("lo"), F.col("hi")))
+    matched = (valid.select(*key).distinct().join(moves, F.col("key_fen") == F.col("base_fen"))
+               .select(*key, "move_san", inside.alias("by")).filter(F.size("by") > 0)
+               .withColumn("plays", F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + x["plays"])))
+    top = top_k_share(matched.drop("by"), key, "move_san", "plays", k)
+    found = valid.join(top, key, "left").select(
+        "request_id", F.when(F.col("move_san").isNull(), F.lit("not_found")).alias("error"),
+        F.col("rank").cast("int").alias("rank"), "move_san", "plays", "percentage")
+    return found.unionByName(invalid)
 
 
 def requests_from_json(df: DataFrame, col: str = "body", id_col: str = "request_id") -> DataFrame:
     """JSON request bodies ``{"fen", "elo_min", "elo_max"}`` -> the request frame.
 
-    Bounds are read as text so that non-integers reach validation as
-    ``invalid_range`` instead of silently becoming null.
+    Bounds become integer text where the service would take them: a JSON number
+    loses its fraction, a boolean is 0 or 1, text stays text; an explicit null
+    is not the default but an ``invalid_range``.  A missing bound is null (the
+    default).  A body that is no JSON object has no fen.
     """
-    body = F.from_json(F.col(col), "fen string, elo_min string, elo_max string")
-    return df.select(F.col(id_col).cast("long").alias("request_id"), body.alias("b")).select(
-        "request_id", "b.fen", "b.elo_min", "b.elo_max")
+    body = F.try_parse_json(F.col(col))
+
+    def bound(name: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(body, f"$.{name}", "variant"))
+        value = lambda t: F.try_variant_get(body, f"$.{name}", t)
+        whole = F.when(value("double") < 0, F.ceil(value("double"))).otherwise(F.floor(value("double")))
+        return (F.when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), whole.cast("string"))
+                .when(kind == "BOOLEAN", value("boolean").cast("int").cast("string"))
+                .when(kind == "VOID", F.lit("null")).otherwise(value("string")).alias(name))
+
+    return df.select(F.col(id_col).cast("long").alias("request_id"), F.try_variant_get(body, "$.fen", "string").alias("fen"),
+                     bound("elo_min"), bound("elo_max"))
 
 
 def responses_to_json(responses: DataFrame) -> DataFrame:
@@ -135,36 +141,15 @@ def as_responses(recs: DataFrame) -> DataFrame:
                     .alias("alternatives")))
 
 
-def top_moves(counts: DataFrame, fen: str, elo_min: int = DEFAULT_ELO_MIN, elo_max: int = DEFAULT_ELO_MAX,
-              k: int = TOP_K, *, normalise: bool = True) -> DataFrame:
-    """Single lookup: the position filter reaches the Parquet scan (row groups of
+def top_moves(counts: DataFrame, fen: str, elo_min: int | None = DEFAULT_ELO_MIN,
+              elo_max: int | None = DEFAULT_ELO_MAX, k: int = TOP_K, *, normalise: bool = True) -> DataFrame:
+    """Single lookup (a bound of None is open): the position filter reaches the Parquet scan (row groups of
     the sorted table are skipped by min/max), then plays per move, top ``k``
     and each move's share of all moves played there, in one pass."""
     key = normalise_fen(fen) if normalise else fen
-    hits = (counts.filter((F.col("base_fen") == F.lit(key))
-                          & F.col("player_elo_bucket").between(F.lit(elo_min), F.lit(elo_max)))
-            .withColumnRenamed("times_played", "plays"))
+    hits = counts.filter(F.col("base_fen") == F.lit(key)).withColumnRenamed("times_played", "plays")
+    hits = hits if elo_min is None else hits.filter(F.col("player_elo_bucket") >= elo_min)
+    hits = hits if elo_max is None else hits.filter(F.col("player_elo_bucket") <= elo_max)
     # At most k rows: ordering them in one partition avoids a sampled range sort.
     return (top_k_share(hits, ["base_fen"], "move_san", "plays", k)
             .coalesce(1).sortWithinPartitions("rank").select("move_san", "plays", "percentage"))
-
-
-def top_moves_sql(spark, counts: DataFrame, fen: str, elo_min: int = DEFAULT_ELO_MIN,
-                  elo_max: int = DEFAULT_ELO_MAX, k: int = TOP_K, *, normalise: bool = True) -> DataFrame:
-    """The single lookup through the SQL front end with bound parameters (no
-    value is spliced into the text).  Same result as ``top_moves``."""
-    key = normalise_fen(fen) if normalise else fen
-    return spark.sql(
-        """
-        WITH hits AS (
-          SELECT move_san, SUM(times_played) AS plays
-          FROM {counts}
-          WHERE base_fen = :fen AND player_elo_bucket BETWEEN :lo AND :hi
-          GROUP BY move_san)
-        SELECT move_san, CAST(plays AS BIGINT) AS plays,
-               try_divide(CAST(plays AS DOUBLE) * 100D, CAST(SUM(plays) OVER () AS DOUBLE)) AS percentage
-        FROM hits
-        ORDER BY plays DESC, move_san
-        LIMIT :k
-        """,
-        args={"fen": key, "lo": elo_min, "hi": elo_max, "k": k}, counts=counts)

@@ -65,7 +65,7 @@ def _positions_sql(strict: bool = False) -> str:
     return f"""WITH {GAMES_CTE},{_golden_cte(strict)},
 positions AS (
   SELECT q.game_id, CAST(g.ply AS INTEGER) AS ply, q.event,
-         CAST(FLOOR(CASE WHEN g.ply % 2 = 0 THEN q.white_elo ELSE q.black_elo END / 100.0) * 100 AS INTEGER)
+         CAST(FLOOR(CASE WHEN g.ply % 2 = 0 THEN q.white_elo ELSE q.black_elo END / 100.0) * 100 AS BIGINT)
            AS player_elo_bucket, g.base_fen, g.move_san
   FROM qualified q JOIN golden g ON q.line_id = g.line_id)"""
 
@@ -74,12 +74,12 @@ _COUNTS_SQL = _positions_sql() + """,
 counts AS (SELECT base_fen, player_elo_bucket, move_san, COUNT(*) AS times_played
            FROM positions GROUP BY base_fen, player_elo_bucket, move_san)"""
 
-_ORDER_COUNTS = """SELECT o_orderpriority, CAST(FLOOR(o_totalprice / 10000.0) * 10000 AS INTEGER) AS price_bucket,
+_ORDER_COUNTS = """SELECT o_orderpriority, CAST(FLOOR(o_totalprice / 10000.0) * 10000 AS BIGINT) AS price_bucket,
        o_orderstatus, COUNT(*) AS times_played
 FROM orders GROUP BY ALL"""
 
 _LINEITEM_COUNTS = """lcounts AS (
-  SELECT CAST(l_partkey AS VARCHAR) AS base_fen, CAST(FLOOR(l_quantity / 10.0) * 10 AS INTEGER) AS player_elo_bucket,
+  SELECT CAST(l_partkey AS VARCHAR) AS base_fen, CAST(FLOOR(l_quantity / 10.0) * 10 AS BIGINT) AS player_elo_bucket,
          CAST(l_suppkey AS VARCHAR) AS move_san, COUNT(*) AS times_played
   FROM lineitem GROUP BY ALL)"""
 
@@ -88,7 +88,7 @@ _EVENT_STEPS = """esteps AS (
             LAG(event_type, 1) OVER (PARTITION BY user_id ORDER BY step) AS l1
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events)),
 ecounts AS (
-  SELECT COALESCE(l1, '^') AS base_fen, CAST(FLOOR(value / 25.0) * 25 AS INTEGER) AS player_elo_bucket,
+  SELECT COALESCE(l1, '^') AS base_fen, CAST(FLOOR(value / 25.0) * 25 AS BIGINT) AS player_elo_bucket,
          event_type AS move_san, COUNT(*) AS times_played
   FROM esteps GROUP BY ALL)"""
 
@@ -171,25 +171,41 @@ def oracle_sql() -> dict[str, str]:
     pos = _positions_sql()
     sql = {}
     sql["bucket_counts"] = _ORDER_COUNTS
-    sql["bucket_partition_filter"] = _ORDER_COUNTS
+    sql["bucket_partition_filter"] = f"SELECT * FROM ({_ORDER_COUNTS}) WHERE price_bucket = 100000"
+    sql["month_replace"] = """SELECT o_orderpriority, CAST(FLOOR(o_totalprice / 10000.0) * 10000 AS BIGINT) AS price_bucket,
+       o_orderstatus, CAST(SUM(CASE WHEN strftime(o_orderdate, '%Y-%m') = '1995-03' THEN 10 ELSE 1 END) AS BIGINT) AS times_played
+FROM orders WHERE strftime(o_orderdate, '%Y-%m') <> '1994-11' GROUP BY ALL"""
+    sql["display_rounding"] = f"""WITH {_EVENT_STEPS},
+m AS (SELECT base_fen AS fen, move_san, SUM(times_played) AS plays FROM ecounts
+      WHERE base_fen <> '^' AND player_elo_bucket >= 0 GROUP BY ALL),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY fen ORDER BY plays DESC, move_san) AS rk,
+             SUM(plays) OVER (PARTITION BY fen) AS total FROM m)
+SELECT fen, FIRST_VALUE(move_san) OVER (PARTITION BY fen ORDER BY rk) AS move, CAST(rk - 1 AS INTEGER) AS pos,
+       move_san AS alternative, round_even(CAST(plays AS DOUBLE) * 100.0 / CAST(total AS DOUBLE), 1) AS likelihood
+FROM r WHERE rk <= 5"""
+    sql["request_bodies"] = """SELECT request_id, CASE WHEN error IS NULL THEN fen END AS key_fen, lo, hi, error FROM (
+  SELECT o_orderkey AS request_id, o_orderpriority AS fen, CAST(0 AS BIGINT) AS lo,
+    CAST(CASE o_orderkey % 8 WHEN 0 THEN 3000 WHEN 1 THEN 1500 WHEN 2 THEN 99999999999 WHEN 3 THEN 1400
+         WHEN 5 THEN 1200 WHEN 7 THEN 1 END AS BIGINT) AS hi,
+    CASE WHEN o_orderkey % 8 IN (4, 6) THEN 'invalid_range' END AS error FROM orders)"""
     sql["monthly_counts_merge"] = _ORDER_COUNTS
     sql["merged_sorted_lookup"] = _recommend_sql(
         f"""WITH {_LINEITEM_COUNTS},
 req AS (SELECT p_partkey AS request_id, CAST(p_partkey AS VARCHAR) AS key_fen,
-               CAST((p_size % 5) * 10 AS INTEGER) AS lo, CAST((p_size % 5) * 10 + 20 AS INTEGER) AS hi,
+               CAST((p_size % 5) * 10 AS BIGINT) AS lo, CAST((p_size % 5) * 10 + 20 AS INTEGER) AS hi,
                CAST(NULL AS VARCHAR) AS error FROM part)""", "lcounts")
     sql["most_played"] = f"""WITH {_LINEITEM_COUNTS}
 SELECT base_fen, player_elo_bucket, move_san, times_played FROM lcounts
 ORDER BY times_played DESC, base_fen, player_elo_bucket, move_san LIMIT 1"""
-    sql["top5_share_single"] = _single_lookup_sql(f"WITH {_EVENT_STEPS}", "ecounts", "click", 0, 3000)
+    sql["top5_share_single"] = _single_lookup_sql(f"WITH {_EVENT_STEPS}", "ecounts", "click", -(1 << 60), 1 << 60)
     sql["top5_share_batch"] = _recommend_sql(
         f"""WITH {_EVENT_STEPS},
 req AS (SELECT event_id AS request_id, event_type AS key_fen, 0 AS lo,
-               CAST(FLOOR(value / 25.0) * 25 AS INTEGER) AS hi, CAST(NULL AS VARCHAR) AS error FROM events)""",
+               CAST(FLOOR(value / 25.0) * 25 AS BIGINT) AS hi, CAST(NULL AS VARCHAR) AS error FROM events)""",
         "ecounts")
     sql["event_transitions"] = f"""WITH {_EVENT_STEPS}
 SELECT COALESCE(NULLIF(concat_ws('>', l2, l1), ''), '^') AS context,
-       CAST(FLOOR(value / 25.0) * 25 AS INTEGER) AS value_bucket, event_type AS item, COUNT(*) AS times_played
+       CAST(FLOOR(value / 25.0) * 25 AS BIGINT) AS value_bucket, event_type AS item, COUNT(*) AS times_played
 FROM esteps GROUP BY ALL"""
     sql["conversation_transitions"] = """WITH s AS (
   SELECT *, LAG(role) OVER (PARTITION BY conv_id ORDER BY step) AS prev
@@ -212,6 +228,7 @@ FROM t"""
 SELECT game_id, raw_event AS event, white_text AS white_elo, black_text AS black_elo, termination,
        CASE WHEN line_id = 6 THEN {_q(synth.LINE_6_FEN)} END AS fen, {movetexts} AS movetext
 FROM games"""
+    sql["archive_codecs"] = sql["header_map"]
     sql["limit_qualifying"] = f"""WITH {GAMES_CTE}
 SELECT game_id, event, white_elo, black_elo FROM qualified ORDER BY game_id LIMIT {LIMIT_GAMES}"""
     sql["move_tokens"] = f"""WITH {GAMES_CTE}, {_tokens_cte()}
@@ -220,8 +237,7 @@ SELECT g.game_id, t.mode, CAST(t.idx AS INTEGER) AS idx, t.token FROM games g JO
     sql["replay_quarantine"] = f"""WITH {GAMES_CTE}
 SELECT game_id, 'illegal_move' AS error, 2 AS plies_kept, 4 AS tokens FROM qualified WHERE line_id = 5"""
     sql["pgn_flagship"] = _COUNTS_SQL + """,
-stats AS (SELECT base_fen, move_san, SUM(times_played) AS plays FROM counts
-          WHERE player_elo_bucket BETWEEN 0 AND 3000 GROUP BY ALL),
+stats AS (SELECT base_fen, move_san, SUM(times_played) AS plays FROM counts GROUP BY ALL),
 ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY base_fen ORDER BY plays DESC, move_san) AS rk,
                   SUM(plays) OVER (PARTITION BY base_fen) AS total FROM stats)
 SELECT base_fen, CAST(rk AS INTEGER) AS rank, move_san, CAST(plays AS BIGINT) AS plays,

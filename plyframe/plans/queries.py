@@ -18,17 +18,24 @@ from plyframe.operators.counts import (compare_extractions, count_moves, merge_c
                                        sequence_steps, top_k_share)
 from plyframe.operators.extract import extract_positions, replay_errors, tokenize_moves
 from plyframe.operators.qualify import filter_report, limit_games, qualify_games
-from plyframe.operators.recommend import DEFAULT_ELO_MAX, DEFAULT_ELO_MIN, recommend, top_moves
+from plyframe.operators.recommend import as_responses, recommend, requests_from_json, top_moves, validate_requests
 from plyframe.plans import synth
 from plyframe.session import scratch_path
-from plyframe.sources.storage import (counts_view, merge_months, read_counts, read_monthly, read_positions,
-                                      row_at, write_month, write_positions, write_sorted)
+from plyframe.sources.archive import read_games
+from plyframe.sources.storage import (compact_month, counts_view, merge_months, read_counts, read_merged, read_monthly,
+                                      read_positions, row_at, write_bucketed_counts, write_month, write_positions,
+                                      write_sorted)
 from plyframe.streaming.ingest import (MAX_MONTHS_PER_RUN, ingest_stream, ledger_union, list_links,
                                        pending_months)
 
 ORDER_KEYS = ("o_orderpriority", "price_bucket", "o_orderstatus")
 LEDGER_BEFORE = "1998-01"  # months before this count as already processed
 LIMIT_GAMES = 100
+ONE_BUCKET = 100_000
+REPLACED_MONTH, COMPACTED_MONTH, EMPTIED_MONTH = "1995-03", "1996-07", "1994-11"
+WIDEST = (1 << 63) - 1
+# JSON bounds by o_orderkey % 8 ("" leaves the bound out).
+BODY_BOUNDS = ["", "1500", "99999999999", "1400.9", "null", '"1200"', '"12.5"', "true"]
 POSITION_FILE_ROWS = 5_000  # small cap so the round trip spans many files
 ROW_INDEX = 35
 PAGE_LINK_PATTERN = r'href="(/[^"]+)"'
@@ -79,25 +86,86 @@ def bucket_counts(spark, sf_dir):
 _ORDER_COUNTS = T.StructType([T.StructField("o_orderpriority", T.StringType()),
                               T.StructField("o_orderstatus", T.StringType()),
                               T.StructField("times_played", T.LongType()),
-                              T.StructField("price_bucket", T.IntegerType())])
+                              T.StructField("price_bucket", T.LongType())])
 
 
 def bucket_partition_filter(spark, sf_dir):
-    """Counts written one directory per bucket, read back through partition discovery."""
+    """Counts written one directory per bucket; one bucket read back (only its directory is listed)."""
     path = scratch_path(spark, "bucketed")
-    bucket_counts(spark, sf_dir).write.mode("overwrite").partitionBy("price_bucket").parquet(path)
-    return spark.read.schema(_ORDER_COUNTS).parquet(path).select(*ORDER_KEYS, "times_played")
+    write_bucketed_counts(bucket_counts(spark, sf_dir), path, "price_bucket")
+    one = spark.read.schema(_ORDER_COUNTS).parquet(path).filter(F.col("price_bucket") == ONE_BUCKET)
+    return one.select(*ORDER_KEYS, "times_played")
+
+
+def _order_months(spark, sf_dir):
+    """Monthly counts of orders in the store's columns."""
+    rows = _order_rows(spark, sf_dir).select(
+        "month", F.col("o_orderpriority").alias("base_fen"), F.col("price_bucket").alias("player_elo_bucket"),
+        F.col("o_orderstatus").alias("move_san"))
+    return count_moves(rows, keys=("month", "base_fen", "player_elo_bucket", "move_san"))
+
+
+def _as_orders(counts):
+    return counts.select(F.col("base_fen").alias("o_orderpriority"), F.col("player_elo_bucket").alias("price_bucket"),
+                         F.col("move_san").alias("o_orderstatus"), "times_played")
 
 
 def monthly_counts_merge(spark, sf_dir):
-    """Per-month counts into month= partitions, then merged across months."""
-    root = scratch_path(spark, "monthly")
-    per_month = count_moves(_order_rows(spark, sf_dir), keys=("month",) + ORDER_KEYS)
-    (per_month.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("month").parquet(root))
-    back = spark.read.schema(T.StructType(_ORDER_COUNTS.fields + [T.StructField("month", T.StringType())])) \
-        .parquet(root)
-    return merge_counts(back.drop("month"), keys=ORDER_KEYS)
+    """Every month loaded into the store, then merged across months."""
+    root, merged = scratch_path(spark, "monthly"), scratch_path(spark, "monthly-merged")
+    write_month(_order_months(spark, sf_dir), root)
+    merge_months(spark, root, merged)
+    return _as_orders(read_merged(spark, merged))
+
+
+def month_replace(spark, sf_dir):
+    """Months loaded in two parts and merged; then one of them loaded again with other rows, one
+    compacted and one emptied: the view is what a recount of the last loads gives."""
+    root, merged = scratch_path(spark, "replace"), scratch_path(spark, "replace-merged")
+    months = _order_months(spark, sf_dir)
+    for part, rest in (("a", 0), ("b", 1)):
+        write_month(months.filter(F.pmod(F.col("player_elo_bucket"), F.lit(20000)) == rest * 10000), root, part=part)
+    merge_months(spark, root, merged)
+    again = months.filter(F.col("month") == REPLACED_MONTH).withColumn("times_played", F.col("times_played") * 10)
+    write_month(again, root, REPLACED_MONTH)
+    compact_month(spark, root, COMPACTED_MONTH)
+    write_month(months.limit(0), root, EMPTIED_MONTH)
+    return _as_orders(merge_counts(counts_view(spark, merged, root)))
+
+
+def archive_codecs(spark, sf_dir):
+    """Archive text written plain, as bzip2 and as gzip, read back as games by one call."""
+    root = scratch_path(spark, "codecs")
+    records = synth.archive_records(table(spark, sf_dir, "orders"))
+    for i, codec in enumerate(("none", "bzip2", "gzip")):
+        records.filter(F.col("game_key") % 3 == i).select("value").write.option("compression", codec).text(f"{root}/{codec}")
+    g = read_games(spark, [f"{root}/none", f"{root}/bzip2", f"{root}/gzip"])
+    h = F.col("headers")
+    tag = lambda k: F.try_element_at(h, F.lit(k))
+    return g.select(F.substring_index(tag("Site"), "/", -1).alias("game_id"), tag("Event").alias("event"),
+                    tag("WhiteElo").alias("white_elo"), tag("BlackElo").alias("black_elo"),
+                    tag("Termination").alias("termination"), tag("FEN").alias("fen"), "movetext")
+
+
+def display_rounding(spark, sf_dir):
+    """The best next event of each event type as a response: shares with one decimal."""
+    types = table(spark, sf_dir, "events").select("event_type").distinct()
+    requests = types.select(F.xxhash64("event_type").alias("request_id"), F.col("event_type").alias("fen"),
+                            F.lit(None).cast("string").alias("elo_min"), F.lit(str(WIDEST)).alias("elo_max"))
+    answers = as_responses(recommend(requests, event_counts(spark, sf_dir), key_is_fen=False))
+    return (requests.join(answers, "request_id").select("fen", "move", F.posexplode("alternatives").alias("pos", "a"))
+            .select("fen", "move", "pos", F.col("a.move").alias("alternative"), F.col("a.likelihood").alias("likelihood")))
+
+
+def request_bodies(spark, sf_dir):
+    """JSON request bodies of every kind of bound, validated."""
+    o = table(spark, sf_dir, "orders")
+    bound = _pick(BODY_BOUNDS, F.col("o_orderkey") % len(BODY_BOUNDS))
+    body = F.concat(F.lit('{"fen": "'), F.col("o_orderpriority"), F.lit('"'),
+                    F.when(bound != "", F.concat(F.lit(', "elo_max": '), bound)).otherwise(""), F.lit("}"))
+    rows = requests_from_json(o.select(F.col("o_orderkey").alias("request_id"), body.alias("body")))
+    v = validate_requests(rows, key_is_fen=False)
+    return v.select("request_id", "key_fen", "lo", "hi", "error")
 
 
 def lineitem_counts(spark, sf_dir):
@@ -138,7 +206,7 @@ def event_counts(spark, sf_dir):
 
 
 def top5_share_single(spark, sf_dir):
-    return top_moves(event_counts(spark, sf_dir), "click", normalise=False)
+    return top_moves(event_counts(spark, sf_dir), "click", None, None, normalise=False)
 
 
 def top5_share_batch(spark, sf_dir):
@@ -244,12 +312,9 @@ def limit_qualifying(spark, sf_dir):
 
 def move_tokens(spark, sf_dir):
     g = pgn_games(spark, sf_dir)
-    out = []
-    for mode in ("lenient", "strict"):
-        t = tokenize_moves(g, mode=mode, max_plies=None)
-        out.append(t.select("game_id", F.lit(mode).alias("mode"),
-                            F.posexplode("tokens").alias("idx", "token")))
-    return out[0].unionByName(out[1])
+    both = F.array(*[F.struct(F.lit(m).alias("mode"), tokens("movetext", m).alias("tokens")) for m in ("lenient", "strict")])
+    one = g.select("game_id", F.explode(both).alias("t"))
+    return one.select("game_id", "t.mode", F.posexplode("t.tokens").alias("idx", "token"))
 
 
 def game_positions(spark, sf_dir):
@@ -261,14 +326,12 @@ def replay_quarantine(spark, sf_dir):
 
 
 def pgn_flagship(spark, sf_dir):
-    """Opening book: for every position, the top five moves over the default
-    rating range with their share of all moves played there."""
-    # Straight from positions: the grouping-sets aggregate inside top_k_share
-    # counts per (position, move) with map-side combining, so no separate
-    # count stage (and its shuffle) is needed.
+    """Opening book: for every position, the top five moves with their share of
+    all moves played there."""
+    # Straight from positions: top_k_share counts per (position, move) with
+    # map-side combining, so no separate count stage (and its shuffle) is needed.
     positions = pgn_positions(spark, sf_dir)
-    stats = (positions.filter(F.col("player_elo_bucket").between(DEFAULT_ELO_MIN, DEFAULT_ELO_MAX))
-             .select("base_fen", "move_san", F.lit(1).cast("long").alias("plays")))
+    stats = positions.select("base_fen", "move_san", F.lit(1).cast("long").alias("plays"))
     return top_k_share(stats, ["base_fen"], "move_san", "plays", 5).select(
         "base_fen", "rank", "move_san", "plays", "percentage")
 
@@ -353,6 +416,10 @@ QUERIES = {
     "bucket_counts": bucket_counts,
     "bucket_partition_filter": bucket_partition_filter,
     "monthly_counts_merge": monthly_counts_merge,
+    "month_replace": month_replace,
+    "archive_codecs": archive_codecs,
+    "display_rounding": display_rounding,
+    "request_bodies": request_bodies,
     "merged_sorted_lookup": merged_sorted_lookup,
     "top5_share_single": top5_share_single,
     "top5_share_batch": top5_share_batch,

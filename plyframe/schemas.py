@@ -22,7 +22,7 @@ GAMES = T.StructType([
 # M4: one row per ply (the storage form drops game_id and ply).
 POSITIONS = T.StructType([
     T.StructField("event", T.StringType()),
-    T.StructField("player_elo_bucket", T.IntegerType()),
+    T.StructField("player_elo_bucket", T.LongType()),
     T.StructField("base_fen", T.StringType()),
     T.StructField("move_san", T.StringType()),
 ])
@@ -33,7 +33,7 @@ POSITIONS = T.StructType([
 COUNT_KEYS = ("base_fen", "player_elo_bucket", "move_san")
 COUNTS = T.StructType([
     T.StructField("base_fen", T.StringType()),
-    T.StructField("player_elo_bucket", T.IntegerType()),
+    T.StructField("player_elo_bucket", T.LongType()),
     T.StructField("move_san", T.StringType()),
     T.StructField("times_played", T.LongType()),
 ])

@@ -9,11 +9,6 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Upper bound for sides we broadcast on our own initiative (rows), checked by a
-# bounded count.  Larger sides fall back to a shuffle join (and AQE may still
-# convert it at runtime).
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "plyframe",
                   event_log_dir: str | None = None) -> SparkSession:

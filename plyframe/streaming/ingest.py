@@ -30,7 +30,7 @@ UNKNOWN_MONTH = "unknown"
 def list_links(pages: DataFrame, html_col: str = "html", pattern: str = ARCHIVE_LINK_PATTERN,
                base_url: str = ARCHIVE_BASE_URL, path_group: int = 1, key_group: int = 2,
                key_name: str = "year_month") -> DataFrame:
-    """Every match in every page -> (key, absolute url), one row per key, sorted.
+    """Every match in every page -> (key, absolute url), one row per key, in no order.
 
     A key listed twice is kept once (smallest url, so reruns agree).
     """
@@ -43,7 +43,7 @@ def list_links(pages: DataFrame, html_col: str = "html", pattern: str = ARCHIVE_
         pairs = F.arrays_zip(keys.alias("k"), F.regexp_extract_all(html, F.lit(pattern), path_group).alias("p"))
         found = pages.select(F.inline(pairs)).select(F.col("k").alias(key_name),
                                                      url_join(base_url, "p").alias("url"))
-    return found.groupBy(key_name).agg(F.min("url").alias("url")).orderBy(key_name)
+    return found.groupBy(key_name).agg(F.min("url").alias("url"))
 
 
 def list_months(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -271,7 +271,7 @@ def test_batch_lookup_pushes_few_positions_into_the_scan(spark, tmp):
     write_sorted(spark.createDataFrame(rows, COUNTS), path, partitions=4)
     reqs = spark.createDataFrame([(1, "fen0007", None, None), (2, "fen0300", None, None), (3, "fen0007", None, None)],
                                  "request_id long, fen string, elo_min string, elo_max string")
-    out = recommend(reqs, read_counts(spark, path), key_is_fen=False)
+    out = recommend(reqs, read_counts(spark, path), key_is_fen=False, only=["fen0007", "fen0300"])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "In(base_fen, [fen0007,fen0300])" in plan
     assert sorted((r.request_id, r.plays) for r in out.collect()) == [(1, 7), (2, 300), (3, 7)]
