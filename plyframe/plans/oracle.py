@@ -10,7 +10,7 @@ from __future__ import annotations
 from plyframe.functions.columns import BAD_TERMINATIONS
 from plyframe.plans import golden, synth
 from plyframe.plans.queries import (EXPLORE_RANGE, LEDGER_BEFORE, LIMIT_GAMES, NORMALISE_INPUTS,
-                                    PAGE_BASE_URL, ROW_INDEX)
+                                    PAGE_BASE_URL)
 from plyframe.streaming.ingest import ARCHIVE_BASE_URL, MAX_MONTHS_PER_RUN
 
 
@@ -236,11 +236,14 @@ SELECT g.game_id, t.mode, CAST(t.idx AS INTEGER) AS idx, t.token FROM games g JO
     sql["game_positions"] = pos + "\nSELECT * FROM positions"
     sql["replay_quarantine"] = f"""WITH {GAMES_CTE}
 SELECT game_id, 'illegal_move' AS error, 2 AS plies_kept, 4 AS tokens FROM qualified WHERE line_id = 5"""
-    sql["pgn_flagship"] = _COUNTS_SQL + """,
-stats AS (SELECT base_fen, move_san, SUM(times_played) AS plays FROM counts GROUP BY ALL),
-ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY base_fen ORDER BY plays DESC, move_san) AS rk,
-                  SUM(plays) OVER (PARTITION BY base_fen) AS total FROM stats)
-SELECT base_fen, CAST(rk AS INTEGER) AS rank, move_san, CAST(plays AS BIGINT) AS plays,
+    sql["pgn_flagship"] = f"""WITH {GAMES_CTE}, {_tokens_cte()},
+line AS (SELECT line_id, list(token ORDER BY idx) AS l FROM toks WHERE mode = 'lenient' AND idx < 40 GROUP BY 1),
+steps AS (SELECT line_id, CASE WHEN i = 0 THEN '^' ELSE array_to_string(l[1:i], ' ') END AS context, l[i + 1] AS move_san
+          FROM (SELECT line_id, l, unnest(range(len(l))) AS i FROM line)),
+stats AS (SELECT context, move_san, COUNT(*) AS plays FROM qualified JOIN steps USING (line_id) GROUP BY ALL),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY context ORDER BY plays DESC, move_san) AS rk,
+                  SUM(plays) OVER (PARTITION BY context) AS total FROM stats)
+SELECT context, CAST(rk AS INTEGER) AS rank, move_san, CAST(plays AS BIGINT) AS plays,
        CAST(plays AS DOUBLE) * 100.0 / CAST(total AS DOUBLE) AS percentage
 FROM ranked WHERE rk <= 5"""
     sql["position_explore"] = _single_lookup_sql(
@@ -272,10 +275,10 @@ GROUP BY path"""
     sql["ledger_add"] = f"""WITH {_months_cte()}
 SELECT year_month FROM ledger UNION SELECT year_month FROM pending"""
     sql["incremental_equals_batch"] = _COUNTS_SQL + "\nSELECT * FROM counts"
-    sql["positions_roundtrip"] = _COUNTS_SQL + "\nSELECT * FROM counts"
-    sql["counts_view_months"] = _COUNTS_SQL + "\nSELECT * FROM counts"
-    sql["sorted_row_at"] = _COUNTS_SQL + f"""
-SELECT * FROM counts ORDER BY base_fen, player_elo_bucket, move_san LIMIT 1 OFFSET {ROW_INDEX}"""
+    sql["positions_roundtrip"] = f"WITH {_EVENT_STEPS}\nSELECT * FROM ecounts"
+    sql["counts_view_months"] = _ORDER_COUNTS
+    sql["sorted_row_at"] = f"""WITH {_LINEITEM_COUNTS}
+SELECT base_fen, player_elo_bucket, move_san, times_played FROM lcounts ORDER BY base_fen, player_elo_bucket, move_san LIMIT 1 OFFSET 35"""
     strict = _positions_sql(strict=True)
     sql["extraction_delta"] = f"""WITH s AS ({strict} SELECT * FROM positions),
 l AS ({pos} SELECT * FROM positions)

@@ -325,15 +325,21 @@ def replay_quarantine(spark, sf_dir):
     return replay_errors(qualify_games(pgn_games(spark, sf_dir)))
 
 
+def opening_steps(spark, sf_dir):
+    """Every move of every qualifying game with the moves before it as context (first 40 plies): tokens only."""
+    g = tokenize_moves(qualify_games(pgn_games(spark, sf_dir))).select("tokens", F.posexplode("tokens").alias("ply", "move_san"))
+    prefix = F.array_join(F.slice("tokens", 1, F.col("ply")), " ")
+    return g.select(F.when(F.col("ply") == 0, F.lit("^")).otherwise(prefix).alias("context"), "move_san")
+
+
 def pgn_flagship(spark, sf_dir):
-    """Opening book: for every position, the top five moves with their share of
-    all moves played there."""
-    # Straight from positions: top_k_share counts per (position, move) with
+    """Opening book: after every sequence of moves, the top five next moves with
+    their share of all moves played there.  Archive text to answer without Python."""
+    # Straight from the steps: top_k_share counts per (context, move) with
     # map-side combining, so no separate count stage (and its shuffle) is needed.
-    positions = pgn_positions(spark, sf_dir)
-    stats = positions.select("base_fen", "move_san", F.lit(1).cast("long").alias("plays"))
-    return top_k_share(stats, ["base_fen"], "move_san", "plays", 5).select(
-        "base_fen", "rank", "move_san", "plays", "percentage")
+    stats = opening_steps(spark, sf_dir).withColumn("plays", F.lit(1).cast("long"))
+    return top_k_share(stats, ["context"], "move_san", "plays", 5).select(
+        "context", "rank", "move_san", "plays", "percentage")
 
 
 def position_explore(spark, sf_dir):
@@ -373,28 +379,30 @@ def extraction_delta(spark, sf_dir):
 
 
 def positions_roundtrip(spark, sf_dir):
-    """Positions written as bounded files (many per task), read back, counted."""
+    """Positions (events after their predecessor) written as bounded files, read back, counted."""
     path = scratch_path(spark, "positions")
-    write_positions(pgn_positions(spark, sf_dir), path, max_records=POSITION_FILE_ROWS)
+    rows = _event_steps(spark, sf_dir).select(
+        F.concat(F.lit("user "), "user_id").alias("event"), bucket("value", 25).alias("player_elo_bucket"),
+        F.col("context").alias("base_fen"), F.col("event_type").alias("move_san"))
+    write_positions(rows, path, max_records=POSITION_FILE_ROWS)
     return count_moves(read_positions(spark, path))
 
 
 def counts_view_months(spark, sf_dir):
-    """Months before 1998 counted and merged; later months written after the
-    merge; the lookup view (merged UNION ALL newer months) sums to the full count."""
-    games = qualify_games(synth.synth_games(spark, sf_dir, with_month=True))
-    monthly = count_moves(extract_positions(games), keys=("month", "base_fen", "player_elo_bucket", "move_san"))
+    """Months before 1998 loaded and merged; later months loaded after the merge; the
+    lookup view (merged UNION ALL newer months) sums to the full count."""
+    months = _order_months(spark, sf_dir)
     root, merged = scratch_path(spark, "view-monthly"), scratch_path(spark, "view-merged")
-    write_month(monthly.filter(F.col("month") < LEDGER_BEFORE), root)
+    write_month(months.filter(F.col("month") < LEDGER_BEFORE), root)
     merge_months(spark, root, merged)
-    write_month(monthly.filter(F.col("month") >= LEDGER_BEFORE), root)
-    return merge_counts(counts_view(spark, merged, root))
+    write_month(months.filter(F.col("month") >= LEDGER_BEFORE), root)
+    return _as_orders(merge_counts(counts_view(spark, merged, root)))
 
 
 def sorted_row_at(spark, sf_dir):
-    """Positional access on the position-sorted merged table (row 35 in key order)."""
+    """Positional access on a table sorted by position (row 35 in key order)."""
     path = scratch_path(spark, "row-at")
-    write_sorted(pgn_counts(spark, sf_dir), path)
+    write_sorted(lineitem_counts(spark, sf_dir), path)
     return row_at(read_counts(spark, path), ROW_INDEX, ["base_fen", "player_elo_bucket", "move_san"])
 
 
