@@ -5,6 +5,8 @@ import subprocess
 import sys
 import tempfile
 
+import pytest
+
 SCRIPT = r'''
 import importlib.util
 spec = importlib.util.spec_from_file_location("spark_entry", {entry!r})
@@ -39,3 +41,17 @@ def test_bench_prints_one_json_line():
     doc = json.loads(lines[0])
     assert doc["unit"] == "sec" and doc["value"] > 0 and doc["sf"] == "0.001"
     assert set(doc["queries"]) >= {"extract_write", "game_positions", "pgn_flagship", "request_errors"}
+
+
+def test_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from plyframe.session import checkpoint_root
+
+    def session(**conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=lambda k, v: conf.__setitem__(k, v)))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", ""):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_root(session(**{"spark.master": master}))
+    assert checkpoint_root(session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///x/"})) == "hdfs:///x"
