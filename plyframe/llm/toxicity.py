@@ -9,8 +9,8 @@ stands for.  N-grams whose document counts do not tell the labels apart get no
 vector (zero), so chance words add nothing to a long text.
 
 Because the softmax is linear, a document's logits are the mean of its words'
-logits.  A task computes the logits of a word once and then sums them over
-whole texts of any length.
+logits, and a word's that of its n-grams: a task looks up one number for each
+n-gram of whole texts of any length, as arrays.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,30 +41,54 @@ THRESHOLD = 0.7
 #: Bounds of the training sample: rows of each label, and bytes of a text that may be sampled.
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 16_000
-MAX_WORDS_KEPT = 300_000
 SEED = 7
+#: Bytes worked on at once.
+CHUNK = 1 << 18
 
 
-def words(text: str) -> list[str]:
-    return text.split()
+# Word bytes are lower-case ASCII letters, digits and all bytes of other characters; the rest part words.
+_PLAIN = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 0 for c in range(256))
+_TURN = np.uint32(0x9E3779B1)
 
 
-def _plain(word: str) -> str:
-    """Lower case, without the signs around it; a word of signs only is the empty word."""
-    word = word.lower()
-    low, high = 0, len(word)
-    while low < high and not word[low].isalnum():
-        low += 1
-    while high > low and not word[high - 1].isalnum():
-        high -= 1
-    return word[low:high]
+def plain(text: str | None) -> bytes:
+    """The text in lower case as UTF-8, with a zero for every byte that is not of a word."""
+    return (text or "").lower().encode("utf-8", "replace").translate(_PLAIN)
 
 
-def grams(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Table rows of a word: its n-grams and itself."""
-    marked = f"<{word}>"
-    parts = [marked[i: i + n] for n in GRAMS for i in range(len(marked) - n + 1) if n < len(marked)]
-    return [xxhash.xxh32_intdigest(p) % buckets for p in [marked, *parts]]
+def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
+    h = h ^ (h >> np.uint32(15))
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    return (h & np.uint32(buckets - 1)).view(np.int32)  # buckets: a power of two
+
+
+def parts(data: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """The words of ``data`` (bytes; a zero first, last and between words): starts, ends; for each n the
+    table row of the n-gram that begins at each byte, and whether it lies in one word with its end
+    marks (a zero stands for either mark) and is not all of it; the row of each whole word."""
+    d, word = data.astype(np.uint32), data != 0
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    starts, ends = edge[::2], edge[1::2]
+    zeros = np.cumsum(~word, dtype=np.int32)
+    rows, valid, h = [], [], d
+    for n in range(2, max(GRAMS) + 1):
+        m = max(len(d) - n + 1, 0)
+        h = h[:m] * _TURN + d[n - 1:]
+        if n in GRAMS:
+            rows.append(_buckets(h, buckets))
+            inside = zeros[n - 2: n - 2 + m] == zeros[:m]
+            valid.append(inside & (word[:m] | word[n - 1:]))
+    power = np.cumprod(np.full(len(d), _TURN, np.uint32), dtype=np.uint32)
+    back = np.cumprod(np.full(len(d), pow(int(_TURN), -1, 1 << 32), np.uint32), dtype=np.uint32)
+    upto = np.concatenate((np.zeros(1, np.uint32), np.cumsum(d * power, dtype=np.uint32)))
+    whole = _buckets((upto[ends] - upto[starts]) * back[starts] + np.uint32(7) * (ends - starts).astype(np.uint32), buckets)
+    return starts, ends, rows, valid, whole
+
+
+def _sizes(length: np.ndarray) -> np.ndarray:
+    """How many table rows a word of so many bytes has."""
+    return 1 + sum(np.where(length + 2 > n, length + 3 - n, 0) for n in GRAMS)
 
 
 @dataclass
@@ -73,23 +97,53 @@ class Model:
     weight: np.ndarray  # dim: logit of label 1 less that of label 0
     bias: float
 
-    def part(self, word: str) -> complex:
-        """What one word adds to a text: its logit, and as imaginary part 1 (0 for signs only, which
-        are no word), so that one sum gives both the total and the number of words."""
-        plain = _plain(word)
-        return complex(self.table[grams(plain, len(self.table))].mean(0) @ self.weight, 1) if plain else 0j
+    @cached_property
+    def logits(self) -> np.ndarray:
+        """Of each table row."""
+        return (self.table * self.weight).sum(1, dtype=np.float64)
+
+    def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start of each word of ``data`` and its logit: as the softmax is linear, the mean over its
+        n-grams of what each vector gives."""
+        logits = self.logits
+        starts, ends, rows, valid, whole = parts(data, len(logits))
+        total = logits[whole]
+        for r, v in zip(rows, valid):
+            # the n-grams of a word begin between the byte before it and the byte before the next
+            if len(starts):
+                given = np.zeros(len(data))
+                np.multiply(logits[r], v, out=given[: len(r)])
+                total += np.add.reduceat(given, starts - 1)
+        return starts, total / _sizes(ends - starts)
 
+    def of_texts(self, texts: list[str | None]) -> np.ndarray:
+        """Logit of each whole text: the mean over its words, the bias alone without words."""
+        total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        held: list[tuple[int, bytes]] = []
+        size = 0
 
-class _Words(dict):
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
+        def flush():
+            nonlocal held, size
+            data = np.frombuffer(b"\0" + b"\0".join(raw for _, raw in held) + b"\0", np.uint8)
+            begins = np.cumsum([1] + [len(raw) + 1 for _, raw in held])[:-1]
+            starts, logits = self.words(data)
+            owner = np.array([i for i, _ in held])[np.searchsorted(begins, starts, "right") - 1]
+            total[:] += np.bincount(owner, logits, len(texts))
+            count[:] += np.bincount(owner, minlength=len(texts))
+            held, size = [], 0
 
-    def __missing__(self, word: str) -> complex:
-        if len(self) >= MAX_WORDS_KEPT:  # memory only: a forgotten word is computed again
-            self.clear()
-        value = self[word] = self.model.part(word)
-        return value
+        for i, text in enumerate(texts):
+            raw, at = plain(text), 0
+            while at < len(raw):
+                cut = len(raw) if len(raw) - at <= CHUNK else raw.find(b"\0", at + CHUNK)
+                cut = len(raw) if cut < 0 else cut  # a long text is cut between words
+                held.append((i, raw[at: cut]))
+                size, at = size + cut - at, cut
+                if size >= CHUNK:
+                    flush()
+        if held:
+            flush()
+        return self.bias + total / np.maximum(count, 1)
 
 
 def _segments(order: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +165,11 @@ def train(rows: list[tuple[str, int]], *, buckets: int = BUCKETS, dim: int = DIM
     weight, bias = rng.normal(0, 1, dim).astype(np.float32), np.zeros(1, np.float32)
     if not len(rows) or labels.min() == labels.max():
         return Model(table, weight * 0, 20.0 if len(rows) and labels[0] else -20.0)
-    known: dict[str, int] = {}
+    known: dict[bytes, int] = {}
     doc, word, count = [], [], []
     for i, (text, _) in enumerate(rows):
-        own = Counter(p for p in map(_plain, words(text)) if p)
+        own = Counter(plain(text).replace(b"\0", b" ").split(b" "))
+        own.pop(b"", None)
         total = sum(own.values())
         for w, n in own.items():
             doc.append(i)
@@ -123,10 +178,14 @@ def train(rows: list[tuple[str, int]], *, buckets: int = BUCKETS, dim: int = DIM
     if not known:
         return Model(table, weight * 0, float(np.log(labels.mean() / (1 - labels.mean()))))
     doc, word, count = np.array(doc), np.array(word), np.array(count, np.float32)[:, None]
-    ids = [grams(w, buckets) for w in known]
-    sizes = np.array([len(g) for g in ids])
-    share = (1 / sizes).astype(np.float32)[:, None]
-    part, owner = np.concatenate([np.array(g) for g in ids]), np.repeat(np.arange(len(ids)), sizes)
+    data = np.frombuffer(b"\0" + b"\0".join(known) + b"\0", np.uint8)
+    starts, ends, found, valid, whole = parts(data, buckets)
+    share = (1 / _sizes(ends - starts)).astype(np.float32)[:, None]
+    place = [np.flatnonzero(v) for v in valid]
+    part = np.concatenate([whole, *(r[p] for r, p in zip(found, place))])
+    owner = np.concatenate([np.arange(len(known)), *(np.searchsorted(starts - 1, p, "right") - 1 for p in place)])
+    order = np.argsort(owner, kind="stable")
+    part, owner = part[order], owner[order]
     # Only n-grams whose document counts tell the labels apart get a vector; the others,
     # the many that chance puts into a few documents, stay zero.
     pair = np.unique(doc * len(known) + word)
@@ -137,7 +196,7 @@ def train(rows: list[tuple[str, int]], *, buckets: int = BUCKETS, dim: int = DIM
     used = (every >= min_docs) & (np.abs(toxic - expected) >= min_z * np.sqrt(expected * (1 - labels.mean()) + 1e-9))
     owner, part = owner[used[part]], part[used[part]]
     first, owners = _segments(np.arange(len(owner)), owner)
-    some = np.zeros(len(ids), bool)
+    some = np.zeros(len(known), bool)
     some[owners] = True
     doc, word, count = doc[some[word]], word[some[word]], count[some[word]]
     if not len(doc):
@@ -150,7 +209,7 @@ def train(rows: list[tuple[str, int]], *, buckets: int = BUCKETS, dim: int = DIM
     params = [table, weight, bias]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     for step in range(1, steps + 1):
-        vectors = np.zeros((len(ids), dim), np.float32)
+        vectors = np.zeros((len(known), dim), np.float32)
         vectors[owners] = np.add.reduceat(table[part], first)
         vectors *= share
         means = np.zeros((len(rows), dim), np.float32)
@@ -200,13 +259,9 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words(model)
         for b in batches:
-            out = []
-            for text in b.column(at).to_pylist():
-                total = sum(map(known.__getitem__, words(text or "")), 0j)
-                out.append(model.bias + (total.real / total.imag if total.imag else 0.0))
-            p = 1 / (1 + np.exp(-np.clip(np.array(out, float), -700, 700)))
+            out = model.of_texts(b.column(at).to_pylist())
+            p = 1 / (1 + np.exp(-np.clip(out, -700, 700)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "_score"])
 
     return docs.mapInArrow(run, schema)

@@ -34,15 +34,39 @@ def accuracy(scores, labels):
 def test_held_out_accuracy_and_misspellings():
     rows = corpus()
     model = toxicity.train([(t, y) for _, t, y in rows[:400]])
-    parts = toxicity._Words(model)
-
-    def score(text):
-        z = sum(map(parts.__getitem__, text.split()), 0j)
-        return 1 / (1 + np.exp(-(model.bias + (z.real / z.imag if z.imag else 0))))
-    assert accuracy([score(t) for _, t, _ in rows[400:]], [y for *_, y in rows[400:]]) > .95
-    for word in ("Grumbold!", "grumboldd", "snarfl3"):
-        assert model.part(word).real > 20 * abs(model.part("rest").real)
-    assert model.part("--") == 0
+    logits = model.of_texts([t for _, t, _ in rows[400:]])
+    assert accuracy(1 / (1 + np.exp(-logits)), [y for *_, y in rows[400:]]) > .95
+    word = lambda w: model.of_texts([w])[0] - model.bias
+    for bad in ("Grumbold!", "grumboldd", "snarfl3"):
+        assert word(bad) > 20 * abs(word("rest"))
+    assert word("--") == 0 and word("Rest,") == word("rest") and word(None) == 0
+
+
+def brute_rows(word):
+    """Table rows of a word by the definition: the marked word's n-grams and the word."""
+    def mix(h):
+        h ^= h >> 15
+        h = h * 0x85EBCA6B % 2 ** 32
+        return (h ^ h >> 13) % toxicity.BUCKETS
+    turn, marked = 0x9E3779B1, b"\0" + word + b"\0"
+    out = [mix((sum(c * pow(turn, k, 2 ** 32) for k, c in enumerate(word)) + 7 * len(word)) % 2 ** 32)]
+    for n in toxicity.GRAMS:
+        for i in range(len(marked) - n + 1 if n < len(marked) else 0):
+            h = marked[i]
+            for c in marked[i + 1: i + n]:
+                h = (h * turn + c) % 2 ** 32
+            out.append(mix(h))
+    return out
+
+
+def test_words_equal_brute_force():
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=(toxicity.BUCKETS, 2)).astype(np.float32), np.array([1, -.5], np.float32), .3)
+    texts = ["a", "Ab cde--f", "é straße 日本", " ,x", "one" * 9, "", None, "w1 " * 200_000 + "tail"]
+    for text, got in zip(texts, model.of_texts(texts)):
+        own = [w for w in toxicity.plain(text).split(b"\0") if w]
+        each = {w: np.mean([model.table[r] @ model.weight for r in brute_rows(w)]) for w in set(own)}
+        assert abs(got - .3 - (np.mean([each[w] for w in own]) if own else 0)) < 1e-5
 
 
 def test_constant_models():
