@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plyframe.operators.counts import merge_counts
 from plyframe.schemas import COUNTS, COVERED, LOADS, MONTHLY_COUNTS, POSITIONS, STORED_COUNTS, VERSIONS
+from plyframe.session import scratch_path
 
 MAX_RECORDS_PER_FILE = 10_000_000
 # Row groups small enough that a point lookup on the sorted key reads few of them.
@@ -229,6 +231,19 @@ def head_rows(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def row_at(df: DataFrame, index: int, order_by) -> DataFrame:
-    """The row at 0-based ``index`` in ``order_by`` order (bounded: offset + limit)."""
-    cols = [order_by] if isinstance(order_by, str) else list(order_by)
-    return df.orderBy(*cols).offset(index).limit(1)
+    """The row at 0-based ``index`` in ``order_by`` order.
+
+    Rows are range-partitioned and written; the chunks' row counts say which one
+    holds the index, and only that chunk is sorted, so the work of one task does
+    not grow with the index.
+    """
+    spark, cols = df.sparkSession, [order_by] if isinstance(order_by, str) else list(order_by)
+    path = scratch_path(spark, "row-at-chunks")
+    df.repartitionByRange(*cols).withColumn("_chunk", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.schema(T.StructType(df.schema.fields + [T.StructField("_chunk", T.IntegerType())])).parquet(path)
+    rest = index
+    for chunk, n in sorted((r["_chunk"], r["count"]) for r in rows.groupBy("_chunk").count().collect()):
+        if rest < n:
+            return rows.filter(F.col("_chunk") == chunk).drop("_chunk").orderBy(*cols).offset(rest).limit(1)
+        rest -= n
+    return rows.drop("_chunk").limit(0)

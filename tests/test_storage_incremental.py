@@ -88,7 +88,8 @@ def test_counts_view_sees_new_months(spark, tmp):
 def test_head_and_keyed_row(spark):
     df = spark.range(100).withColumn("k", F.col("id") * 3)
     assert head_rows(df, 10).count() == 10
-    assert row_at(df, 35, "k").first().k == 105
+    assert [row_at(df.repartition(5), i, "k").first().k for i in (0, 35, 99)] == [0, 105, 297]
+    assert row_at(df, 100, "k").count() == 0 and row_at(df.limit(0), 0, "k").count() == 0
 
 
 def test_ledger_is_a_set_in_order(spark, tmp):
