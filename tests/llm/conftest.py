@@ -1,13 +1 @@
-import pytest
-
-from plyframe.session import local_session
-
-
-@pytest.fixture(scope="session")
-def spark():
-    from plyframe.session import checkpoint_root, ship_package
-    s = local_session(cores=4, shuffle_partitions=4)
-    checkpoint_root(s)
-    ship_package(s)
-    yield s
-
+"""The ``spark`` fixture is that of tests/conftest.py."""
