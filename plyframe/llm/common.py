@@ -21,7 +21,7 @@ def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     lineage, and survives the loss of any executor."""
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
