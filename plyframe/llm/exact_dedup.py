@@ -118,7 +118,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     named = name_texts(spark, rows, block_bytes=block_bytes, hash_bits=hash_bits)
     named = save(spark, named, "block-identity")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
-    groups = named.groupBy("n", "name").agg(first, F.count(F.lit(1)).alias("group_size"))
+    # Written, so that both sides of the join below come from exchanges of its own and a
+    # large group of copies is split over tasks.
+    groups = save(spark, named.groupBy("n", "name").agg(first, F.count(F.lit(1)).alias("group_size")), "block-groups")
     return named.join(groups, ["n", "name"]).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256")
