@@ -6,7 +6,8 @@ of its words; a linear softmax over the two labels stands on top.  Table and
 softmax are trained together on the driver, over a bounded sample of labelled
 rows, so a misspelling never seen shares most of its n-grams with the word it
 stands for.  N-grams whose document counts do not tell the labels apart get no
-vector (zero), so chance words add nothing to a long text.
+vector (zero), so chance words add nothing to a long text; a handful of rows
+that are all toxic is enough, in a sample of both labels alike eight.
 
 Because the softmax is linear, a document's logits are the mean of its words'
 logits, and a word's that of its n-grams: a task looks up one number for each
@@ -36,6 +37,7 @@ SCALE = 20.0
 MIN_DOCS = 4
 MIN_Z = 5.0
 TOXIC_SHARE = 0.5
+ODDS = 200.0
 DECAY = 1e-4
 THRESHOLD = 0.7
 #: Bounds of the training sample: rows of each label, and bytes of a text that may be sampled.
@@ -187,13 +189,18 @@ def train(rows: list[tuple[str, int]], *, buckets: int = BUCKETS, dim: int = DIM
     order = np.argsort(owner, kind="stable")
     part, owner = part[order], owner[order]
     # Only n-grams whose document counts tell the labels apart get a vector; the others,
-    # the many that chance puts into a few documents, stay zero.
+    # the many that chance puts into a few documents, stay zero.  Counts of rare n-grams never
+    # reach min_z, so for those of toxic rows their likelihood ratio decides: ODDS or more.
     pair = np.unique(doc * len(known) + word)
     pair_doc, pair_word = pair // len(known), pair % len(known)
     toxic = np.bincount(part, np.bincount(pair_word, labels[pair_doc], len(known))[owner], buckets)
     every = np.bincount(part, np.bincount(pair_word, minlength=len(known))[owner], buckets)
-    expected = every * labels.mean()
-    used = (every >= min_docs) & (np.abs(toxic - expected) >= min_z * np.sqrt(expected * (1 - labels.mean()) + 1e-9))
+    expected, mean = every * labels.mean(), labels.mean(dtype=np.float64)
+    rate_toxic = toxic / np.maximum(every, 1)
+    plogp = lambda p, q: p * np.log(np.maximum(p, 1e-12) / q)
+    evidence = every * (plogp(rate_toxic, mean) + plogp(1 - rate_toxic, 1 - mean))
+    apart = np.abs(toxic - expected) >= min_z * np.sqrt(expected * (1 - labels.mean()) + 1e-9)
+    used = (every >= min_docs) & (apart | (toxic > expected) & (evidence >= np.log(ODDS)))
     owner, part = owner[used[part]], part[used[part]]
     first, owners = _segments(np.arange(len(owner)), owner)
     some = np.zeros(len(known), bool)

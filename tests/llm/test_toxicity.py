@@ -97,3 +97,24 @@ def test_empty_table(spark, tmp_path):
     make_docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert op9_toxicity(spark, str(tmp_path)).count() == 0
+
+
+def test_long_tail_of_rare_toxic_words():
+    rng = random.Random(12)
+    letters = lambda a, k: "".join(rng.choices(a, k=k))
+    common = [letters("aeioustrn", rng.randrange(2, 9)) for _ in range(400)]
+    rare = [letters("bcdfgjkmpqvwxyz", 8) for _ in range(120)]
+    bad_of = lambda i: rare[i % 120]
+
+    def text(bad):
+        words = rng.choices(common, k=rng.randrange(20, 60))
+        for _ in range(3 if bad else 0):
+            words[rng.randrange(len(words))] = bad
+        return " ".join(words)
+
+    train = [(text(bad_of(i)), 1) for i in range(1200)] + [(text(None), 0) for _ in range(1200)]  # each in 10 rows of 1,200
+    model = toxicity.train(train)
+    share = lambda texts: np.mean(1 / (1 + np.exp(-model.of_texts(texts))) >= toxicity.THRESHOLD)
+    assert share([text(bad_of(i)) for i in range(240)]) > .9
+    assert share([text(bad_of(i)[:5] + "o" + bad_of(i)[5:]) for i in range(240)]) > .6  # misspelt
+    assert share([text(None) for _ in range(240)]) < .05
