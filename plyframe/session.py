@@ -33,6 +33,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+#: The folder each application without the setting uses.
+_ROOTS: dict = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -45,15 +49,18 @@ def checkpoint_root(spark: SparkSession) -> str:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: configuration only
         sc = None
+    app = sc.applicationId if sc is not None else None
+    root = root or (_ROOTS.get(app) if app else None)
     if not root and sc is not None:
         root = sc.getCheckpointDir()
     if not root and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="plyframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
+    if app:
+        _ROOTS[app] = root  # the setting itself is static: a session can not be given another
     return root.rstrip("/")
 
 

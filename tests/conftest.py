@@ -6,8 +6,7 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-
-SF001 = "/root/testdata/sf0.001"
+sys.path.insert(0, os.path.join(ROOT, "tests"))
 
 
 @pytest.fixture(scope="session")
@@ -24,19 +23,3 @@ def spark():
 def tmp(tmp_path_factory):
     """A fresh directory per test (never reused, never cleared)."""
     return tempfile.mkdtemp(prefix="plyframe-test-", dir=str(tmp_path_factory.getbasetemp()))
-
-
-def games_df(spark, rows):
-    """rows of (movetext, event, white_elo, black_elo[, start_fen]) -> M3 games."""
-    from plyframe.schemas import GAMES
-    data = []
-    for i, r in enumerate(rows):
-        movetext, event, w, b = r[:4]
-        fen = r[4] if len(r) > 4 else None
-        data.append((str(i), event, w, b, fen, movetext))
-    return spark.createDataFrame(data, GAMES)
-
-
-def archive_df(spark, text):
-    """Archive text as a one-record DataFrame (as the text source would give it)."""
-    return spark.createDataFrame([(text,)], "value string")

@@ -1,6 +1,6 @@
 """Games -> positions (the reference's worker tests, plus tokenizer modes and the cap)."""
 
-from conftest import games_df
+from support import games_df
 from plyframe.operators.extract import extract_positions, replay_errors, tokenize_moves
 
 SAMPLE = ("1. e4 e5 2. Nf3 Nc6 3. Bb5 a6 1-0", "Rated Blitz game", 1500, 1450)

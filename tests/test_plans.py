@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from conftest import SF001
+from support import SF001
 from plyframe.plans import queries as Q
 
 

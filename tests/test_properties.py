@@ -47,7 +47,7 @@ def test_san_round_trip_and_replay_agree(picks):
 def test_annotated_random_games_through_the_job(spark):
     import random
 
-    from conftest import games_df
+    from support import games_df
     from plyframe.operators.extract import extract_positions
 
     rnd = random.Random(7)
