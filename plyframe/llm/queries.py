@@ -13,6 +13,7 @@ from plyframe.llm.pieces import encode_pieces
 from plyframe.llm.preferences import preference_pairs, swapped_replies
 from plyframe.llm.secrets import scan
 from plyframe.llm.simhash import simhash_groups
+from plyframe.llm.token_counts import count_tokens, frequent_table
 from plyframe.llm.warc import read_archives, resolve_revisits, write_archives
 from plyframe.session import scratch_path
 
@@ -97,8 +98,18 @@ def op10_secret_scan(spark, sf_dir):
                         (crc_fold(2) == 1).alias("held_out"), "score", "is_secret")
 
 
+def op11_token_counts(spark, sf_dir, tokenizer_path: str | None = None):
+    if tokenizer_path is None:
+        import public_tokenizers
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    with open(tokenizer_path, "rb") as f:
+        tokenizer = f.read()
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return count_tokens(docs, tokenizer, frequent_table(spark, docs, tokenizer))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_preferences, op4_language_id, op5_embedding_near_dedup, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity,
-                                  op10_secret_scan)}
+                                  op10_secret_scan, op11_token_counts)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
