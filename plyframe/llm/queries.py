@@ -15,6 +15,7 @@ from plyframe.llm.secrets import scan
 from plyframe.llm.simhash import simhash_groups
 from plyframe.llm.token_counts import count_tokens, frequent_table
 from plyframe.llm.warc import read_archives, resolve_revisits, write_archives
+from plyframe.llm.whitening import whiten
 from plyframe.session import scratch_path
 
 
@@ -108,8 +109,12 @@ def op11_token_counts(spark, sf_dir, tokenizer_path: str | None = None):
     return count_tokens(docs, tokenizer, frequent_table(spark, docs, tokenizer))
 
 
+def op12_embedding_whitening(spark, sf_dir):
+    return whiten(spark, documents(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_preferences, op4_language_id, op5_embedding_near_dedup, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity,
-                                  op10_secret_scan, op11_token_counts)}
+                                  op10_secret_scan, op11_token_counts, op12_embedding_whitening)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
