@@ -14,6 +14,7 @@ from plyframe.llm.preferences import preference_pairs, swapped_replies
 from plyframe.llm.secrets import scan
 from plyframe.llm.simhash import simhash_groups
 from plyframe.llm.token_counts import count_tokens, frequent_table
+from plyframe.llm.vector_codes import compress
 from plyframe.llm.warc import read_archives, resolve_revisits, write_archives
 from plyframe.llm.whitening import whiten
 from plyframe.session import scratch_path
@@ -113,8 +114,12 @@ def op12_embedding_whitening(spark, sf_dir):
     return whiten(spark, documents(spark, sf_dir, "embeddings"))
 
 
+def op13_vector_codes(spark, sf_dir):
+    return compress(spark, documents(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_preferences, op4_language_id, op5_embedding_near_dedup, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity,
-                                  op10_secret_scan, op11_token_counts, op12_embedding_whitening)}
+                                  op10_secret_scan, op11_token_counts, op12_embedding_whitening, op13_vector_codes)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
