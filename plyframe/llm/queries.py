@@ -10,7 +10,7 @@ from plyframe.llm.embeddings import near_vectors
 from plyframe.llm.exact_dedup import exact_dedup
 from plyframe.llm.mixture import mix
 from plyframe.llm.pieces import encode_pieces
-from plyframe.llm.preferences import preference_pairs, swapped_replies
+from plyframe.llm.preferences import formatted, swapped_turns
 from plyframe.llm.secrets import scan
 from plyframe.llm.simhash import simhash_groups
 from plyframe.llm.token_counts import count_tokens, frequent_table
@@ -33,7 +33,7 @@ def op2_warc(spark, sf_dir):
 
 
 def op3_preferences(spark, sf_dir):
-    pairs = preference_pairs(*swapped_replies(documents(spark, sf_dir, "conversations")))
+    pairs = formatted(swapped_turns(documents(spark, sf_dir, "conversations")))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s.begin, s.end)), ",")
     return pairs.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
 
@@ -140,7 +140,8 @@ FROM t LEFT JOIN g USING (p)
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            WHERE conv_id IS NOT NULL),
 l AS (SELECT conv_id, max({'turn': turn, 'text': text}) AS l FROM t WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY 1),
-s AS (SELECT a.conv_id, a.l.turn AS last_turn, a.l.text AS own, b.l.text AS reply FROM l a JOIN l b ON b.conv_id = xor(a.conv_id, 1)),
+s AS (SELECT conv_id, l.turn AS last_turn, l.text AS own,
+        coalesce(lead(l.text) OVER (ORDER BY conv_id), (SELECT arg_min(l.text, conv_id) FROM l)) AS reply FROM l),
 w AS (SELECT t.*, role = 'assistant' AND turn = last_turn AND text = own AS is_last, reply,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1 AS pos
       FROM t JOIN s USING (conv_id)),

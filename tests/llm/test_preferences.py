@@ -5,7 +5,7 @@ from collections import defaultdict
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from plyframe.llm.preferences import preference_pairs, swapped_replies  # noqa: E402
+from plyframe.llm.preferences import formatted, preference_pairs, swapped_turns  # noqa: E402
 
 SCHEMA = "pair_id long, turn long, role string, text string, pos string, side string"
 
@@ -67,15 +67,48 @@ def test_equals_brute_force(spark):
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
 
 
-def test_swapped_replies(spark):
-    rows = [(0, 0, "user", "q0"), (0, 1, "assistant", "r0"), (1, 0, "user", "q1"), (1, 1, "assistant", None),
-            (2, 0, "user", "alone"), (2, 1, "assistant", "r2"), (4, 0, "user", "x"), (5, 0, "assistant", "y"),
-            (None, 0, "assistant", "n")]
-    convs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    chosen, rejected = swapped_replies(convs)
-    assert sorted(map(tuple, chosen.collect()), key=str) == sorted([r for r in rows if r[0] in (0, 1)], key=str)
-    assert sorted(map(tuple, rejected.collect()), key=str) == sorted(
-        [(0, 0, "user", "q0"), (0, 1, "assistant", ""), (1, 0, "user", "q1"), (1, 1, "assistant", "r0")], key=str)
+def swap(rows):
+    """Both sides of every conversation with a numbered assistant turn, by hand."""
+    last = {}
+    for c, turn, role, text in rows:
+        if c is not None and role == "assistant" and turn is not None:
+            last[c] = max(last.get(c, (turn, "")), (turn, text or ""))
+    ids = sorted(last)
+    other = {c: last[ids[(i + 1) % len(ids)]][1] for i, c in enumerate(ids)}
+    chosen = [r for r in rows if r[0] in last]
+    rejected = [(c, t, role, other[c] if role == "assistant" and (t, text or "") == last[c] else text)
+                for c, t, role, text in chosen]
+    return chosen, rejected
+
+
+def test_every_conversation_with_a_reply_is_a_pair(spark):
+    rng = random.Random(8)
+    rows = [(0, 0, "user", "q0"), (0, 1, "assistant", "r0"), (1, 0, "user", "q1"), (1, 1, "assistant", None), (2, 0, "user", "no reply"),
+            (4, None, "assistant", "no number"), (None, 0, "assistant", "n"), (-9, 3, "assistant", "twice"), (-9, 3, "assistant", "twice"),
+            (-9, 3, "assistant", "other"), (1 << 62, 0, "assistant", "far"), ((1 << 62) + 2, 0, "assistant", "even ids alone")]
+    for _ in range(60):  # sparse ids: no neighbours
+        c = rng.randrange(1 << 40) * 1000
+        rows += [(c, t, ["user", "assistant"][t % 2], rng.choice(["a", "b", None])) for t in range(rng.randrange(2, 7))]
+    convs = spark.createDataFrame([(*r, "p", "c") for r in rows], "conv_id long, turn long, role string, text string, pair_id string, at string")
+    out = formatted(swapped_turns(convs.repartition(5)))
+    assert got(out) == brute(*swap(rows))
+    alone = spark.createDataFrame([(7, 0, "user", "q"), (7, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    (row,) = formatted(swapped_turns(alone)).collect()
+    assert (row.prompt_turns, row.chosen, row.rejected) == (2, "", "")
+    assert formatted(swapped_turns(alone.limit(0))).count() == 0
+
+
+def test_query_keeps_every_conversation_with_a_reply(spark):
+    from plyframe.llm.queries import QUERIES
+    for sf in ("sf0.001", "sf0.01"):
+        rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"/root/testdata/{sf}/conversations.parquet").collect()]
+        out = QUERIES["op3_preferences"](spark, f"/root/testdata/{sf}")
+        assert out.count() == len({r[0] for r in rows if r[2] == "assistant"})
+        spans = lambda m: ",".join(f"{a}-{b}" for a, b in m)
+        want = sorted((*w[:5], spans(w[5]), spans(w[6])) for w in brute(*swap(rows)))
+        assert sorted(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hash") + plan.count("Exchange range") <= 4 and "Python" not in plan and "Arrow" not in plan
 
 
 def test_empty_tables(spark):
