@@ -19,9 +19,11 @@ def count_moves(positions: DataFrame, keys=COUNT_KEYS, name: str = "times_played
 
 
 def merge_counts(*counts: DataFrame, keys=COUNT_KEYS, weight: str = "times_played") -> DataFrame:
-    """Sum partial counts (months, runs); counts add, so any grouping of merges agrees."""
+    """Sum partial counts (months, runs); counts add, so any grouping of merges agrees.
+
+    Counts may be negative (rows taken back, see ``counts_view``): a key that sums to 0 is not there."""
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), counts)
-    return union.groupBy(*keys).agg(F.sum(weight).cast("long").alias(weight))
+    return union.groupBy(*keys).agg(F.sum(weight).cast("long").alias(weight)).filter(F.col(weight) != 0)
 
 
 def most_played(counts: DataFrame, weight: str = "times_played", keys=COUNT_KEYS, n: int = 1) -> DataFrame:
@@ -34,7 +36,7 @@ def most_played(counts: DataFrame, weight: str = "times_played", keys=COUNT_KEYS
 
 
 def top_k_share(stats: DataFrame, group_cols, item_col: str, weight_col: str, k: int = 5,
-                rank_col: str = "rank", share_col: str = "percentage") -> DataFrame:
+                rank_col: str = "rank", share_col: str = "percentage", keep_zero: bool = True) -> DataFrame:
     """Top ``k`` items per group with their share of the group's total weight.
 
     One pass over ``stats`` (rows need not be pre-aggregated): a grouping-sets
@@ -44,11 +46,13 @@ def top_k_share(stats: DataFrame, group_cols, item_col: str, weight_col: str, k:
     WindowGroupLimit that trims every group to ``k + 1`` rows before the
     window's shuffle (a hot group cannot flood one task); the total is then
     attached over those few rows.  The denominator is all items, not only the
-    top ``k``; ties go to the smaller item.
+    top ``k``; ties go to the smaller item.  Without ``keep_zero`` items that sum
+    to 0 (counts taken back) are no items.
     """
     group_cols = list(group_cols)
     # Raw rows are folded once; only (group, item) sums are then expanded for the totals.
     items = stats.groupBy(*group_cols, item_col).agg(F.sum(weight_col).cast("long").alias(weight_col))
+    items = items if keep_zero else items.filter(F.col(weight_col) != 0)
     agg = (items.groupingSets([group_cols + [item_col], group_cols], *group_cols, item_col)
            .agg(F.sum(weight_col).cast("long").alias(weight_col), F.grouping(item_col).alias("_is_total")))
     order = Window.partitionBy(*group_cols).orderBy(F.desc("_is_total"), F.desc(weight_col), F.asc(item_col))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyframe.functions.board import normalise_fen
 from plyframe.functions.replay import normalise_fen_udf
 from plyframe.operators.counts import top_k_share
+from plyframe.sources.sorted_table import count_below, read_for
+from plyframe.sources.storage import counts_view
 
 # Default rating bounds and answer size of the lookup.
 DEFAULT_ELO_MIN = 0
@@ -61,23 +63,60 @@ def validate_requests(requests: DataFrame, key_is_fen: bool = True) -> DataFrame
                     "lo", "hi", "error"))
 
 
+def running_plays(counts: DataFrame) -> DataFrame:
+    """One row per (position, move): ``by``, its buckets ascending, each with the plays up to and including it."""
+    moves, bucket = ["base_fen", "move_san"], F.col("player_elo_bucket").cast("long")
+    # A range frame: rows of one bucket (a view's sources) all get the sum with all of them.
+    upto = F.sum("times_played").over(Window.partitionBy(*moves).orderBy(bucket).rangeBetween(Window.unboundedPreceding, 0))
+    return (counts.select(*moves, F.struct(bucket.alias("bucket"), upto.alias("upto")).alias("b"))
+            .groupBy(*moves).agg(F.sort_array(F.collect_list("b")).alias("by")))
+
+
+def plays_between(by: Column, lo: Column, hi: Column) -> Column:
+    """Plays in buckets ``lo`` to ``hi`` out of running sums: two binary searches, whatever the number of buckets."""
+    bucket = lambda x: x["bucket"]
+    upto = lambda n: F.coalesce(F.get(by, n - 1)["upto"], F.lit(0).cast("long"))
+    return upto(count_below(by, hi, inclusive=True, item=bucket)) - upto(count_below(by, lo, item=bucket))
+
+
 def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
               key_is_fen: bool = True, only: Sequence[str] | None = None) -> DataFrame:
     """Batch form of the lookup -> (request_id, error, rank, move_san, plays, percentage).
 
     Duplicate requests (a hot opening asked for by many) collapse to one
-    distinct (fen, lo, hi) key before touching the counts.  Counts are folded to
-    one row per (position, move) with its plays by bucket, so a key meets each
-    move of its position once, however many buckets there are.  Answers go back
-    to valid requests by a left join (a request with no rows gets
+    distinct (fen, lo, hi) key before touching the counts, and only the counts of
+    positions asked for go on (a semi join before anything is summed).  These are folded to
+    one row per (position, move) with running sums over its buckets, so a key meets each
+    move of its position once and finds its range by binary search, however many buckets there
+    are.  Answers go back to valid requests by a left join (a request with no rows gets
     ``not_found``); invalid ones never enter a join.  Nothing runs until the
     result is used; join strategies are left to the sizes Spark sees.
 
     ``only`` names the positions all requests are about, where the caller knows
     them: they become a filter on the counts scan (row groups of the sorted
-    table are skipped by min/max).
+    table are skipped by min/max).  ``recommend_sorted`` prunes files by the requests' own keys.
     """
+    return _answered(validate_requests(requests, key_is_fen), counts, k, only)
+
+
+def recommend_sorted(requests: DataFrame, path: str, k: int = TOP_K, *, key_is_fen: bool = True) -> DataFrame:
+    """``recommend`` against a sorted table (``write_sorted``): its index says which files can hold a position asked
+    for, and no other is opened.  The requests' keys are looked up in the index at once."""
     v = validate_requests(requests, key_is_fen)
+    keys = v.filter(F.col("error").isNull()).select(F.col("key_fen").alias("base_fen")).distinct()
+    return _answered(v, read_for(requests.sparkSession, path, keys), k)
+
+
+def recommend_view(requests: DataFrame, merged_path: str | None, monthly_root: str | None, k: int = TOP_K, *,
+                   key_is_fen: bool = True) -> DataFrame:
+    """``recommend`` against the counts view: the merged table's runs are pruned by the requests' keys, months
+    loaded since are read as well, replaced ones are taken back out."""
+    spark, v = requests.sparkSession, validate_requests(requests, key_is_fen)
+    keys = v.filter(F.col("error").isNull()).select(F.col("key_fen").alias("base_fen")).distinct()
+    return _answered(v, counts_view(spark, merged_path, monthly_root, keys=keys), k)
+
+
+def _answered(v: DataFrame, counts: DataFrame | None, k: int, only: Sequence[str] | None = None) -> DataFrame:
     key = ["key_fen", "lo", "hi"]
     none = [F.lit(None).cast(t).alias(c) for c, t in (("rank", "int"), ("move_san", "string"), ("plays", "long"),
                                                      ("percentage", "double"))]
@@ -85,15 +124,13 @@ def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
         return v.select("request_id", F.coalesce("error", F.lit("no_source")).alias("error"), *none)
     valid = v.filter(F.col("error").isNull()).drop("error")
     invalid = v.filter(F.col("error").isNotNull()).select("request_id", "error", *none)
+    keys = valid.select(*key).distinct()
     c = counts if only is None else counts.filter(F.col("base_fen").isin(list(only)))
-    moves = (c.groupBy("base_fen", "move_san", F.col("player_elo_bucket").cast("long").alias("bucket"))
-             .agg(F.sum("times_played").alias("plays"))
-             .groupBy("base_fen", "move_san").agg(F.collect_list(F.struct("bucket", "plays")).alias("by")))
-    inside = F.filter("by", lambda x: x["bucket"].between(F.col("lo"), F.col("hi")))
-    matched = (valid.select(*key).distinct().join(moves, F.col("key_fen") == F.col("base_fen"))
-               .select(*key, "move_san", inside.alias("by")).filter(F.size("by") > 0)
-               .withColumn("plays", F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + x["plays"])))
-    top = top_k_share(matched.drop("by"), key, "move_san", "plays", k)
+    c = c.join(keys.select(F.col("key_fen").alias("base_fen")).distinct(), "base_fen", "left_semi")
+    matched = (keys.join(running_plays(c), F.col("key_fen") == F.col("base_fen"))
+               .select(*key, "move_san", plays_between(F.col("by"), F.col("lo"), F.col("hi")).alias("plays"))
+               .filter("plays <> 0"))
+    top = top_k_share(matched, key, "move_san", "plays", k)
     found = valid.join(top, key, "left").select(
         "request_id", F.when(F.col("move_san").isNull(), F.lit("not_found")).alias("error"),
         F.col("rank").cast("int").alias("rank"), "move_san", "plays", "percentage")
@@ -151,5 +188,5 @@ def top_moves(counts: DataFrame, fen: str, elo_min: int | None = DEFAULT_ELO_MIN
     hits = hits if elo_min is None else hits.filter(F.col("player_elo_bucket") >= elo_min)
     hits = hits if elo_max is None else hits.filter(F.col("player_elo_bucket") <= elo_max)
     # At most k rows: ordering them in one partition avoids a sampled range sort.
-    return (top_k_share(hits, ["base_fen"], "move_san", "plays", k)
+    return (top_k_share(hits, ["base_fen"], "move_san", "plays", k, keep_zero=False)
             .coalesce(1).sortWithinPartitions("rank").select("move_san", "plays", "percentage"))

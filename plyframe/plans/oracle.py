@@ -194,6 +194,26 @@ FROM r WHERE rk <= 5"""
 req AS (SELECT p_partkey AS request_id, CAST(p_partkey AS VARCHAR) AS key_fen,
                CAST((p_size % 5) * 10 AS BIGINT) AS lo, CAST((p_size % 5) * 10 + 20 AS INTEGER) AS hi,
                CAST(NULL AS VARCHAR) AS error FROM part)""", "lcounts")
+    sql["indexed_lookup"] = _recommend_sql(
+        f"""WITH {_LINEITEM_COUNTS},
+req AS (SELECT CAST(n_nationkey AS BIGINT) AS request_id, CAST(n_nationkey AS VARCHAR) AS key_fen,
+               CAST(n_regionkey * 10 AS BIGINT) AS lo, CAST(3000 AS BIGINT) AS hi, CAST(NULL AS VARCHAR) AS error FROM nation)""",
+        "lcounts")
+    sql["view_lookup"] = _recommend_sql(
+        """WITH vcounts AS (
+  SELECT CAST(l_partkey AS VARCHAR) AS base_fen, CAST(FLOOR(l_quantity / 10.0) * 10 AS BIGINT) AS player_elo_bucket,
+         CAST(l_suppkey AS VARCHAR) AS move_san, COUNT(*) AS times_played
+  FROM lineitem WHERE strftime(l_shipdate, '%Y') <> '1994' OR l_linenumber % 2 = 0 GROUP BY ALL),
+req AS (SELECT p_partkey AS request_id, CAST(p_partkey AS VARCHAR) AS key_fen,
+               CAST((p_size % 5) * 10 AS BIGINT) AS lo, CAST((p_size % 5) * 10 + 20 AS BIGINT) AS hi,
+               CAST(NULL AS VARCHAR) AS error FROM part)""", "vcounts")
+    sql["stored_ledger"] = "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS year_month FROM orders"
+    sql["ingest_empty_month"] = f"""WITH {GAMES_CTE},
+years AS (SELECT strftime(make_date(CAST(substr(month, 1, 4) AS BIGINT), 1, 1), '%Y-%m') AS month,
+                 CASE WHEN month LIKE '1995%' THEN 'bullet' ELSE reject_reason END AS reason FROM judged)
+SELECT p.path, month, COUNT(*) AS scanned, COUNT(*) FILTER (reason IS NULL) AS kept, COUNT(*) FILTER (reason = 'bullet') AS bullet,
+       COUNT(*) FILTER (reason = 'termination') AS termination, COUNT(*) FILTER (reason = 'rating') AS rating
+FROM years, (VALUES ('batch'), ('stream')) p(path) GROUP BY ALL"""
     sql["most_played"] = f"""WITH {_LINEITEM_COUNTS}
 SELECT base_fen, player_elo_bucket, move_san, times_played FROM lcounts
 ORDER BY times_played DESC, base_fen, player_elo_bucket, move_san LIMIT 1"""

@@ -18,15 +18,17 @@ from plyframe.operators.counts import (compare_extractions, count_moves, merge_c
                                        sequence_steps, top_k_share)
 from plyframe.operators.extract import extract_positions, replay_errors, tokenize_moves
 from plyframe.operators.qualify import filter_report, limit_games, qualify_games
-from plyframe.operators.recommend import as_responses, recommend, requests_from_json, top_moves, validate_requests
+from plyframe.operators.recommend import (as_responses, recommend, recommend_sorted, recommend_view, requests_from_json,
+                                          top_moves, validate_requests)
 from plyframe.plans import synth
 from plyframe.session import scratch_path
 from plyframe.sources.archive import read_games
-from plyframe.sources.storage import (compact_month, counts_view, merge_months, read_counts, read_merged, read_monthly,
-                                      read_positions, row_at, write_bucketed_counts, write_month, write_positions,
-                                      write_sorted)
-from plyframe.streaming.ingest import (MAX_MONTHS_PER_RUN, ingest_stream, ledger_union, list_links,
-                                       pending_months)
+from plyframe.schemas import COUNTERS
+from plyframe.sources.sorted_table import row_at_index, write_sorted
+from plyframe.sources.storage import (committed_covers, compact_month, counts_view, merge_months, read_counts, read_merged,
+                                      read_monthly, read_positions, write_bucketed_counts, write_month, write_positions)
+from plyframe.streaming.ingest import (MAX_MONTHS_PER_RUN, add_to_ledger, ingest, ingest_stream, ledger_union, list_links,
+                                       load_ledger, pending_months)
 
 ORDER_KEYS = ("o_orderpriority", "price_bucket", "o_orderstatus")
 LEDGER_BEFORE = "1998-01"  # months before this count as already processed
@@ -37,6 +39,8 @@ WIDEST = (1 << 63) - 1
 # JSON bounds by o_orderkey % 8 ("" leaves the bound out).
 BODY_BOUNDS = ["", "1500", "99999999999", "1400.9", "null", '"1200"', '"12.5"', "true"]
 POSITION_FILE_ROWS = 5_000  # small cap so the round trip spans many files
+SORTED_FILE_ROWS = 10_000  # likewise for the sorted table's files
+EMPTY_YEAR = "1995"  # the archive whose games are all excluded
 ROW_INDEX = 35
 PAGE_LINK_PATTERN = r'href="(/[^"]+)"'
 PAGE_BASE_URL = "https://example.org/"
@@ -189,6 +193,32 @@ def merged_sorted_lookup(spark, sf_dir):
     return recommend(_part_requests(spark, sf_dir), read_counts(spark, path), key_is_fen=False)
 
 
+def indexed_lookup(spark, sf_dir):
+    """A few requests (one a nation) against the indexed sorted table: the files that can hold their positions are opened."""
+    path = scratch_path(spark, "indexed")
+    write_sorted(lineitem_counts(spark, sf_dir), path, max_records=SORTED_FILE_ROWS)
+    requests = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("long").alias("request_id"), F.col("n_nationkey").cast("string").alias("fen"),
+        (F.col("n_regionkey") * 10).cast("string").alias("elo_min"), F.lit(None).cast("string").alias("elo_max"))
+    return recommend_sorted(requests, path, key_is_fen=False)
+
+
+def view_lookup(spark, sf_dir):
+    """Line items loaded by ship year and merged year by year; one year then loaded again with half its items and
+    one after the last merge: requests (one a part) answered from the merged runs, what came since and what was taken back."""
+    root, merged = scratch_path(spark, "lookup-months"), scratch_path(spark, "lookup-merged")
+    li = table(spark, sf_dir, "lineitem").select(
+        F.date_format("l_shipdate", "yyyy").alias("month"), F.col("l_partkey").cast("string").alias("base_fen"),
+        bucket("l_quantity", 10).alias("player_elo_bucket"), F.col("l_suppkey").cast("string").alias("move_san"), "l_linenumber")
+    keys = ("month", "base_fen", "player_elo_bucket", "move_san")
+    for span in (("1992", "1993"), ("1994", "1994"), ("1995", "1995")):
+        write_month(count_moves(li.filter(F.col("month").between(*span)), keys=keys), root)
+        merge_months(spark, root, merged)
+    write_month(count_moves(li.filter("month = '1994' and l_linenumber % 2 = 0"), keys=keys), root)
+    write_month(count_moves(li.filter("month > '1995'"), keys=keys), root)
+    return recommend_view(_part_requests(spark, sf_dir), merged, root, key_is_fen=False)
+
+
 def most_played_row(spark, sf_dir):
     return most_played(lineitem_counts(spark, sf_dir))
 
@@ -251,6 +281,22 @@ def pending_months_q(spark, sf_dir):
     return pending_months(available, _ledger(available), MAX_MONTHS_PER_RUN)
 
 
+def stored_ledger(spark, sf_dir):
+    """Every order month through the store's commit log: months of even years as loads (data and ledger in one
+    entry each year), the others added without data, the first half of them twice; what the log then says is processed."""
+    root = scratch_path(spark, "ledger")
+    months = _order_months(spark, sf_dir)
+    year = F.substring("month", 1, 4).cast("int")
+    names = months.select(F.col("month").alias("year_month")).distinct()
+    for y in sorted(r[0] for r in months.filter(year % 2 == 0).select(year).distinct().collect()):
+        own = months.filter(year == y)
+        write_month(own, root, processed=[r[0] for r in own.select("month").distinct().collect()])
+    odd = names.filter(F.substring("year_month", 1, 4).cast("int") % 2 == 1)
+    for part in (odd.filter("year_month < '1996'"), odd):
+        add_to_ledger(spark, root, part)
+    return load_ledger(spark, root)
+
+
 def ledger_add(spark, sf_dir):
     available = _available_months(spark, sf_dir)
     ledger = _ledger(available)
@@ -400,10 +446,10 @@ def counts_view_months(spark, sf_dir):
 
 
 def sorted_row_at(spark, sf_dir):
-    """Positional access on a table sorted by position (row 35 in key order)."""
+    """Positional access on a table sorted by position (row 35 in key order): one file is opened."""
     path = scratch_path(spark, "row-at")
-    write_sorted(lineitem_counts(spark, sf_dir), path)
-    return row_at(read_counts(spark, path), ROW_INDEX, ["base_fen", "player_elo_bucket", "move_san"])
+    write_sorted(lineitem_counts(spark, sf_dir), path, max_records=SORTED_FILE_ROWS)
+    return row_at_index(spark, path, ROW_INDEX)
 
 
 def incremental_equals_batch(spark, sf_dir):
@@ -420,7 +466,34 @@ def incremental_equals_batch(spark, sf_dir):
     return merge_counts(read_monthly(spark, monthly).drop("month", "part"))
 
 
+def ingest_empty_month(spark, sf_dir):
+    """Yearly archives, one of them with excluded games only, through the batch path and through the stream: every
+    archive is committed with its games scanned, kept and rejected by reason, the empty one too."""
+    src = scratch_path(spark, "empty-archives")
+    orders = table(spark, sf_dir, "orders")
+    records = synth.archive_records(orders).select(
+        F.concat(F.substring("month", 1, 4), F.lit("-01")).alias("month"), "value")
+    barred = F.regexp_replace("value", r'^\[Event "[^"]*"\]', '[Event "Rated Bullet game"]')
+    (records.select("month", F.when(F.col("month").startswith(EMPTY_YEAR), barred).otherwise(F.col("value")).alias("value"))
+     .repartition("month").write.partitionBy("month").text(src))
+    out = []
+    months = sorted(r[0] for r in records.select("month").distinct().collect())
+    batch, stream = scratch_path(spark, "empty-batch"), scratch_path(spark, "empty-stream")
+    archives = spark.createDataFrame([(m, f"{src}/month={m}") for m in months], "year_month string, path string")
+    report = ingest(spark, archives, batch)
+    out.append(report.select(F.lit("batch").alias("path"), F.col("year_month").alias("month"), F.col("games_scanned").alias("scanned"),
+                             F.col("games_kept").alias("kept"), *[F.col(f"rejected_{c}").alias(c) for c in COUNTERS[2:]]))
+    ingest_stream(spark, src, stream, scratch_path(spark, "empty-ckpt"), path_glob="month=*/*.txt", max_files_per_trigger=4)
+    covers = committed_covers(spark, stream)
+    out.append(covers.groupBy(F.lit("stream").alias("path"), "month").agg(*[F.sum(c).alias(c) for c in COUNTERS]))
+    return out[0].unionByName(out[1])
+
+
 QUERIES = {
+    "indexed_lookup": indexed_lookup,
+    "view_lookup": view_lookup,
+    "stored_ledger": stored_ledger,
+    "ingest_empty_month": ingest_empty_month,
     "bucket_counts": bucket_counts,
     "bucket_partition_filter": bucket_partition_filter,
     "monthly_counts_merge": monthly_counts_merge,

@@ -43,8 +43,13 @@ MONTHLY_COUNTS = T.StructType(COUNTS.fields + [T.StructField("month", T.StringTy
 STORED_COUNTS = T.StructType(MONTHLY_COUNTS.fields + [T.StructField("load", T.StringType())])
 COVERED = T.StructType([T.StructField("month", T.StringType()), T.StructField("part", T.StringType()),
                         T.StructField("load", T.StringType())])
-LOADS = T.StructType(COVERED.fields + [T.StructField("whole", T.BooleanType()), T.StructField("seq", T.LongType())])
-VERSIONS = T.StructType([T.StructField("seq", T.LongType()), T.StructField("path", T.StringType())])
+# What a load covers, with the counters of the games it came from (null where nobody counted), and the log's entries.
+COUNTERS = ("scanned", "kept", "bullet", "termination", "rating")
+COVERS = T.StructType(COVERED.fields + [T.StructField(c, T.LongType()) for c in COUNTERS])
+LOG_ENTRIES = T.StructType([
+    T.StructField("seq", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("load", T.StringType()),
+    T.StructField("whole", T.BooleanType()), T.StructField("processed", T.ArrayType(T.StringType())),
+    T.StructField("batch_id", T.LongType())])
 
 # Output of the replay UDF.
 PLY = T.StructType([

@@ -162,14 +162,14 @@ def test_one_archive_through_both_paths_and_a_new_checkpoint(spark, tmp):
     path = _archive(src, "2030-05", n=4)
     monthly = os.path.join(tmp, "monthly")
     archives = spark.createDataFrame([("2030-05", path)], "year_month string, path string")
-    ingest(spark, archives, monthly, os.path.join(tmp, "ledger"))
+    ingest(spark, archives, monthly)
     want = _total(read_monthly(spark, monthly))
     assert want == 4 * 6
     _archive(src, "2030-06", n=1)
     for name, files in (("c1", None), ("c2", 1)):
         ingest_stream(spark, src, monthly, os.path.join(tmp, name), max_files_per_trigger=files)
         assert _total(read_monthly(spark, monthly)) == want + 6
-    ingest(spark, archives, monthly, os.path.join(tmp, "ledger"))
+    ingest(spark, archives, monthly)
     assert _total(read_monthly(spark, monthly)) == want + 6
 
 
@@ -181,23 +181,23 @@ def test_high_ratings_count_alike_on_every_path(spark, tmp):
         f.write(GAME.replace("1500", "4100").replace("1450", "5200"))
     monthly, kept = os.path.join(tmp, "monthly"), os.path.join(tmp, "kept")
     archives = spark.createDataFrame([("2030-07", path)], "year_month string, path string")
-    report = ingest(spark, archives, monthly, os.path.join(tmp, "l1")).first()
+    report = ingest(spark, archives, monthly).first()
     direct = count_moves(extract_positions(qualify_games(read_games(spark, path))))
     assert _total(read_monthly(spark, monthly)) == _total(direct) == report.positions
     assert report.files == 1 and report.seconds > 0
-    ingest(spark, archives, kept, os.path.join(tmp, "l2"), buckets=(600, 4200))
+    ingest(spark, archives, kept, buckets=(600, 4200))
     assert _total(read_monthly(spark, kept)) == _total(direct.filter("player_elo_bucket between 600 and 4200"))
 
 
 def test_batch_ingest_is_idempotent(spark, tmp):
     paths = [_archive(tmp, "2024-01"), _archive(tmp, "2024-02", n=2)]
     archives = spark.createDataFrame([("2024-01", paths[0]), ("2024-02", paths[1])], "year_month string, path string")
-    monthly, ledger = os.path.join(tmp, "monthly"), os.path.join(tmp, "ledger")
+    monthly = os.path.join(tmp, "monthly")
     for _ in range(2):
-        report = ingest(spark, archives, monthly, ledger)
+        report = ingest(spark, archives, monthly)
     assert [(r.year_month, r.status) for r in report.collect()] == [("2024-01", "done"), ("2024-02", "done")]
     assert [(r.games_scanned, r.games_kept, r.positions) for r in report.collect()] == [(3, 3, 18), (2, 2, 12)]
-    assert [r[0] for r in load_ledger(spark, ledger).collect()] == ["2024-01", "2024-02"]
+    assert [r[0] for r in load_ledger(spark, monthly).collect()] == ["2024-01", "2024-02"]
     view = merge_counts(counts_view(spark, None, monthly))
     e4 = view.filter((F.col("base_fen") == START) & (F.col("move_san") == "e4")).first()
     assert e4.times_played == 5
@@ -223,10 +223,10 @@ def test_failed_month_does_not_stop_others(spark, tmp):
     with open(bad, "wb") as f:
         f.write(b"this is not zstd data at all")
     archives = spark.createDataFrame([("2024-03", good), ("2024-04", bad)], "year_month string, path string")
-    monthly, ledger = os.path.join(tmp, "monthly"), os.path.join(tmp, "ledger")
-    status = {r.year_month: r.status for r in ingest(spark, archives, monthly, ledger).collect()}
+    monthly = os.path.join(tmp, "monthly")
+    status = {r.year_month: r.status for r in ingest(spark, archives, monthly).collect()}
     assert status == {"2024-03": "done", "2024-04": "failed"}
-    assert [r[0] for r in load_ledger(spark, ledger).collect()] == ["2024-03"]
+    assert [r[0] for r in load_ledger(spark, monthly).collect()] == ["2024-03"]
     months = {r[0] for r in spark.read.parquet(monthly).select("month").distinct().collect()}
     assert months == {"2024-03"}
 
@@ -240,12 +240,12 @@ def test_update_run_caps_and_reports(spark, tmp):
     available = list_months(spark.createDataFrame([(html,)], "html string"))
     # Files on disk are plain text named like the listing's .zst links minus the suffix.
     available = available.withColumn("url", F.regexp_replace("url", r"\.zst$", ""))
-    ledger, monthly = os.path.join(tmp, "ledger"), os.path.join(tmp, "monthly")
-    pending, _ = update_months(spark, available, ledger, archive_dir, monthly, max_months=2, dry_run=True)
+    monthly = os.path.join(tmp, "monthly")
+    pending, _ = update_months(spark, available, archive_dir, monthly, max_months=2, dry_run=True)
     assert [r.year_month for r in pending.collect()] == ["2024-01", "2024-02"]
-    report, remaining = update_months(spark, available, ledger, archive_dir, monthly, max_months=2)
+    report, remaining = update_months(spark, available, archive_dir, monthly, max_months=2)
     assert [r.status for r in report.collect()] == ["done", "done"] and remaining == 1
-    report, remaining = update_months(spark, available, ledger, archive_dir, monthly, max_months=2)
+    report, remaining = update_months(spark, available, archive_dir, monthly, max_months=2)
     assert [r.year_month for r in report.collect()] == ["2024-03"] and remaining == 0
 
 

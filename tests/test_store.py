@@ -1,0 +1,220 @@
+"""The commit log, the indexed sorted table, levelled merges with retractions, vacuum."""
+
+import os
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
+from pyspark.sql import functions as F
+
+from plyframe.operators.counts import merge_counts
+from plyframe.operators.recommend import (plays_between, recommend, recommend_sorted, recommend_view, running_plays, top_moves)
+from plyframe.schemas import COUNTS, LOG_ENTRIES
+from plyframe.sources import commit_log
+from plyframe.sources.sorted_table import count_below, files_of, read_for, read_index, row_at_index, write_sorted
+from plyframe.sources.storage import (compact_month, counts_view, current_loads, log_path, merge_months, merged_runs, read_counts,
+                                      read_merged, read_monthly, vacuum, write_month)
+
+REQUESTS = "request_id long, fen string, elo_min string, elo_max string"
+
+
+def counts(spark, rows):
+    return spark.createDataFrame(rows, COUNTS)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.select("base_fen", "player_elo_bucket", "move_san", "times_played").collect()))
+
+
+def files_read(df):
+    return {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+
+
+# ------------------------------------------------------------- commit log
+def test_writers_at_once_get_different_numbers(spark, tmp):
+    log = os.path.join(tmp, "x_log")
+    assert commit_log.last(spark, log) == 0 and commit_log.read(spark, log, LOG_ENTRIES) is None
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda i: commit_log.append(spark, log, {"kind": "load", "load": f"l{i}"}), range(40)))
+    assert sorted(got) == list(range(1, 41)) and commit_log.last(spark, log) == 40
+    stored = {r.seq: r.load for r in commit_log.read(spark, log, LOG_ENTRIES).collect()}
+    assert stored == {n: f"l{i}" for i, n in enumerate(got)}
+    assert not [f for f in os.listdir(log) if f.endswith(".tmp")]
+
+
+def test_a_number_is_given_once(spark, tmp):
+    log = os.path.join(tmp, "x_log")
+    assert commit_log.append(spark, log, {"kind": "a"}, 1) == 1
+    with pytest.raises(commit_log.Taken):
+        commit_log.append(spark, log, {"kind": "b"}, 1)
+    assert commit_log.entry(spark, log, 1) == {"seq": 1, "kind": "a"} and commit_log.append(spark, log, {"kind": "c"}) == 2
+
+
+def test_months_written_at_once_all_count(spark, tmp):
+    root = os.path.join(tmp, "monthly")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: write_month(counts(spark, [("p", 1500, "m", 10 ** i)]), root, f"2030-0{i + 1}",
+                                            processed=[f"2030-0{i + 1}"]), range(4)))
+    assert rows_of(merge_counts(read_monthly(spark, root).drop("month", "part"))) == [("p", 1500, "m", 1111)]
+    from plyframe.streaming.ingest import load_ledger
+    assert [r[0] for r in load_ledger(spark, root).collect()] == [f"2030-0{i}" for i in range(1, 5)]
+
+
+def test_a_load_without_its_entry_does_not_count(spark, tmp):
+    root = os.path.join(tmp, "monthly")
+    write_month(counts(spark, [("p", 1500, "m", 1)]), root, "2030-01")
+    seq = write_month(counts(spark, [("p", 1500, "m", 5)]), root, "2030-01")
+    os.remove(os.path.join(log_path(root), f"{seq:020d}.json"))  # as if the writer had died before it
+    assert rows_of(read_monthly(spark, root)) == [("p", 1500, "m", 1)]
+
+
+# ----------------------------------------------------------- sorted table
+@pytest.fixture()
+def table(spark, tmp):
+    path = os.path.join(tmp, "sorted")
+    rows = [(f"k{i:04d}", b, m, i + b) for i in range(0, 800, 2) for b in (0, 100) for m in "ab"]
+    write_sorted(counts(spark, rows), path, partitions=10, max_records=70)
+    return path, sorted(rows)
+
+
+def test_index_says_where_rows_are(spark, table):
+    path, rows = table
+    index = read_index(spark, path).orderBy("file_no").collect()
+    assert len(index) > 20 and sum(r.rows for r in index) == len(rows) and max(r.rows for r in index) <= 70
+    at = 0
+    for i, r in enumerate(index):
+        assert (r.file_no, r.rows_before, r.first_key) == (i, at, rows[at][0])
+        at += r.rows
+        assert r.last_key == rows[at - 1][0]
+
+
+def test_row_at_opens_one_file(spark, table):
+    path, rows = table
+    before = set(os.listdir(os.path.dirname(path)))
+    for i in (0, 69, 70, 777, len(rows) - 1):
+        df = row_at_index(spark, path, i)
+        assert len(df.inputFiles()) == 1 and tuple(df.first()) == rows[i]
+    assert row_at_index(spark, path, len(rows)).count() == 0 and set(os.listdir(os.path.dirname(path))) == before
+
+
+def test_lookups_open_the_files_that_can_hold_a_key(spark, table):
+    path, rows = table
+    total = len(read_counts(spark, path).inputFiles())
+    wanted = ["k0010", "k0011", "k0400", "zzz", "", None]
+    keys = spark.createDataFrame([(k,) for k in wanted], "base_fen string")
+    some = read_for(spark, path, keys)
+    assert 0 < len(some.inputFiles()) <= 4 < total
+    assert rows_of(some.join(keys, "base_fen", "left_semi")) == [r for r in rows if r[0] in wanted]
+    assert read_for(spark, path, keys.filter("base_fen = 'zzz'")).count() == 0
+    every = spark.createDataFrame([(r[0],) for r in rows], "base_fen string")
+    assert len(files_of(spark, path, every)) == total
+    requests = spark.createDataFrame([(1, "k0010", None, None), (2, "k0400", "50", "100"), (3, "k0011", None, None),
+                                      (4, None, None, None), (5, "k0400", "x", None)], REQUESTS)
+    pruned, whole = recommend_sorted(requests, path, key_is_fen=False), recommend(requests, read_counts(spark, path), key_is_fen=False)
+    assert sorted(map(str, pruned.collect())) == sorted(map(str, whole.collect())) and pruned.count() == 7
+    scans = [line for line in pruned._jdf.queryExecution().executedPlan().toString().splitlines() if "InMemoryFileIndex" in line]
+    assert scans and all(f"InMemoryFileIndex({len(some.inputFiles())} paths)" in line for line in scans)
+
+
+def test_a_key_over_several_files_and_an_empty_table(spark, tmp):
+    path = os.path.join(tmp, "one")
+    write_sorted(counts(spark, [("a", i, "m", 1) for i in range(50)] + [("b", 1, "m", 1)]), path, partitions=1, max_records=10)
+    assert read_for(spark, path, spark.createDataFrame([("a",)], "base_fen string")).filter("base_fen = 'a'").count() == 50
+    none = os.path.join(tmp, "none")
+    write_sorted(counts(spark, []), none)
+    assert read_for(spark, none, spark.createDataFrame([("a",)], "base_fen string")).count() == 0
+    assert row_at_index(spark, none, 0).count() == 0
+
+
+def test_binary_search(spark):
+    import bisect
+    for values in ([], [5], [1, 1, 2, 9], list(range(0, 300, 3))):
+        df = spark.createDataFrame([(values, b) for b in range(-2, 305, 7)], "v array<int>, b int")
+        for r in df.select("b", count_below(F.col("v"), F.col("b")).alias("lo"),
+                           count_below(F.col("v"), F.col("b"), inclusive=True).alias("hi")).collect():
+            assert (r.lo, r.hi) == (bisect.bisect_left(values, r.b), bisect.bisect_right(values, r.b))
+
+
+def test_a_range_among_a_thousand_buckets_takes_few_steps(spark):
+    """Sums of any range are right, and the search makes ten comparisons a bound, not a thousand."""
+    n = 1000
+    wide = counts(spark, [("p", 100 * i, "m", i + 1) for i in range(n)] + [("p", 500, "m", 7)])  # a second source's row
+    by = running_plays(wide)
+    plays = lambda lo, hi: sum(i + 1 for i in range(n) if lo <= 100 * i <= hi) + 7 * (lo <= 500 <= hi)
+    bounds = [(0, 0), (500, 500), (-5, 99_900), (450, 40_050), (99_901, 10 ** 9), (700, 300)]
+    ask = spark.createDataFrame(bounds, "lo long, hi long")
+    got = by.crossJoin(F.broadcast(ask)).select("lo", "hi", plays_between(F.col("by"), F.col("lo"), F.col("hi")).alias("n"))
+    assert {(r.lo, r.hi): max(r.n, 0) for r in got.collect()} == {(a, b): plays(a, b) if a <= b else 0 for a, b in bounds}
+    steps = by.select(F.length(F.bin(F.size("by"))).alias("bits")).first().bits
+    assert steps == 10
+
+
+# ------------------------------------------------------ merges and views
+def test_a_merge_writes_the_new_month_alone(spark, tmp):
+    root, merged = os.path.join(tmp, "monthly"), os.path.join(tmp, "merged")
+    want = {}
+    for i in range(11):
+        rows = [(f"p{j}", 1500, "m", i + 1) for j in range(40 if i == 0 else 3)]
+        for r in rows:
+            want[r[:3]] = want.get(r[:3], 0) + r[3]
+        write_month(counts(spark, rows), root, f"2030-{i + 1:02d}")
+        before = {r["path"] for r in merged_runs(spark, merged)}
+        got = merge_months(spark, root, merged, fanout=3)
+        runs = merged_runs(spark, merged)
+        assert rows_of(got) == sorted((*k, n) for k, n in want.items())
+        levels = [r["level"] for r in runs]
+        assert max(levels.count(x) for x in set(levels)) < 3
+        if i in (1, 3):  # no level was full: the runs before stand as they were
+            assert before < {r["path"] for r in runs} and [r["rows"] for r in runs if r["path"] not in before] == [3]
+    full = merge_months(spark, root, merged, full=True)
+    assert len(merged_runs(spark, merged)) == 1 and rows_of(full) == sorted((*k, n) for k, n in want.items())
+    merge_months(spark, root, merged)
+    assert len(merged_runs(spark, merged)) == 1  # nothing new: no run
+
+
+def test_a_replaced_month_leaves_the_merged_table_in_use(spark, tmp):
+    root, merged = os.path.join(tmp, "monthly"), os.path.join(tmp, "merged")
+    write_month(counts(spark, [("p", 1500, "gone", 4), ("p", 1500, "stays", 1)]), root, "2030-01")
+    write_month(counts(spark, [("p", 1500, "stays", 10), ("q", 900, "m", 2)]), root, "2030-02")
+    merge_months(spark, root, merged)
+    (run,) = merged_runs(spark, merged)
+    write_month(counts(spark, [("p", 1500, "stays", 3)]), root, "2030-01")
+    view = counts_view(spark, merged, root)
+    assert os.path.basename(run["path"]) in files_read(view)  # still what is read
+    want = [("p", 1500, "stays", 13), ("q", 900, "m", 2)]
+    assert rows_of(merge_counts(view)) == want
+    best = top_moves(view, "p", normalise=False).collect()
+    assert [(r.move_san, r.plays, r.percentage) for r in best] == [("stays", 13, 100.0)]
+    requests = spark.createDataFrame([(1, "p", None, None), (2, "q", "1000", None)], REQUESTS)
+    answers = {r.request_id: (r.error, r.move_san, r.plays) for r in recommend_view(requests, merged, root, key_is_fen=False).collect()}
+    assert answers == {1: (None, "stays", 13), 2: ("not_found", None, None)}
+    merge_months(spark, root, merged)
+    assert len(merged_runs(spark, merged)) == 2 and rows_of(read_merged(spark, merged)) == want
+    assert rows_of(merge_counts(counts_view(spark, merged, root))) == want
+    write_month(counts(spark, []), root, "2030-02")  # emptied
+    assert rows_of(merge_counts(counts_view(spark, merged, root))) == [("p", 1500, "stays", 3)]
+    assert rows_of(merge_months(spark, root, merged)) == [("p", 1500, "stays", 3)]
+
+
+def test_two_merges_at_once_lose_nothing(spark, tmp):
+    root, merged = os.path.join(tmp, "monthly"), os.path.join(tmp, "merged")
+    write_month(counts(spark, [("p", 1500, "m", 1)]), root, "2030-01")
+    with ThreadPoolExecutor(3) as pool:
+        got = list(pool.map(lambda _: rows_of(merge_months(spark, root, merged)), range(3)))
+    assert got == [[("p", 1500, "m", 1)]] * 3 and commit_log.last(spark, log_path(merged)) == 3
+
+
+def test_vacuum_keeps_what_readers_need(spark, tmp):
+    root, merged = os.path.join(tmp, "monthly"), os.path.join(tmp, "merged")
+    for n in (1, 2):
+        write_month(counts(spark, [("p", 1500, "m", n)]), root, "2030-01", part="a")
+        merge_months(spark, root, merged, full=True)
+    write_month(counts(spark, [("p", 1500, "m", 5)]), root, "2030-01", part="a")
+    compact_month(spark, root, "2030-01")
+    assert vacuum(spark, root, merged) == []  # all of it is young
+    planned = vacuum(spark, root, merged, older_than_seconds=0, dry_run=True)
+    gone = vacuum(spark, root, merged, older_than_seconds=0)
+    assert sorted(gone) == sorted(planned) and len(gone) == 7  # 2 loads twice, a run, its index, its cover list
+    assert rows_of(merge_counts(counts_view(spark, merged, root))) == [("p", 1500, "m", 5)]
+    assert rows_of(merge_months(spark, root, merged)) == [("p", 1500, "m", 5)]
+    vacuum(spark, root, merged, older_than_seconds=0)
+    assert rows_of(read_monthly(spark, root)) == [("p", 1500, "m", 5)] and current_loads(spark, root).count() == 1
