@@ -81,6 +81,14 @@ def _strip_ws(c: Column) -> Column:
     return F.trim(c, F.lit(_WHITESPACE))
 
 
+def tag_of(line: Column) -> Column:
+    """Key and value of a tag line as a struct; null for other lines and for a tag without a space."""
+    space = F.instr(line, " ")
+    key = F.substring(line, F.lit(2), space - 2)
+    value = F.trim(F.substring(line, space + 1, F.length(line)), F.lit('"]'))
+    return F.when(line.startswith("[") & (space > 0), F.struct(key.alias("k"), value.alias("v")))
+
+
 def record_games(value) -> Column:
     """Fold the lines of one archive record into ``array<struct<headers, movetext>>``.
 

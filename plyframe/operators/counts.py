@@ -36,7 +36,8 @@ def most_played(counts: DataFrame, weight: str = "times_played", keys=COUNT_KEYS
 
 
 def top_k_share(stats: DataFrame, group_cols, item_col: str, weight_col: str, k: int = 5,
-                rank_col: str = "rank", share_col: str = "percentage", keep_zero: bool = True) -> DataFrame:
+                rank_col: str = "rank", share_col: str = "percentage", keep_zero: bool = True,
+                folded: bool = False) -> DataFrame:
     """Top ``k`` items per group with their share of the group's total weight.
 
     One pass over ``stats`` (rows need not be pre-aggregated): a grouping-sets
@@ -47,11 +48,12 @@ def top_k_share(stats: DataFrame, group_cols, item_col: str, weight_col: str, k:
     window's shuffle (a hot group cannot flood one task); the total is then
     attached over those few rows.  The denominator is all items, not only the
     top ``k``; ties go to the smaller item.  Without ``keep_zero`` items that sum
-    to 0 (counts taken back) are no items.
+    to 0 (counts taken back) are no items.  ``folded`` says that ``stats`` has one row an item already.
     """
     group_cols = list(group_cols)
     # Raw rows are folded once; only (group, item) sums are then expanded for the totals.
-    items = stats.groupBy(*group_cols, item_col).agg(F.sum(weight_col).cast("long").alias(weight_col))
+    items = (stats.select(*group_cols, item_col, F.col(weight_col).cast("long").alias(weight_col)) if folded else
+             stats.groupBy(*group_cols, item_col).agg(F.sum(weight_col).cast("long").alias(weight_col)))
     items = items if keep_zero else items.filter(F.col(weight_col) != 0)
     agg = (items.groupingSets([group_cols + [item_col], group_cols], *group_cols, item_col)
            .agg(F.sum(weight_col).cast("long").alias(weight_col), F.grouping(item_col).alias("_is_total")))

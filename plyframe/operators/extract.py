@@ -53,3 +53,32 @@ def replay_errors(games: DataFrame, *, max_plies: int = MAX_PLIES, mode: str = "
     return (df.filter(F.col("_r.error").isNotNull())
               .select("game_id", F.col("_r.error").alias("error"),
                       F.size("_r.plies").alias("plies_kept"), F.size("tokens").alias("tokens")))
+
+
+def token_differences(games: DataFrame, mode_a: str = "strict", mode_b: str = "lenient", max_plies: int | None = MAX_PLIES,
+                      col: str = "movetext") -> DataFrame:
+    """Two tokenizations of each game beside each other, aligned in the row: ``tokens_a``, ``tokens_b`` (how many),
+    ``same`` (moves before the first difference), ``first_difference`` (its index, null where there is none),
+    ``token_a``, ``token_b`` (what stands there; null beyond the end).
+
+    One read, no replay, no shuffle.  Check marks (``+``, ``#``) are no difference: replay writes its own."""
+    both = games.select(*[c for c in games.columns if c != col], tokens(col, mode_a, max_plies).alias("_a"),
+                        tokens(col, mode_b, max_plies).alias("_b"))
+    bare = lambda t: F.rtrim(t, F.lit("+#"))
+    shorter = F.least(F.size("_a"), F.size("_b"))
+    apart = F.filter(F.sequence(F.lit(0), shorter), lambda i: (i >= shorter) | (bare(F.get("_a", i)) != bare(F.get("_b", i))))
+    at = F.get(apart, F.lit(0))
+    first = F.when((at < shorter) | (F.size("_a") != F.size("_b")), at)
+    return both.withColumn("_at", at).select(
+        *[c for c in games.columns if c != col], F.size("_a").alias("tokens_a"), F.size("_b").alias("tokens_b"),
+        F.col("_at").alias("same"), first.alias("first_difference"), F.get("_a", first).alias("token_a"), F.get("_b", first).alias("token_b"))
+
+
+def token_report(differences: DataFrame) -> DataFrame:
+    """Sums of ``token_differences``: games, games that differ, moves of each side, moves alike, and the share of
+    ``b``'s moves that ``a`` loses, in percent (null without moves)."""
+    sums = differences.agg(
+        F.count(F.lit(1)).alias("games"), F.count("first_difference").alias("games_apart"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("tokens_a", "moves_a"), ("tokens_b", "moves_b"), ("same", "moves_same"))])
+    lost = (F.col("moves_b") - F.col("moves_a")).cast("double") * 100.0
+    return sums.withColumn("lost_percent", F.try_divide(lost, F.col("moves_b").cast("double")))

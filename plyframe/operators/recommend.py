@@ -130,7 +130,7 @@ def _answered(v: DataFrame, counts: DataFrame | None, k: int, only: Sequence[str
     matched = (keys.join(running_plays(c), F.col("key_fen") == F.col("base_fen"))
                .select(*key, "move_san", plays_between(F.col("by"), F.col("lo"), F.col("hi")).alias("plays"))
                .filter("plays <> 0"))
-    top = top_k_share(matched, key, "move_san", "plays", k)
+    top = top_k_share(matched, key, "move_san", "plays", k, folded=True)
     found = valid.join(top, key, "left").select(
         "request_id", F.when(F.col("move_san").isNull(), F.lit("not_found")).alias("error"),
         F.col("rank").cast("int").alias("rank"), "move_san", "plays", "percentage")

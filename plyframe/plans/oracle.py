@@ -7,7 +7,7 @@ rows, so the replay job is checked against fixed expectations.
 
 from __future__ import annotations
 
-from plyframe.functions.columns import BAD_TERMINATIONS
+from plyframe.functions.columns import (BAD_TERMINATIONS, STRICT_COMMENT, STRICT_MOVE_NUMBER, STRICT_NAG, STRICT_RESULT)
 from plyframe.plans import golden, synth
 from plyframe.plans.queries import (EXPLORE_RANGE, LEDGER_BEFORE, LIMIT_GAMES, NORMALISE_INPUTS,
                                     PAGE_BASE_URL)
@@ -214,6 +214,31 @@ years AS (SELECT strftime(make_date(CAST(substr(month, 1, 4) AS BIGINT), 1, 1),
 SELECT p.path, month, COUNT(*) AS scanned, COUNT(*) FILTER (reason IS NULL) AS kept, COUNT(*) FILTER (reason = 'bullet') AS bullet,
        COUNT(*) FILTER (reason = 'termination') AS termination, COUNT(*) FILTER (reason = 'rating') AS rating
 FROM years, (VALUES ('batch'), ('stream')) p(path) GROUP BY ALL"""
+    sql["linewise_turns"] = r"""SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, CAST(3 AS INTEGER) AS tags,
+       trim('1. ' || regexp_replace(coalesce(text, ''), '[\x00-\x20]+', ' ', 'g')) AS movetext FROM conversations"""
+    sql["turn_tokens"] = rf"""WITH t AS (
+  SELECT role, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
+    {_q(STRICT_COMMENT)}, ' ', 'g'), {_q(STRICT_MOVE_NUMBER)}, ' ', 'g'), {_q(STRICT_NAG)}, ' ', 'g'), {_q(STRICT_RESULT)}, ' ', 'g') AS s
+  FROM conversations),
+w AS (SELECT role, s, list_filter(regexp_split_to_array(s, '[ \t\n\r\f\x0b]+'), lambda x: x <> '') AS ws FROM t)
+SELECT role, COUNT(*) AS turns, CAST(SUM(len(ws)) AS BIGINT) AS words,
+  CAST(SUM(len(list_filter(ws, lambda x: regexp_matches(x, '^[a-h][1-8]$|^[NBRQK][a-h][1-8]$')))) AS BIGINT) AS move_words,
+  CAST(SUM(length(s)) AS BIGINT) AS characters FROM w GROUP BY role"""
+    deltas = f"""WITH {GAMES_CTE}, {_tokens_cte()},
+lists AS (SELECT line_id, mode, list(token ORDER BY idx) FILTER (idx < 40) AS ts FROM toks GROUP BY ALL),
+ab AS (SELECT q.game_id, coalesce(a.ts, []) AS a, coalesce(b.ts, []) AS b FROM qualified q
+       LEFT JOIN lists a ON a.line_id = q.line_id AND a.mode = 'strict' LEFT JOIN lists b ON b.line_id = q.line_id AND b.mode = 'lenient'),
+al AS (SELECT *, least(len(a), len(b)) AS n,
+         list_filter(range(least(len(a), len(b))), lambda i: rtrim(a[i + 1], '+#') <> rtrim(b[i + 1], '+#')) AS apart FROM ab),
+d AS (SELECT game_id, CAST(len(a) AS INTEGER) AS tokens_a, CAST(len(b) AS INTEGER) AS tokens_b,
+        CAST(coalesce(apart[1], n) AS INTEGER) AS same,
+        CAST(CASE WHEN len(apart) > 0 THEN apart[1] WHEN len(a) <> len(b) THEN n END AS INTEGER) AS first_difference, a, b FROM al)"""
+    sql["token_delta"] = deltas + """
+SELECT game_id, tokens_a, tokens_b, same, first_difference, a[first_difference + 1] AS token_a, b[first_difference + 1] AS token_b FROM d"""
+    sql["token_delta_report"] = deltas + """
+SELECT COUNT(*) AS games, COUNT(first_difference) AS games_apart, CAST(SUM(tokens_a) AS BIGINT) AS moves_a,
+  CAST(SUM(tokens_b) AS BIGINT) AS moves_b, CAST(SUM(same) AS BIGINT) AS moves_same,
+  CAST(SUM(tokens_b) - SUM(tokens_a) AS DOUBLE) * 100.0 / CAST(SUM(tokens_b) AS DOUBLE) AS lost_percent FROM d"""
     sql["most_played"] = f"""WITH {_LINEITEM_COUNTS}
 SELECT base_fen, player_elo_bucket, move_san, times_played FROM lcounts
 ORDER BY times_played DESC, base_fen, player_elo_bucket, move_san LIMIT 1"""
@@ -248,7 +273,7 @@ FROM t"""
 SELECT game_id, raw_event AS event, white_text AS white_elo, black_text AS black_elo, termination,
        CASE WHEN line_id = 6 THEN {_q(synth.LINE_6_FEN)} END AS fen, {movetexts} AS movetext
 FROM games"""
-    sql["archive_codecs"] = sql["header_map"]
+    sql["archive_codecs"] = sql["archive_frames"] = sql["header_map"]
     sql["limit_qualifying"] = f"""WITH {GAMES_CTE}
 SELECT game_id, event, white_elo, black_elo FROM qualified ORDER BY game_id LIMIT {LIMIT_GAMES}"""
     sql["move_tokens"] = f"""WITH {GAMES_CTE}, {_tokens_cte()}

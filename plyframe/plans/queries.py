@@ -12,21 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plyframe.functions.columns import bucket, parse_rating, clean_event, tokens
+from plyframe.functions.columns import (STRICT_COMMENT, STRICT_MOVE_NUMBER, STRICT_NAG, STRICT_RESULT, bucket, clean_event,
+                                        parse_rating, tokens)
 from plyframe.functions.replay import normalise_fen_udf, sequence_fen_udf
 from plyframe.operators.counts import (compare_extractions, count_moves, merge_counts, most_played,
                                        sequence_steps, top_k_share)
-from plyframe.operators.extract import extract_positions, replay_errors, tokenize_moves
+from plyframe.operators.extract import (extract_positions, replay_errors, token_differences, token_report,
+                                        tokenize_moves)
 from plyframe.operators.qualify import filter_report, limit_games, qualify_games
 from plyframe.operators.recommend import (as_responses, recommend, recommend_sorted, recommend_view, requests_from_json,
                                           top_moves, validate_requests)
 from plyframe.plans import synth
 from plyframe.session import scratch_path
-from plyframe.sources.archive import read_games
+from plyframe.sources.archive import parse_games, read_frame_records, read_games
+from plyframe.sources.linewise import read_games_linewise
 from plyframe.schemas import COUNTERS
 from plyframe.sources.sorted_table import row_at_index, write_sorted
 from plyframe.sources.storage import (committed_covers, compact_month, counts_view, merge_months, read_counts, read_merged,
                                       read_monthly, read_positions, write_bucketed_counts, write_month, write_positions)
+from plyframe.sources.zstd_frames import write_frames
 from plyframe.streaming.ingest import (MAX_MONTHS_PER_RUN, add_to_ledger, ingest, ingest_stream, ledger_union, list_links,
                                        load_ledger, pending_months)
 
@@ -40,6 +44,7 @@ WIDEST = (1 << 63) - 1
 BODY_BOUNDS = ["", "1500", "99999999999", "1400.9", "null", '"1200"', '"12.5"', "true"]
 POSITION_FILE_ROWS = 5_000  # small cap so the round trip spans many files
 SORTED_FILE_ROWS = 10_000  # likewise for the sorted table's files
+FRAME_BYTES = 64 << 10  # small frames so the archives have many
 EMPTY_YEAR = "1995"  # the archive whose games are all excluded
 ROW_INDEX = 35
 PAGE_LINK_PATTERN = r'href="(/[^"]+)"'
@@ -144,6 +149,19 @@ def archive_codecs(spark, sf_dir):
     for i, codec in enumerate(("none", "bzip2", "gzip")):
         records.filter(F.col("game_key") % 3 == i).select("value").write.option("compression", codec).text(f"{root}/{codec}")
     g = read_games(spark, [f"{root}/none", f"{root}/bzip2", f"{root}/gzip"])
+    return _tags_of(g)
+
+
+def archive_frames(spark, sf_dir):
+    """Archive text written as Zstandard archives of many frames and read by frames, many tasks an archive."""
+    path = scratch_path(spark, "frames")
+    records = synth.archive_records(table(spark, sf_dir, "orders"))
+    write_frames(records.select("value"), path, frame_bytes=FRAME_BYTES)
+    records = read_frame_records(spark, path, partition_bytes=2 * FRAME_BYTES)
+    return _tags_of(parse_games(records.select("value")))
+
+
+def _tags_of(g):
     h = F.col("headers")
     tag = lambda k: F.try_element_at(h, F.lit(k))
     return g.select(F.substring_index(tag("Site"), "/", -1).alias("game_id"), tag("Event").alias("event"),
@@ -151,6 +169,46 @@ def archive_codecs(spark, sf_dir):
                     tag("Termination").alias("termination"), tag("FEN").alias("fen"), "movetext")
 
 
+def linewise_turns(spark, sf_dir):
+    """Every conversation turn as a game of an archive without separators: tags in another order, no Event, no blank
+    lines, the turn's own text as movetext; read line by line, back to one row a turn."""
+    path = scratch_path(spark, "linewise-turns")
+    conv = table(spark, sf_dir, "conversations")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x20]+", " ")
+    tag = lambda k, v: F.concat(F.lit(f'[{k} "'), v.cast("string"), F.lit('"]'))
+    conv.select(F.concat_ws("\n", tag("Turn", F.col("turn")), tag("Role", F.coalesce("role", F.lit(""))),
+                            tag("Conv", F.col("conv_id")), F.concat(F.lit("1. "), text))).write.text(path)
+    g = read_games_linewise(spark, path)
+    tag = lambda k: F.try_element_at("headers", F.lit(k))
+    return g.select(tag("Conv").cast("long").alias("conv_id"), tag("Turn").cast("long").alias("turn"), tag("Role").alias("role"),
+                    F.size(F.map_keys("headers")).alias("tags"), "movetext")
+
+
+def turn_tokens(spark, sf_dir):
+    """The strict tokenizer's four removals and the lenient word pattern on the varied text of conversation turns: how
+    many turns hold comments, move numbers, marks or move-like words, by role."""
+    conv = table(spark, sf_dir, "conversations")
+    text = F.coalesce("text", F.lit(""))
+    stripped = text
+    for pattern in (STRICT_COMMENT, STRICT_MOVE_NUMBER, STRICT_NAG, STRICT_RESULT):
+        stripped = F.regexp_replace(stripped, pattern, " ")
+    words = F.filter(F.split(stripped, r"[ \t\n\r\f\x0b]+"), lambda w: w != F.lit(""))
+    shaped = F.filter(words, lambda w: w.rlike(r"^[a-h][1-8]$|^[NBRQK][a-h][1-8]$"))
+    return conv.select("role", F.size(words).cast("long").alias("w"), F.size(shaped).cast("long").alias("m"),
+                       F.length(stripped).cast("long").alias("c")).groupBy("role").agg(
+        F.count(F.lit(1)).alias("turns"), F.sum("w").alias("words"), F.sum("m").alias("move_words"), F.sum("c").alias("characters"))
+
+
+def token_delta(spark, sf_dir):
+    """Per game and in one pass, where the strict tokenizer's moves leave the lenient ones."""
+    return token_differences(qualify_games(pgn_games(spark, sf_dir))).select(
+        "game_id", "tokens_a", "tokens_b", "same", "first_difference", "token_a", "token_b")
+
+
+def token_delta_report(spark, sf_dir):
+    return token_report(token_differences(qualify_games(pgn_games(spark, sf_dir))))
+
+
 def display_rounding(spark, sf_dir):
     """The best next event of each event type as a response: shares with one decimal."""
     types = table(spark, sf_dir, "events").select("event_type").distinct()
@@ -189,7 +247,7 @@ def _part_requests(spark, sf_dir):
 def merged_sorted_lookup(spark, sf_dir):
     """Counts merged into one position-sorted table, then a batch of lookups against it."""
     path = scratch_path(spark, "merged")
-    write_sorted(lineitem_counts(spark, sf_dir), path)
+    write_sorted(lineitem_counts(spark, sf_dir), path, index=False)  # every part is asked for
     return recommend(_part_requests(spark, sf_dir), read_counts(spark, path), key_is_fen=False)
 
 
@@ -494,6 +552,11 @@ QUERIES = {
     "view_lookup": view_lookup,
     "stored_ledger": stored_ledger,
     "ingest_empty_month": ingest_empty_month,
+    "archive_frames": archive_frames,
+    "linewise_turns": linewise_turns,
+    "turn_tokens": turn_tokens,
+    "token_delta": token_delta,
+    "token_delta_report": token_delta_report,
     "bucket_counts": bucket_counts,
     "bucket_partition_filter": bucket_partition_filter,
     "monthly_counts_merge": monthly_counts_merge,

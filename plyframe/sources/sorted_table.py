@@ -43,18 +43,20 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame | None:
         return None
 
 
-def write_sorted(counts: DataFrame, path: str, partitions: int | None = None, max_records: int = 0) -> None:
+def write_sorted(counts: DataFrame, path: str, partitions: int | None = None, max_records: int = 0,
+                 index: bool = True) -> None:
     """Counts sorted by (position, bucket, move): range partitions hold disjoint
     position ranges and each file is sorted, so Parquet min/max statistics let a
     lookup skip nearly every row group.  Without ``partitions`` AQE sizes the
     ranges; ``max_records`` bounds a file's rows (0: one file a range).  Row groups carry a Bloom
-    filter of their positions, and the files are indexed (see ``read_index``)."""
+    filter of their positions, and the files are indexed (see ``read_index``) unless ``index`` is off."""
     cols = counts.select(*[f.name for f in COUNTS.fields])
     ranged = cols.repartitionByRange(partitions, "base_fen") if partitions else cols.repartitionByRange("base_fen")
     (ranged.sortWithinPartitions(*COUNT_KEYS).write.mode("overwrite")
      .option("parquet.block.size", SORTED_BLOCK_BYTES).option("maxRecordsPerFile", max_records)
      .option("parquet.bloom.filter.enabled#base_fen", "true").parquet(path))
-    build_index(counts.sparkSession, path)
+    if index:
+        build_index(counts.sparkSession, path)
 
 
 def build_index(spark: SparkSession, path: str) -> DataFrame:
