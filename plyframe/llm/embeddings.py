@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import components, save
+from plyframe.llm.common import components, least_hashed, save
 
 THRESHOLD = 0.9
 RECALL = 0.98
@@ -199,7 +199,8 @@ def _links(spark: SparkSession, nodes: DataFrame, dim: int, rows: int, *, thresh
     """``nid``, ``root``, ``links`` partial counts and edges among the distinct vectors of one dimension."""
     key, tables, rotations = layout(rows, dim, threshold, recall)
     bits = min(CODE_BITS, dim)
-    picked = nodes.orderBy(F.xxhash64(F.lit(seed), "v"), "nid").limit(sample_rows).select("v").collect()
+    hashed = nodes.select("v", "nid", F.xxhash64(F.lit(seed), "v").alias("at"))
+    picked = least_hashed(hashed, sample_rows, "nid", total=rows).select("v").collect()
     projection = learn(unit(np.array([r.v for r in picked])), rotations, seed=seed)
     angle = math.acos(threshold) / math.pi
     total = projection.shape[1]

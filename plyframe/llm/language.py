@@ -175,10 +175,21 @@ def sample(docs: DataFrame, learn, *, rows: int = SAMPLE_ROWS, per_row: int = SA
     """Training windows: for each language the ``rows`` rows of fold ``learn`` with the smallest hash of
     their id and text, and of each up to ``per_row`` windows at places spread over the whole text.
 
-    At most ``rows x per_row x window`` bytes a language reach the driver."""
+    Languages are counted before anything else (more than ``max_languages`` are an error), and of a frequent one
+    only rows under a hash that some more than ``rows`` of its rows lie under are ranked: what meets in one
+    place, and what reaches the driver (``rows x per_row x window`` bytes a language), does not grow with the table."""
+    known = (docs.filter(learn & F.col("lang").isNotNull()).groupBy(F.col("lang").cast("string").alias("lang")).count()
+             .limit(max_languages + 1).collect())
+    if len(known) > max_languages:
+        raise ValueError(f"more than max_languages={max_languages} languages")
+    top = (1 << 63) - 1
+    bounds = docs.sparkSession.createDataFrame(
+        [(r["lang"], top if r["count"] <= 8 * rows else min(top, int((3 * rows + 300) / r["count"] * 2.0 ** 64) - (1 << 63)))
+         for r in known], "lang string, bound long")
     own = docs.filter(learn & F.col("lang").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0))
     heads = own.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("raw"),
                        F.xxhash64("doc_id", "text").alias("at"))
+    heads = heads.join(F.broadcast(bounds), "lang").filter("at <= bound").drop("bound")
     size = F.octet_length("raw")
     # window j begins at j / per_row of the text: a short text gives one window
     cut = F.transform(F.sequence(F.lit(0), F.least(F.lit(per_row - 1), F.expr(f"int(octet_length(raw) / {window})"))),
@@ -187,8 +198,6 @@ def sample(docs: DataFrame, learn, *, rows: int = SAMPLE_ROWS, per_row: int = SA
     first = Window.partitionBy("lang").orderBy("at", "cut")
     top = cut.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= rows)
     got = top.select("lang", "cut").collect()
-    if len({r.lang for r in got}) > max_languages:
-        raise ValueError(f"more than max_languages={max_languages} languages")
     return [(bytes(c), r.lang) for r in got for c in r.cut]
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import crc_fold
+from plyframe.llm.common import crc_fold, least_hashed
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -250,7 +250,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS
     for label in (0, 1):
         # The ids are chosen first (four times as many as rows: some texts are too long), so that
         # only their texts move.
-        ids = known.filter(F.col("toxic") == label).orderBy("at", "doc_id").limit(4 * sample_rows)
+        ids = least_hashed(known.filter(F.col("toxic") == label), 4 * sample_rows, "doc_id")
         own = texts.join(F.broadcast(ids), "doc_id").orderBy("at", "doc_id", "text").limit(sample_rows)
         rows += [(r.text, label) for r in own.select("text", "at", "doc_id").collect()]
     return rows
