@@ -38,25 +38,28 @@ def display_share(c) -> Column:
     return F.bround(c if isinstance(c, Column) else F.col(c), 1)
 
 
-def validate_requests(requests: DataFrame, key_is_fen: bool = True) -> DataFrame:
+def validate_requests(requests: DataFrame, key_is_fen: bool = True, read_key=None) -> DataFrame:
     """request_id, fen, elo_min, elo_max -> + key_fen, lo, hi, error.
 
     Errors, first that applies: missing_fen, invalid_fen, invalid_range.
     FENs are parsed and re-emitted, so a key with an en-passant square that no
-    pawn can use matches the stored key without it.
+    pawn can use matches the stored key without it.  Other keys are used as given, or as ``read_key`` reads
+    them (a Column to a struct of ``fen`` and ``error``, in the JVM: ``steps.read_line`` for lines of moves).
     """
     fen = F.col("fen")
     lo = _bound(F.col("elo_min"), DEFAULT_ELO_MIN)
     hi = _bound(F.col("elo_max"), DEFAULT_ELO_MAX)
     parsed = requests.select("request_id", fen, lo.alias("lo"), hi.alias("hi"))
-    if key_is_fen:  # each distinct FEN is parsed once, however many requests name it
+    if read_key is not None:
+        parsed = parsed.withColumn("_n", read_key(F.coalesce(fen, F.lit(""))))
+    elif key_is_fen:  # each distinct FEN is parsed once, however many requests name it
         norm = requests.select(fen.alias("_fen")).filter(fen.isNotNull()).distinct().select(
             "_fen", normalise_fen_udf(F.col("_fen")).alias("_n"))
         parsed = parsed.join(norm, F.col("fen") == F.col("_fen"), "left").drop("_fen")
     else:  # generic context keys are used as given
         parsed = parsed.withColumn("_n", F.struct(fen.alias("fen"), F.lit(None).cast("string").alias("error")))
     error = (F.when(F.col("fen").isNull() | (F.trim("fen") == ""), F.lit("missing_fen"))
-             .when(F.col("_n.error").isNotNull(), F.lit("invalid_fen"))
+             .when(F.col("_n.error").isNotNull(), F.lit("invalid_fen") if read_key is None else F.col("_n.error"))
              .when(F.col("lo").isNull() | F.col("hi").isNull(), F.lit("invalid_range")))
     return (parsed.withColumn("error", error)
             .select("request_id", F.when(F.col("error").isNull(), F.col("_n.fen")).alias("key_fen"),
@@ -80,7 +83,7 @@ def plays_between(by: Column, lo: Column, hi: Column) -> Column:
 
 
 def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
-              key_is_fen: bool = True, only: Sequence[str] | None = None) -> DataFrame:
+              key_is_fen: bool = True, only: Sequence[str] | None = None, read_key=None) -> DataFrame:
     """Batch form of the lookup -> (request_id, error, rank, move_san, plays, percentage).
 
     Duplicate requests (a hot opening asked for by many) collapse to one
@@ -96,7 +99,7 @@ def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
     them: they become a filter on the counts scan (row groups of the sorted
     table are skipped by min/max).  ``recommend_sorted`` prunes files by the requests' own keys.
     """
-    return _answered(validate_requests(requests, key_is_fen), counts, k, only)
+    return _answered(validate_requests(requests, key_is_fen, read_key), counts, k, only)
 
 
 def recommend_sorted(requests: DataFrame, path: str, k: int = TOP_K, *, key_is_fen: bool = True) -> DataFrame:

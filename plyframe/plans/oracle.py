@@ -1,16 +1,15 @@
 """Independent SQL (DuckDB dialect) for every registered query.
 
-The pipeline queries do not replay moves here: the synthesised games are
-rebuilt from the same integer rules and joined to the hand-checked golden
-rows, so the replay job is checked against fixed expectations.
+The pipeline queries do not tokenize here: the synthesised games are rebuilt
+from the same integer rules and joined to hand-checked tokens, so tokenizers and
+lines are checked against fixed expectations.
 """
 
 from __future__ import annotations
 
 from plyframe.functions.columns import (BAD_TERMINATIONS, STRICT_COMMENT, STRICT_MOVE_NUMBER, STRICT_NAG, STRICT_RESULT)
 from plyframe.plans import golden, synth
-from plyframe.plans.queries import (EXPLORE_RANGE, LEDGER_BEFORE, LIMIT_GAMES, NORMALISE_INPUTS,
-                                    PAGE_BASE_URL)
+from plyframe.plans.queries import EXPLORE_LINE, EXPLORE_RANGE, LEDGER_BEFORE, LIMIT_GAMES, PAGE_BASE_URL
 from plyframe.streaming.ingest import ARCHIVE_BASE_URL, MAX_MONTHS_PER_RUN
 
 
@@ -48,32 +47,28 @@ judged AS (
 qualified AS (SELECT * FROM judged WHERE reject_reason IS NULL)"""
 
 
-def _golden_cte(strict: bool = False) -> str:
-    rows = ", ".join(f"({l}, {p}, {_q(f)}, {_q(m)})" for l, p, f, m in golden.GOLDEN)
-    line4 = "" if strict else "UNION ALL SELECT 4, ply, base_fen, move_san FROM g0 WHERE line_id = 0 AND ply < 4"
-    return f"""
-g0(line_id, ply, base_fen, move_san) AS (VALUES {rows}),
-golden AS (
-  SELECT line_id, ply, base_fen, move_san FROM g0 WHERE line_id IN (0, 1, 2, 3, 6)
-  {line4}
-  UNION ALL SELECT 5, ply, base_fen, move_san FROM g0 WHERE line_id = 0 AND ply < 2
-  UNION ALL SELECT 7, CAST(r.i AS INTEGER), base_fen, move_san FROM g0 JOIN range(40) r(i)
-            ON g0.line_id = 7 AND g0.ply = r.i % 4)"""
-
-
 def _positions_sql(strict: bool = False) -> str:
-    return f"""WITH {GAMES_CTE},{_golden_cte(strict)},
+    """Every move of every qualifying game after its line of moves: lists of the hand-written tokens, sliced."""
+    mode = "strict" if strict else "lenient"
+    return f"""WITH {GAMES_CTE}, {_tokens_cte()},
+line AS (SELECT line_id, list(rtrim(token, '+#') ORDER BY idx) AS l FROM toks WHERE mode = '{mode}' AND idx < 40 GROUP BY 1),
+moves AS (SELECT line_id, i AS ply, l[i + 1] AS move_san,
+            CASE WHEN line_id = 6 THEN {_q(' '.join(synth.LINE_6_FEN.split()[:4]) + ' |')} || CASE WHEN i = 0 THEN '' ELSE ' ' || array_to_string(l[1:i], ' ') END
+                 WHEN i = 0 THEN '^' ELSE array_to_string(l[1:i], ' ') END AS base_fen
+          FROM (SELECT line_id, l, unnest(range(len(l))) AS i FROM line)),
 positions AS (
   SELECT q.game_id, CAST(g.ply AS INTEGER) AS ply, q.event,
          CAST(FLOOR(CASE WHEN g.ply % 2 = 0 THEN q.white_elo ELSE q.black_elo END / 100.0) * 100 AS BIGINT)
            AS player_elo_bucket, g.base_fen, g.move_san
-  FROM qualified q JOIN golden g ON q.line_id = g.line_id)"""
+  FROM qualified q JOIN moves g ON q.line_id = g.line_id)"""
 
 
-_COUNTS_SQL = _positions_sql() + """,
+def _counts_sql() -> str:
+    return _positions_sql() + """,
 counts AS (SELECT base_fen, player_elo_bucket, move_san, COUNT(*) AS times_played
            FROM positions GROUP BY base_fen, player_elo_bucket, move_san)"""
 
+
 _ORDER_COUNTS = """SELECT o_orderpriority, CAST(FLOOR(o_totalprice / 10000.0) * 10000 AS BIGINT) AS price_bucket,
        o_orderstatus, COUNT(*) AS times_played
 FROM orders GROUP BY ALL"""
@@ -146,25 +141,17 @@ toks AS (
   FROM (VALUES ('lenient'), ('strict')) m(mode), range({golden.LINE_7_TOKENS}) r(i))"""
 
 
-def _sequence_rows() -> str:
-    rows = []
-    for line in range(8):
-        for n in range(5):
-            fen = golden.sequence_fen(line, n)
-            err = None if fen is not None else "invalid_move_sequence"
-            toks = (golden.LENIENT_TOKENS.get(line) or golden.LINE_7_CYCLE)[:n]
-            rows.append(f"({line}, {n}, {_q(' '.join(toks))}, {_q(fen)}, {_q(err)})")
-    return ", ".join(rows)
-
-
-_NORMALISED = [
-    ("rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq -", None),
-    ("rnbqkbnr/1pp1pppp/p7/3pP3/8/8/PPPP1PPP/RNBQKBNR w KQkq d6", None),
-    ("r3k2r/8/8/8/8/8/8/4K3 w kq -", None),
-    (None, "invalid_fen"),
-    ("rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -", None),
-    (None, "invalid_fen"),
-]
+def _read_lines_sql() -> str:
+    """Sequences of the orders' first moves, numbered, with a tail, and what reading them gives: from the tokens."""
+    tails = [("", ""), (" 1-0", ""), (" {good} $3", ""), (" zz9", None), (" O-O 0-0-0", " O-O O-O-O"), (" Qh5+ Ke7#", " Qh5 Ke7")]
+    rows = ", ".join(f"({i}, {_q(t)}, {_q(r)})" for i, (t, r) in enumerate(tails))
+    return f"""WITH {_tokens_cte()}, tails(k, tail, rest) AS (VALUES {rows}),
+l AS (SELECT line_id, list(token ORDER BY idx) AS ts FROM toks WHERE mode = 'lenient' GROUP BY 1),
+s AS (SELECT o_orderkey, ts[1:o_orderkey % 5] AS m, tail, rest FROM orders JOIN l ON line_id = o_orderkey % 8 JOIN tails ON k = o_orderkey % 6),
+t AS (SELECT *, array_to_string(list_transform(range(len(m)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(i // 2 + 1 AS VARCHAR) || '. ' ELSE '' END || m[i + 1]), ' ') || tail AS moves,
+        trim(array_to_string(m, ' ') || rest) AS line FROM s)
+SELECT CAST(o_orderkey AS VARCHAR) AS game_id, moves, CASE WHEN line = '' THEN '^' ELSE line END AS fen,
+  CASE WHEN rest IS NULL THEN 'invalid_line' END AS error FROM t"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -279,8 +266,9 @@ SELECT game_id, event, white_elo, black_elo FROM qualified ORDER BY game_id LIMI
     sql["move_tokens"] = f"""WITH {GAMES_CTE}, {_tokens_cte()}
 SELECT g.game_id, t.mode, CAST(t.idx AS INTEGER) AS idx, t.token FROM games g JOIN toks t ON g.line_id = t.line_id"""
     sql["game_positions"] = pos + "\nSELECT * FROM positions"
+    counts = _counts_sql()
     sql["replay_quarantine"] = f"""WITH {GAMES_CTE}
-SELECT game_id, 'illegal_move' AS error, 2 AS plies_kept, 4 AS tokens FROM qualified WHERE line_id = 5"""
+SELECT game_id, 'unreadable_move' AS error, 0 AS plies_kept, 4 AS tokens FROM qualified WHERE line_id = 4"""
     sql["pgn_flagship"] = f"""WITH {GAMES_CTE}, {_tokens_cte()},
 line AS (SELECT line_id, list(token ORDER BY idx) AS l FROM toks WHERE mode = 'lenient' AND idx < 40 GROUP BY 1),
 steps AS (SELECT line_id, CASE WHEN i = 0 THEN '^' ELSE array_to_string(l[1:i], ' ') END AS context, l[i + 1] AS move_san
@@ -291,27 +279,20 @@ ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY context ORDER BY plays DESC
 SELECT context, CAST(rk AS INTEGER) AS rank, move_san, CAST(plays AS BIGINT) AS plays,
        CAST(plays AS DOUBLE) * 100.0 / CAST(total AS DOUBLE) AS percentage
 FROM ranked WHERE rk <= 5"""
-    sql["position_explore"] = _single_lookup_sql(
-        _COUNTS_SQL, "counts", "rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq -", *EXPLORE_RANGE)
-    sql["sequence_final_fen"] = f"""WITH s(line_id, n, moves, fen, error) AS (VALUES {_sequence_rows()})
-SELECT CAST(o_orderkey AS VARCHAR) AS game_id, s.moves, s.fen, s.error
-FROM orders JOIN s ON o_orderkey % 8 = s.line_id AND o_orderkey % 5 = s.n"""
-    norm_rows = ", ".join(f"({i}, {_q(NORMALISE_INPUTS[i])}, {_q(f)}, {_q(e)})"
-                          for i, (f, e) in enumerate(_NORMALISED))
-    sql["fen_normalise"] = f"""WITH v(k, input_fen, base_fen, error) AS (VALUES {norm_rows})
-SELECT o_orderkey, v.input_fen, v.base_fen, v.error FROM orders JOIN v ON o_orderkey % 6 = v.k"""
-    req_keys = ["rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -",
-                "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq -", None, None,
-                "8/8/8/8/8/8/8/K6k w - -"]
-    fen_err = [None, None, "missing_fen", "invalid_fen", None]
+    sql["position_explore"] = _single_lookup_sql(counts, "counts", EXPLORE_LINE, *EXPLORE_RANGE)
+    sql["sequence_final_fen"] = _read_lines_sql()
+    sql["fen_normalise"] = pos + f""", k AS (SELECT DISTINCT base_fen, ply FROM positions)
+SELECT base_fen, CASE WHEN base_fen LIKE '8/P6k%' THEN {_q(' '.join(synth.LINE_6_FEN.split()[:4]))} END AS start_fen,
+  ply AS plies, ply % 2 = 0 AS white_to_move FROM k"""
+    keys, errors = ["^", "e4", None, None, "a3 a6"], [None, None, "missing_fen", "invalid_line", None]
     sql["request_errors"] = _recommend_sql(
-        _COUNTS_SQL + f""",
+        counts + f""",
 r0 AS (SELECT o_orderkey AS request_id, o_orderkey % 5 AS fk, o_orderkey % 3 AS mk FROM orders),
 req AS (
   SELECT request_id,
-         CASE WHEN {_case('fk', fen_err)} IS NULL AND mk <> 2 THEN {_case('fk', req_keys)} END AS key_fen,
+         CASE WHEN {_case('fk', errors)} IS NULL AND mk <> 2 THEN {_case('fk', keys)} END AS key_fen,
          CASE mk WHEN 0 THEN 0 WHEN 1 THEN 1000 END AS lo, 3000 AS hi,
-         COALESCE({_case('fk', fen_err)}, CASE WHEN mk = 2 THEN 'invalid_range' END) AS error
+         COALESCE({_case('fk', errors)}, CASE WHEN mk = 2 THEN 'invalid_range' END) AS error
   FROM r0)""", "counts")
     sql["list_months"] = f"""SELECT path, MIN('{PAGE_BASE_URL.rstrip('/')}/' || ltrim(path, '/')) AS url
 FROM (SELECT unnest(regexp_extract_all(html, 'href="(/[^"]+)"', 1)) AS path FROM pages)
@@ -319,7 +300,7 @@ GROUP BY path"""
     sql["pending_months"] = f"WITH {_months_cte()}\nSELECT year_month, url FROM pending"
     sql["ledger_add"] = f"""WITH {_months_cte()}
 SELECT year_month FROM ledger UNION SELECT year_month FROM pending"""
-    sql["incremental_equals_batch"] = _COUNTS_SQL + "\nSELECT * FROM counts"
+    sql["incremental_equals_batch"] = counts + "\nSELECT * FROM counts"
     sql["positions_roundtrip"] = f"WITH {_EVENT_STEPS}\nSELECT * FROM ecounts"
     sql["counts_view_months"] = _ORDER_COUNTS
     sql["sorted_row_at"] = f"""WITH {_LINEITEM_COUNTS}

@@ -12,16 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plyframe.functions.columns import (STRICT_COMMENT, STRICT_MOVE_NUMBER, STRICT_NAG, STRICT_RESULT, bucket, clean_event,
-                                        parse_rating, tokens)
-from plyframe.functions.replay import normalise_fen_udf, sequence_fen_udf
+from plyframe.functions.columns import (STRICT_COMMENT, STRICT_MOVE_NUMBER, STRICT_NAG, STRICT_RESULT, base_fen_of, bucket,
+                                        clean_event, parse_rating, tokens)
 from plyframe.operators.counts import (compare_extractions, count_moves, merge_counts, most_played,
                                        sequence_steps, top_k_share)
-from plyframe.operators.extract import (extract_positions, replay_errors, token_differences, token_report,
-                                        tokenize_moves)
+from plyframe.operators.extract import token_differences, token_report, tokenize_moves
 from plyframe.operators.qualify import filter_report, limit_games, qualify_games
 from plyframe.operators.recommend import (as_responses, recommend, recommend_sorted, recommend_view, requests_from_json,
                                           top_moves, validate_requests)
+from plyframe.operators.steps import extract_steps, read_line, unreadable_games
 from plyframe.plans import synth
 from plyframe.session import scratch_path
 from plyframe.sources.archive import parse_games, read_frame_records, read_games
@@ -50,25 +49,12 @@ ROW_INDEX = 35
 PAGE_LINK_PATTERN = r'href="(/[^"]+)"'
 PAGE_BASE_URL = "https://example.org/"
 
-# FEN inputs for the normalisation query, chosen by o_orderkey % 6.
-NORMALISE_INPUTS = [
-    "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq e3 0 1",
-    "rnbqkbnr/1pp1pppp/p7/3pP3/8/8/PPPP1PPP/RNBQKBNR w KQkq d6 0 3",
-    "r3k2r/8/8/8/8/8/8/4K3 w KQkq - 0 1",
-    "not a fen",
-    "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -",
-    "",
-]
-# Lookup request inputs, fen by o_orderkey % 5, elo_min by o_orderkey % 3.
-REQUEST_FENS = [
-    "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1",
-    "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq e3 0 1",
-    None,
-    "garbage",
-    "8/8/8/8/8/8/8/K6k w - - 0 1",
-]
+# Sequences of moves as people write them, chosen by o_orderkey % 6, after the moves of the order's game.
+LINE_TAILS = ["", " 1-0", " {good} $3", " zz9", " O-O 0-0-0", " Qh5+ Ke7#"]
+# Lookup request inputs, line by o_orderkey % 5, elo_min by o_orderkey % 3.
+REQUEST_LINES = ["^", "1. e4", None, "garbage", "1. a3 a6"]
 REQUEST_ELO_MIN = [None, "1000", "abc"]
-EXPLORE_FEN = "rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0 2"
+EXPLORE_LINE = "e4 e5"
 EXPLORE_RANGE = (1400, 1600)
 
 
@@ -367,7 +353,7 @@ def pgn_games(spark, sf_dir):
 
 
 def pgn_positions(spark, sf_dir, mode="lenient"):
-    return extract_positions(qualify_games(pgn_games(spark, sf_dir)), mode=mode)
+    return extract_steps(qualify_games(pgn_games(spark, sf_dir)), mode=mode)
 
 
 def pgn_counts(spark, sf_dir):
@@ -426,7 +412,7 @@ def game_positions(spark, sf_dir):
 
 
 def replay_quarantine(spark, sf_dir):
-    return replay_errors(qualify_games(pgn_games(spark, sf_dir)))
+    return unreadable_games(qualify_games(pgn_games(spark, sf_dir)))
 
 
 def opening_steps(spark, sf_dir):
@@ -448,38 +434,42 @@ def pgn_flagship(spark, sf_dir):
 
 def position_explore(spark, sf_dir):
     """Single lookup with the exploration range (buckets inclusive)."""
-    return top_moves(pgn_counts(spark, sf_dir), EXPLORE_FEN, *EXPLORE_RANGE)
+    return top_moves(pgn_counts(spark, sf_dir), EXPLORE_LINE, *EXPLORE_RANGE, normalise=False)
 
 
 def sequence_final_fen(spark, sf_dir):
+    """A sequence of moves -> the key of the position after it, or an error: the order's first moves and a tail."""
     o = table(spark, sf_dir, "orders")
-    n = (F.col("o_orderkey") % 5).cast("int")
-    toks = tokens(_pick(synth.MOVETEXT, synth.line_id()), "lenient")
-    moves = F.array_join(F.slice(toks, 1, n), " ")
+    toks = F.slice(tokens(_pick(synth.MOVETEXT, synth.line_id()), "lenient"), 1, (F.col("o_orderkey") % 5).cast("int"))
+    numbered = F.transform(toks, lambda t, i: F.when(i % 2 == 0, F.concat((i / 2 + 1).cast("int").cast("string"), F.lit(". "), t)).otherwise(t))
+    moves = F.concat(F.array_join(numbered, " "), _pick(LINE_TAILS, F.col("o_orderkey") % 6))
     df = o.select(F.col("o_orderkey").cast("string").alias("game_id"), moves.alias("moves"))
-    return df.select("game_id", "moves", sequence_fen_udf("moves").alias("r")).select(
-        "game_id", "moves", "r.fen", "r.error")
+    return df.select("game_id", "moves", read_line(F.col("moves")).alias("r")).select("game_id", "moves", "r.fen", "r.error")
 
 
 def fen_normalise(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    df = o.select("o_orderkey", _pick(NORMALISE_INPUTS, F.col("o_orderkey") % 6).alias("input_fen"))
-    return df.select("o_orderkey", "input_fen", normalise_fen_udf("input_fen").alias("r")).select(
-        "o_orderkey", "input_fen", F.col("r.fen").alias("base_fen"), F.col("r.error").alias("error"))
+    """Each distinct position key met in the games: its start (four fields of a FEN, or none), its moves and the side to move."""
+    keys = pgn_positions(spark, sf_dir).select("base_fen").distinct()
+    start = F.when(F.col("base_fen").contains(" |"), base_fen_of(F.col("base_fen")))
+    line = F.trim(F.when(start.isNotNull(), F.substring_index("base_fen", "|", -1)).when(F.col("base_fen") == "^", F.lit(""))
+                  .otherwise(F.col("base_fen")))
+    moves = F.filter(F.split(line, " "), lambda m: m != F.lit(""))
+    white = (F.size(moves) + F.when(F.split_part(start, F.lit(" "), F.lit(2)) == "b", 1).otherwise(0)) % 2 == 0
+    return keys.select("base_fen", start.alias("start_fen"), F.size(moves).alias("plies"), white.alias("white_to_move"))
 
 
 def request_errors(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     requests = o.select(F.col("o_orderkey").alias("request_id"),
-                        _pick(REQUEST_FENS, F.col("o_orderkey") % 5).alias("fen"),
+                        _pick(REQUEST_LINES, F.col("o_orderkey") % 5).alias("fen"),
                         _pick(REQUEST_ELO_MIN, F.col("o_orderkey") % 3).alias("elo_min"),
                         F.lit(None).cast("string").alias("elo_max"))
-    return recommend(requests, pgn_counts(spark, sf_dir))
+    return recommend(requests, pgn_counts(spark, sf_dir), read_key=read_line)
 
 
 def extraction_delta(spark, sf_dir):
     games = qualify_games(pgn_games(spark, sf_dir))
-    return compare_extractions(extract_positions(games, mode="strict"), extract_positions(games))
+    return compare_extractions(extract_steps(games, mode="strict"), extract_steps(games))
 
 
 def positions_roundtrip(spark, sf_dir):
@@ -520,7 +510,8 @@ def incremental_equals_batch(spark, sf_dir):
     monthly = scratch_path(spark, "monthly-counts")
     ckpt = scratch_path(spark, "ingest-ckpt")
     for _ in range(2):
-        ingest_stream(spark, src, monthly, ckpt, path_glob="month=*/*.txt", max_files_per_trigger=40)
+        ingest_stream(spark, src, monthly, ckpt, path_glob="month=*/*.txt", max_files_per_trigger=40,
+                      extract=extract_steps)
     return merge_counts(read_monthly(spark, monthly).drop("month", "part"))
 
 
@@ -538,10 +529,11 @@ def ingest_empty_month(spark, sf_dir):
     months = sorted(r[0] for r in records.select("month").distinct().collect())
     batch, stream = scratch_path(spark, "empty-batch"), scratch_path(spark, "empty-stream")
     archives = spark.createDataFrame([(m, f"{src}/month={m}") for m in months], "year_month string, path string")
-    report = ingest(spark, archives, batch)
+    report = ingest(spark, archives, batch, extract=extract_steps)
     out.append(report.select(F.lit("batch").alias("path"), F.col("year_month").alias("month"), F.col("games_scanned").alias("scanned"),
                              F.col("games_kept").alias("kept"), *[F.col(f"rejected_{c}").alias(c) for c in COUNTERS[2:]]))
-    ingest_stream(spark, src, stream, scratch_path(spark, "empty-ckpt"), path_glob="month=*/*.txt", max_files_per_trigger=4)
+    ingest_stream(spark, src, stream, scratch_path(spark, "empty-ckpt"), path_glob="month=*/*.txt", max_files_per_trigger=4,
+                  extract=extract_steps)
     covers = committed_covers(spark, stream)
     out.append(covers.groupBy(F.lit("stream").alias("path"), "month").agg(*[F.sum(c).alias(c) for c in COUNTERS]))
     return out[0].unionByName(out[1])

@@ -21,6 +21,8 @@ MAX_RECORDS_PER_FILE = 10_000_000
 FANOUT = 4
 #: Loads whose directories a scan names, at most; beyond it the join alone picks their rows.
 NAMED_LOADS = 5_000
+#: Files under this size are what compaction puts together.
+SMALL_BYTES = 32 << 20
 #: Rows a file of a merged run holds, at most.
 RUN_FILE_ROWS = 2_000_000
 
@@ -55,7 +57,7 @@ def _loads_path(root: str) -> str:
 
 def write_month(counts: DataFrame, root: str, month: str | None = None, part: str = FULL_PART,
                 parts: DataFrame | None = None, whole: bool | None = None, processed: Iterable[str] = (),
-                batch_id: int | None = None) -> int | None:
+                batch_id: int | None = None, after: int | None = None) -> int | None:
     """Write one load of monthly counts and make it the current one.
 
     ``part`` names what the rows came from; counts with a ``part`` column of
@@ -70,7 +72,8 @@ def write_month(counts: DataFrame, root: str, month: str | None = None, part: st
 
     ``parts`` (month, part, and counters where known) names what the load covers
     where some of it may have no rows; with ``month`` given the month is covered
-    even if ``counts`` is empty.  Returns the entry's number (None where there was nothing to log).
+    even if ``counts`` is empty.  ``after`` names the last entry the rows were made from: another entry since is
+    ``commit_log.Taken``, and nothing is committed.  Returns the entry's number (None where there was nothing to log).
 
     Rows are rebalanced by (month, part) before the write: few large files for
     each, and a hot month is still split over tasks.
@@ -99,7 +102,8 @@ def write_month(counts: DataFrame, root: str, month: str | None = None, part: st
     if log is not None:
         log.coalesce(1).write.parquet(f"{_loads_path(root)}/load={load}")
     entry = {"kind": "load", "load": load, "whole": whole, "processed": sorted(processed)}
-    return commit_log.append(spark, log_path(root), entry if batch_id is None else {**entry, "batch_id": batch_id})
+    return commit_log.append(spark, log_path(root), entry if batch_id is None else {**entry, "batch_id": batch_id},
+                             None if after is None else after + 1)
 
 
 def log_entries(spark: SparkSession, root: str) -> DataFrame | None:
@@ -151,14 +155,42 @@ def read_monthly(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def compact_month(spark: SparkSession, root: str, month: str) -> None:
-    """Merge all parts of a month into one full load with few files, each sorted by position.
-
-    A part loaded while this runs is newer than what was read and must be loaded again."""
-    rows = read_monthly(spark, root)
-    if rows is None:
+    """Merge all parts of a month into one full load with few files."""
+    if read_monthly(spark, root) is None:
         raise FileNotFoundError(root)
-    one = merge_counts(rows.filter(F.col("month") == month).drop("month", "part"))
-    write_month(one, root, month)
+    _compact(spark, root, lambda: [month])
+
+
+def compact_small(spark: SparkSession, root: str, small_bytes: int = SMALL_BYTES, files: int = 2) -> list[str]:
+    """Merge the parts of every month that has ``files`` or more files under ``small_bytes``, all in one load, and return
+    those months.  The load's files are sized by the rebalance of its write."""
+    def small() -> list[str]:
+        loads, data = current_loads(spark, root), read_table(spark, root, STORED_COUNTS)
+        if loads is None or data is None:
+            return []
+        seen = data.select("month", "part", "load", F.col("_metadata.file_path").alias("file"),
+                           F.col("_metadata.file_size").alias("bytes")).distinct()
+        per = (seen.join(loads, ["month", "part", "load"], "left_semi").filter(F.col("bytes") < small_bytes)
+               .groupBy("month").count().filter(F.col("count") >= files))
+        return sorted(r["month"] for r in per.collect())  # one name a month
+
+    return _compact(spark, root, small)
+
+
+def _compact(spark: SparkSession, root: str, months) -> list[str]:
+    """One full load of all rows of ``months()``.  A load committed meanwhile is not overwritten: the work starts again."""
+    while True:
+        after, names = commit_log.last(spark, log_path(root)), months()
+        if not names:
+            return []
+        rows = read_monthly(spark, root).filter(F.col("month").isin(names))
+        one = merge_counts(rows, keys=("month", "base_fen", "player_elo_bucket", "move_san"))
+        parts = spark.createDataFrame([(m, FULL_PART) for m in names], "month string, part string")
+        try:
+            write_month(one, root, whole=True, parts=parts, after=after)
+        except commit_log.Taken:
+            continue
+        return names
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame | None:

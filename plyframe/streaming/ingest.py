@@ -123,7 +123,8 @@ def _stored(spark: SparkSession, root: str, seq: int) -> dict:
 
 
 def ingest(spark: SparkSession, archives: DataFrame, monthly_root: str, *,
-           record_sep: str = RECORD_SEP, buckets: tuple[int, int] | None = None, at_once: int = 4) -> DataFrame:
+           record_sep: str = RECORD_SEP, buckets: tuple[int, int] | None = None, at_once: int = 4,
+           extract=extract_positions) -> DataFrame:
     """Batch path: (year_month, path) archives -> the current load of each month.
 
     Each month is one distributed pipeline (read, judge, replay, count, write); its load
@@ -137,7 +138,8 @@ def ingest(spark: SparkSession, archives: DataFrame, monthly_root: str, *,
 
     ``archives`` is the list of one run (as ``update_months`` caps it): its rows
     pass through the driver, one at a time.  ``buckets`` keeps an inclusive
-    range of rating buckets (None: all).  Returns a report (year_month, status,
+    range of rating buckets (None: all); ``extract`` makes positions of games (``steps.extract_steps`` keys them by
+    their line of moves, without a replay).  Returns a report (year_month, status,
     error, games_scanned, games_kept, rejected_bullet, rejected_termination, rejected_rating,
     positions stored, files, seconds); the counters are stored with the load.
     """
@@ -151,7 +153,7 @@ def ingest(spark: SparkSession, archives: DataFrame, monthly_root: str, *,
             covers = _counters(judged).unionByName(
                 spark.createDataFrame([(month, FULL_PART)], "month string, part string"), allowMissingColumns=True)
             files = spark.read.format("binaryFile").load(path).select("path").count()
-            seq = write_month(_counted(extract_positions(kept), buckets), monthly_root, whole=True, parts=covers,
+            seq = write_month(_counted(extract(kept), buckets), monthly_root, whole=True, parts=covers,
                               processed=[month])
         except Exception as e:  # isolate the month; the others still run
             return month, "failed", f"{type(e).__name__}: {e}", *[None] * 7, time.monotonic() - began
@@ -186,7 +188,7 @@ def stream_progress(spark: SparkSession, monthly_root: str) -> DataFrame:
 def ingest_stream(spark: SparkSession, source_dir: str, monthly_root: str, checkpoint: str, *,
                   path_glob: str = "*", month_pattern: str = MONTH_IN_PATH,
                   max_files_per_trigger: int | None = None, record_sep: str = RECORD_SEP,
-                  buckets: tuple[int, int] | None = None):
+                  buckets: tuple[int, int] | None = None, extract=extract_positions):
     """Streaming path: new archive files under ``source_dir`` -> month partitions.
 
     ``availableNow`` drains what is there and stops; the file source's
@@ -213,7 +215,7 @@ def ingest_stream(spark: SparkSession, source_dir: str, monthly_root: str, check
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         judged = _judged(spark, batch)
         kept = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-        write_month(_counted(extract_positions(kept), buckets), monthly_root, parts=_counters(judged), batch_id=batch_id)
+        write_month(_counted(extract(kept), buckets), monthly_root, parts=_counters(judged), batch_id=batch_id)
 
     query = (records.writeStream.foreachBatch(per_batch)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

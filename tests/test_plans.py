@@ -38,11 +38,25 @@ def test_scan_prunes_columns(spark):
 
 
 def test_filters_before_replay(spark):
-    plan = _plan(Q.game_positions(spark, SF001))
+    from plyframe.operators.extract import extract_positions
+    from plyframe.operators.qualify import qualify_games
+    plan = _plan(extract_positions(qualify_games(Q.pgn_games(spark, SF001))))
     # The header filter (Bullet, terminations, ratings) sits below the Python node.
     assert plan.index("ArrowEvalPython") < plan.index("Contains(")
 
 
+@pytest.mark.parametrize("name", ["game_positions", "replay_quarantine", "position_explore", "sequence_final_fen", "fen_normalise",
+                                  "request_errors", "extraction_delta", "token_delta", "pgn_flagship"])
+def test_game_queries_stay_in_the_jvm(spark, name):
+    plan = _plan(Q.QUERIES[name](spark, SF001))
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_token_report_reads_once_and_shuffles_sums_alone(spark):
+    plan = _plan(Q.token_delta_report(spark, SF001))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange SinglePartition") == 1 and "Exchange hash" not in plan
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

@@ -12,7 +12,7 @@ from plyframe.schemas import COUNTS, LOG_ENTRIES
 from plyframe.sources import commit_log
 from plyframe.sources.sorted_table import count_below, files_of, read_for, read_index, row_at_index, write_sorted
 from plyframe.sources.storage import (compact_month, counts_view, current_loads, log_path, merge_months, merged_runs, read_counts,
-                                      read_merged, read_monthly, vacuum, write_month)
+                                      read_merged, read_monthly, vacuum, write_month, compact_small)
 
 REQUESTS = "request_id long, fen string, elo_min string, elo_max string"
 
@@ -218,3 +218,35 @@ def test_vacuum_keeps_what_readers_need(spark, tmp):
     assert rows_of(merge_months(spark, root, merged)) == [("p", 1500, "m", 5)]
     vacuum(spark, root, merged, older_than_seconds=0)
     assert rows_of(read_monthly(spark, root)) == [("p", 1500, "m", 5)] and current_loads(spark, root).count() == 1
+
+
+def test_small_files_are_put_together(spark, tmp):
+    root = os.path.join(tmp, "monthly")
+    for month, parts in (("2030-01", 5), ("2030-02", 1), ("2030-03", 3)):
+        for i in range(parts):
+            write_month(counts(spark, [("p", 1500, "m", 10 ** i), (f"q{i}", 900, "m", 1)]), root, month, part=f"f{i}")
+    before = rows_of(merge_counts(read_monthly(spark, root).drop("month", "part")))
+    assert compact_small(spark, root, small_bytes=10) == []
+    assert compact_small(spark, root) == ["2030-01", "2030-03"]
+    assert current_loads(spark, root).count() == 3 and read_monthly(spark, root).select(F.input_file_name()).distinct().count() == 3
+    assert rows_of(merge_counts(read_monthly(spark, root).drop("month", "part"))) == before
+    assert compact_small(spark, root) == []
+
+
+def test_a_load_during_compaction_is_not_lost(spark, tmp, monkeypatch):
+    from plyframe.sources import storage
+    root = os.path.join(tmp, "monthly")
+    for part in "ab":
+        write_month(counts(spark, [("p", 1500, "m", 1)]), root, "2030-01", part=part)
+    real, late = storage.merge_counts, []
+
+    def merge(*frames, **options):
+        out = real(*frames, **options)
+        if not late:
+            late.append(1)
+            write_month(counts(spark, [("p", 1500, "m", 40)]), root, "2030-01", part="c")
+        return out
+
+    monkeypatch.setattr(storage, "merge_counts", merge)
+    compact_month(spark, root, "2030-01")
+    assert rows_of(read_monthly(spark, root)) == [("p", 1500, "m", 42)] and current_loads(spark, root).count() == 1
