@@ -33,11 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plyframe.llm.common import WORDS, save
+from plyframe.sources.sorted_table import count_below
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
-SHARDS = 256
+#: Bytes of text an output shard is meant to hold, bytes a word takes with its blank, and the fewest shards.
+SHARD_BYTES = 256 << 20
+WORD_BYTES = 7
+LEAST_SHARDS = 64
 DOCS_PER_BLOCK = 64
 MAX_SOURCES = 100_000
 SEED = 20240229
@@ -135,14 +139,16 @@ def _cut(spark: SparkSession, sized: DataFrame, wanted: list[tuple]) -> dict:
 
 
 def _plan(spark: SparkSession, sized: DataFrame, weights, share, max_epochs, shards, docs_per_block, max_sources,
-          seed) -> tuple[DataFrame, int]:
-    """One row a source: its numbers, and where each shard's run of units begins."""
+          seed) -> tuple[DataFrame, int, int]:
+    """One row a source: its numbers, and where each shard's run of units begins; numbers of sources and shards."""
     per = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
     per = sorted(((r.source, int(r["size"]), int(r.rows)) for r in per.limit(max_sources + 1).collect()),
                  key=lambda r: (r[0] is None, r[0] or ""))
     if len(per) > max_sources:
         raise ValueError(f"more than max_sources={max_sources} sources")
     want = targets([(s, n) for s, n, _ in per], weights, share, max_epochs)
+    if shards is None:
+        shards = max(LEAST_SHARDS, math.ceil(sum(want.values()) * WORD_BYTES / SHARD_BYTES))
     whole = [int(want[s] // n) if n else 0 for s, n, _ in per]
     part = [(i, want[s] - whole[i] * n) for i, (s, n, _) in enumerate(per) if n and want[s] - whole[i] * n > 0]
     names = spark.createDataFrame([(i, s) for i, (s, _, _) in enumerate(per)], "sid int, source string")
@@ -173,58 +179,73 @@ def _plan(spark: SparkSession, sized: DataFrame, weights, share, max_epochs, sha
                 first, _ = quotas(shards, counts, seed, int(shard))
                 yield pd.DataFrame({"sid": np.arange(len(counts), dtype=np.int32), "shard": np.int32(shard), "first": first})
 
-    runs = spark.range(shards).repartition(min(shards, 8)).mapInPandas(leaves, "sid int, shard int, first long")
+    runs = spark.range(shards).repartition(min(shards, max(8, shards // 512))).mapInPandas(leaves, "sid int, shard int, first long")
     runs = runs.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("shard", "first"))).alias("r"))
     return save(spark, plan.join(runs, "sid").select("*", F.col("r.first").alias("firsts")).drop("r", "sid"),
-                "mixture-plan"), len(per)
+                "mixture-plan"), len(per), shards
 
 
 def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE,
-        max_epochs: float = MAX_EPOCHS, shards: int = SHARDS, docs_per_block: int = DOCS_PER_BLOCK,
+        max_epochs: float = MAX_EPOCHS, shards: int | None = None, docs_per_block: int = DOCS_PER_BLOCK,
         max_sources: int = MAX_SOURCES, seed: int = SEED) -> DataFrame:
-    """The columns of ``docs`` and ``_mix``: ``size`` (words), ``source_size``, ``target`` (words of
+    """The columns of ``docs`` (one named ``_mix`` gives way) and ``_mix``: ``size`` (words), ``source_size``, ``target`` (words of
     its source), ``shards`` (the output shard of each copy taken; empty: not taken) and ``place``.
 
-    One row per row of ``docs``.  A null text has size 0; a null source is a
+    One row per row of ``docs``.  Without ``shards`` their number follows the words taken (some ``SHARD_BYTES``
+    of text each, ``LEAST_SHARDS`` at least).  A null text has size 0; a null source is a
     source, sorted last; rows equal in id and text share their place, so a cut
     takes or leaves them together.  A source without words has target 0 and
     gives no row.  An empty table gives an empty result.
     """
+    return _mixed(spark, docs, id_col, text_col, source_col, weights, share, max_epochs, shards, docs_per_block, max_sources, seed)[0]
+
+
+def _mixed(spark: SparkSession, docs: DataFrame, id_col, text_col, source_col, weights, share, max_epochs, shards, docs_per_block,
+           max_sources, seed) -> tuple[DataFrame, int]:
+    """``mix`` and the number of shards."""
     col = lambda c: F.col(f"`{c}`")
+    kept = [c for c in docs.columns if c != "_mix"]
+    own_name = "__m"  # what no column of docs begins with
+    while any(c.startswith(own_name) for c in docs.columns):
+        own_name += "_"
     words = F.coalesce(F.regexp_count(col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
     own = place(f"`{id_col}`", f"`{text_col}`", seed)
     sized = save(spark, docs.select(col(source_col).cast("string").alias("source"), words.alias("size"),
                                     own.alias("place")), "mixture-sizes")
-    plan, sources = _plan(spark, sized, weights, share, max_epochs, shards, docs_per_block, max_sources, seed)
-    plan = plan.select(F.struct("*").alias("__plan"))
+    plan, sources, shards = _plan(spark, sized, weights, share, max_epochs, shards, docs_per_block, max_sources, seed)
+    plan = plan.select(F.struct("*").alias(f"{own_name}plan"))
     plan = F.broadcast(plan) if sources * (shards + 10) <= BROADCAST_NUMBERS else plan
-    p = lambda c: F.col(f"__plan.{c}")
-    joined = docs.withColumns({"__place": own, "__size": words}).join(
+    p = lambda c: F.col(f"{own_name}plan.{c}")
+    t = lambda c: F.col(f"{own_name}{c}")
+    joined = docs.withColumns({f"{own_name}place": own, f"{own_name}size": words}).join(
         plan, col(source_col).cast("string").eqNullSafe(p("source")))
-    block = F.call_function("shiftright", F.col("__place"), F.lit(PLACE_BITS) - p("bits"))
-    copies = p("whole") + (F.col("__place") < p("cut")).cast("int")
+    block = F.call_function("shiftright", t("place"), F.lit(PLACE_BITS) - p("bits"))
+    copies = p("whole") + (t("place") < p("cut")).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), p("bits"))
 
     def shard(k: Column) -> Column:
-        unit = k.cast("long") * F.col("__one") + F.col("__block")
+        unit = k.cast("long") * t("one") + t("block")
         at = (unit * p("mult") + p("add")) % p("units")
-        return F.size(F.filter(p("firsts"), lambda f: f <= at)) - 1
+        return count_below(p("firsts"), at, inclusive=True) - 1
 
-    counted = joined.withColumns({"__one": one, "__block": block, "__copies": copies})
-    taken = F.when(F.col("__copies") > 0, F.transform(F.sequence(F.lit(0), F.col("__copies") - 1), shard)).otherwise(
+    counted = joined.withColumns({f"{own_name}one": one, f"{own_name}block": block, f"{own_name}copies": copies})
+    taken = F.when(t("copies") > 0, F.transform(F.sequence(F.lit(0), t("copies") - 1), shard)).otherwise(
         F.array().cast("array<int>"))
-    return counted.select(*[col(c) for c in docs.columns], F.struct(
-        F.col("__size").alias("size"), p("source_size").alias("source_size"), p("target").alias("target"),
-        taken.alias("shards"), F.col("__place").alias("place")).alias("_mix"))
-
-
-def mixed_rows(spark: SparkSession, docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED,
-               **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, its columns only, dealt to
-    its shards and shuffled within each."""
-    taken = mix(spark, docs, shards=shards, seed=seed, **options)
-    rows = taken.select("*", F.posexplode("_mix.shards").alias("__copy", "__shard"))
-    return (rows.withColumn("__order", F.xxhash64(F.lit(seed), "_mix.place", "__copy"))
-            .repartition(shards, "__shard").sortWithinPartitions("__shard", "__order")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return counted.select(*[col(c) for c in kept], F.struct(
+        t("size").alias("size"), p("source_size").alias("source_size"), p("target").alias("target"),
+        taken.alias("shards"), t("place").alias("place")).alias("_mix")), shards
+
+
+def mixed_rows(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, shards: int | None = None,
+               docs_per_block: int = DOCS_PER_BLOCK, max_sources: int = MAX_SOURCES, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, its columns only, each shard
+    in a partition of its own and shuffled there."""
+    given = docs
+    if "_mix" in docs.columns:
+        docs = docs.withColumnRenamed("_mix", "__given_mix")
+    taken, n = _mixed(spark, docs, id_col, text_col, source_col, weights, share, max_epochs, shards, docs_per_block, max_sources, seed)
+    rows = taken.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "_mix.place", F.posexplode("_mix.shards").alias("copy", "shard"))
+    return (rows.withColumn("at", F.xxhash64(F.lit(seed), "place", "copy")).repartitionById(n, F.col("shard"))
+            .sortWithinPartitions("at").select("row.*").toDF(*given.columns))

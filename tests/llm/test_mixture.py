@@ -79,6 +79,65 @@ def test_mixed_rows_repeat_rows_and_shards_are_even(spark):
     assert set(per) == set(range(8)) and max(per.values()) < 2 * min(per.values())
 
 
+def nearest_prefixes(rows):
+    """By hand, of (source, place, size, target): how often each (source, place) is taken.  The whole source as often as it
+    fits, then documents by place, to the one with which the words come nearest to what is left (more on a tie)."""
+    out, by = {}, defaultdict(lambda: defaultdict(int))
+    goal = {}
+    for source, place, size, target in rows:
+        by[source][place] += size
+        goal[source] = target
+    for source, places in by.items():
+        total = sum(places.values())
+        whole = int(goal[source] // total) if total else 0
+        rest, upto = (goal[source] - whole * total) if total else 0, 0
+        for place in sorted(places):
+            more = rest > 0 and upto < rest and (upto + places[place] <= rest or upto + places[place] - rest <= rest - upto)
+            out[source, place] = whole + more
+            upto += places[place]
+            if not more:
+                rest = 0
+    return out
+
+
+def test_copies_equal_brute_force(spark):
+    for weights, share in (((5, 2, 1), 1.5), ((1, 3), 0.7), ((1,), 2.0)):
+        got = [(r.source, r._mix) for r in mix(spark, make_docs(spark, rows()), weights=weights, share=share, docs_per_block=4, shards=8).collect()]
+        want = nearest_prefixes([(s, m.place, m.size, m.target) for s, m in got])
+        assert all(len(m.shards) == want[s, m.place] for s, m in got)
+
+
+def test_each_shard_is_a_partition_in_the_order_of_its_hash(spark):
+    from pyspark.sql import functions as F
+    docs = make_docs(spark, rows()).withColumn("_mix", F.lit("own")).withColumn("__mplace", F.lit(7)).withColumn("__size", F.lit(8))
+    plan = mix(spark, docs.drop("_mix"), docs_per_block=4, shards=8)
+    hashed = plan.select("doc_id", "text", F.posexplode("_mix.shards").alias("copy", "shard"), "_mix.place").select(
+        "shard", F.xxhash64(F.lit(20240229), "place", "copy").alias("at"), "doc_id", "text").collect()
+    want = {k: [(r.doc_id, r.text) for r in sorted((r for r in hashed if r.shard == k), key=lambda r: r.at)] for k in range(8)}
+    out = mixed_rows(spark, docs, docs_per_block=4, shards=8)
+    assert out.columns == docs.columns
+    held = defaultdict(list)
+    for r in out.withColumn("part", F.spark_partition_id()).collect():
+        assert (r._mix, r["__mplace"], r["__size"]) == ("own", 7, 8)  # a user's own columns come back as they were
+        held[r.part].append((r.doc_id, r.text))
+    assert held == {k: v for k, v in want.items() if v}
+
+
+def test_number_of_shards_follows_the_words(spark, monkeypatch):
+    from plyframe.llm import mixture
+    monkeypatch.setattr(mixture, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(mixture, "LEAST_SHARDS", 2)
+    docs = make_docs(spark, [(i, " ".join(["w"] * 30), "s") for i in range(200)])
+    shards = {s for r in mix(spark, docs, docs_per_block=1).collect() for s in r._mix.shards}
+    assert max(shards) < 63 and len(shards) > 50  # 6,000 words x 1.5 x 7 bytes: 63 shards
+
+
+def test_long_text_and_repeated_rows(spark):
+    docs = make_docs(spark, [(1, "long " * 60_000, "a"), (2, "x", "a"), (2, "x", "a"), (3, None, "b")])
+    got = {(r.doc_id, r._mix.size): r._mix for r in mix(spark, docs).collect()}
+    assert got[1, 60_000].source_size == 60_002 and got[3, 0].target == 0
+
+
 def test_empty_table(spark):
     assert mix(spark, make_docs(spark, [])).count() == 0
     assert mixed_rows(spark, make_docs(spark, [])).count() == 0
