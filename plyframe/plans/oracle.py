@@ -305,6 +305,8 @@ SELECT year_month FROM ledger UNION SELECT year_month FROM pending"""
     sql["counts_view_months"] = _ORDER_COUNTS
     sql["sorted_row_at"] = f"""WITH {_LINEITEM_COUNTS}
 SELECT base_fen, player_elo_bucket, move_san, times_played FROM lcounts ORDER BY base_fen, player_elo_bucket, move_san LIMIT 1 OFFSET 35"""
+    sql["sorted_head"] = f"""WITH {_LINEITEM_COUNTS}
+SELECT base_fen, player_elo_bucket, move_san, times_played FROM lcounts ORDER BY base_fen, player_elo_bucket, move_san LIMIT 10"""
     strict = _positions_sql(strict=True)
     sql["extraction_delta"] = f"""WITH s AS ({strict} SELECT * FROM positions),
 l AS ({pos} SELECT * FROM positions)

@@ -26,7 +26,7 @@ from plyframe.session import scratch_path
 from plyframe.sources.archive import parse_games, read_frame_records, read_games
 from plyframe.sources.linewise import read_games_linewise
 from plyframe.schemas import COUNTERS
-from plyframe.sources.sorted_table import row_at_index, write_sorted
+from plyframe.sources.sorted_table import head_of, row_at_index, write_sorted
 from plyframe.sources.storage import (committed_covers, compact_month, counts_view, merge_months, read_counts, read_merged,
                                       read_monthly, read_positions, write_bucketed_counts, write_month, write_positions)
 from plyframe.sources.zstd_frames import write_frames
@@ -46,6 +46,7 @@ SORTED_FILE_ROWS = 10_000  # likewise for the sorted table's files
 FRAME_BYTES = 64 << 10  # small frames so the archives have many
 EMPTY_YEAR = "1995"  # the archive whose games are all excluded
 ROW_INDEX = 35
+HEAD_ROWS = 10
 PAGE_LINK_PATTERN = r'href="(/[^"]+)"'
 PAGE_BASE_URL = "https://example.org/"
 
@@ -500,6 +501,13 @@ def sorted_row_at(spark, sf_dir):
     return row_at_index(spark, path, ROW_INDEX)
 
 
+def sorted_head(spark, sf_dir):
+    """The first ten rows of a table sorted by position."""
+    path = scratch_path(spark, "sorted-head")
+    write_sorted(lineitem_counts(spark, sf_dir), path, max_records=SORTED_FILE_ROWS)
+    return head_of(spark, path, HEAD_ROWS)
+
+
 def incremental_equals_batch(spark, sf_dir):
     """Archive text written as files under month= folders, ingested by the
     streaming path twice (the second run finds nothing new), merged: equals a
@@ -582,5 +590,6 @@ QUERIES = {
     "positions_roundtrip": positions_roundtrip,
     "counts_view_months": counts_view_months,
     "sorted_row_at": sorted_row_at,
+    "sorted_head": sorted_head,
     "extraction_delta": extraction_delta,
 }

@@ -136,3 +136,12 @@ def row_at_index(spark: SparkSession, path: str, index: int) -> DataFrame:
         return spark.createDataFrame([], COUNTS)
     rows = spark.read.schema(COUNTS).parquet(at["file"])
     return rows.orderBy(*COUNT_KEYS).offset(index - at["rows_before"]).limit(1)
+
+
+def head_of(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
+    """The first ``n`` rows of the sorted table: the files that hold them alone are opened."""
+    table = read_index(spark, path)
+    if table is None:
+        table = build_index(spark, path)
+    files = [r["file"] for r in table.filter(F.col("rows_before") < n).select("file").collect()]  # n files at most
+    return spark.read.schema(COUNTS).parquet(*files).orderBy(*COUNT_KEYS).limit(n) if files else spark.createDataFrame([], COUNTS)

@@ -11,7 +11,7 @@ from plyframe.operators.counts import merge_counts
 from plyframe.operators.recommend import (plays_between, recommend, recommend_sorted, recommend_view, running_plays, top_moves)
 from plyframe.schemas import COUNTS, LOG_ENTRIES
 from plyframe.sources import commit_log
-from plyframe.sources.sorted_table import count_below, files_of, read_for, read_index, row_at_index, write_sorted
+from plyframe.sources.sorted_table import count_below, files_of, head_of, read_for, read_index, row_at_index, write_sorted
 from plyframe.sources.storage import (compact_month, counts_view, current_loads, log_path, merge_months, merged_runs, read_counts,
                                       read_merged, read_monthly, vacuum, write_month, compact_small)
 
@@ -97,6 +97,13 @@ def test_row_at_opens_one_file(spark, table):
     assert row_at_index(spark, path, len(rows)).count() == 0 and set(os.listdir(os.path.dirname(path))) == before
 
 
+def test_head_opens_the_first_files(spark, table):
+    path, rows = table
+    df = head_of(spark, path, 75)
+    assert len(df.inputFiles()) == 2 and [tuple(r) for r in df.collect()] == rows[:75]
+    assert head_of(spark, path, 10 ** 6).count() == len(rows) and head_of(spark, path, 0).count() == 0
+
+
 def test_lookups_open_the_files_that_can_hold_a_key(spark, table):
     path, rows = table
     total = len(read_counts(spark, path).inputFiles())
