@@ -42,6 +42,8 @@ FULL_STEPS = 256
 TOLERANCE = 1e-14
 #: A component whose deviation is under this share of the greatest has none.
 FLAT = 1e-9
+#: What is left of a vector under this share of the greatest is rounding alone: the next one starts afresh.
+BREAK = 1e-12
 SEED = 12
 
 
@@ -119,7 +121,7 @@ def bidiagonalise(blocks: DataFrame, dim: int, n: int, sums: tuple[int, ...], k:
         off = 2 * inner - gram @ inner  # both rounds of reorthogonalisation
         alpha = float(np.sqrt(max(0.0, square - 2 * off @ inner + off @ gram @ off)))
         greatest = max(greatest, alpha, beta)
-        if alpha <= FLAT * greatest:
+        if alpha <= BREAK * greatest:
             alpha, y, image = 0.0, np.zeros(dim), np.zeros(dim)
         else:
             y = (v - (beta * left[:, -1] if j else 0.0) - left @ off) / alpha
@@ -138,7 +140,7 @@ def bidiagonalise(blocks: DataFrame, dim: int, n: int, sums: tuple[int, ...], k:
         if done:
             _, s, q = np.linalg.svd(b)
             return s[:k], right @ q[:k].T
-        if beta <= FLAT * greatest:
+        if beta <= BREAK * greatest:
             v, beta = _fresh(right, rng), 0.0
         else:
             v = r / beta
