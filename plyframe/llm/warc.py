@@ -1,10 +1,11 @@
 """WARC: deduplicated archives with revisit records, and their resolution.
 
-Writing: only headers (id, payload digest, size) are shuffled, by digest; the
+Writing: headers (id, payload digest, size) are shuffled by digest; the
 smallest id of each digest is the response, later copies of payloads of at
-least ``min_bytes`` become revisit records that name it.  Each record is built
-with fresh headers as one string and the archives are written by Spark's text
-writer (gzip, any store, safe against lost and repeated tasks).
+least ``min_bytes`` become revisit records that name it.  Payloads then move
+once, dealt to archive files by row number, where each record is built with
+fresh headers as one string; the archives are written by Spark's text writer
+(gzip, any store, safe against lost and repeated tasks).
 
 Reading: archives are read as whole files of bounded size and parsed record by
 record by ``Content-Length``, never by looking for a separator, so a payload
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from plyframe.llm.common import save
 
 MIN_BYTES = 100
-#: Payload bytes an archive file is meant to hold.
+#: Payload bytes an archive file is meant to hold, at least and (for large inputs) at most, and files up to which it is the least.
 FILE_BYTES = 16 << 20
+MOST_FILE_BYTES = 256 << 20
+FILES = 50_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
@@ -71,7 +74,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, *, id_col:
                  "warc-responses")
     revisits = save(spark, heads.join(twice, "payload_digest").filter("rid <> first.rid").select(
         F.col("rid").alias("own"), F.col("first.rid").alias("to"), F.col("first.url").alias("to_url")), "warc-revisits")
-    files = int(-(-(heads.agg(F.sum("payload_bytes")).first()[0] or 0) // file_bytes)) or 1
+    total = heads.agg(F.sum("payload_bytes")).first()[0] or 0
+    files = int(-(-total // max(file_bytes, min(MOST_FILE_BYTES, total // FILES)))) or 1
     placed = rows.repartition(files, "rid").join(revisits, F.col("rid") == F.col("own"), "left")
     again = F.col("to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
