@@ -121,6 +121,22 @@ def op13_vector_codes(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_preferences, op4_language_id, op5_embedding_near_dedup, op6_simhash_near_dedup, op7_mixture, op8_sentencepiece, op9_toxicity,
                                   op10_secret_scan, op11_token_counts, op12_embedding_whitening, op13_vector_codes)}
 
+def _codes_assign(n: int) -> str:
+    """One assignment a{n} to the entries b{n}, in whole numbers as doubles (exact), ties to the lower index."""
+    return f"""
+a{n} AS MATERIALIZED (SELECT rid, part, any_value(y) AS y, min({{'d': yy - 2 * list_inner_product(y, c) + cc, 'e': e}}) AS m
+  FROM parts JOIN b{n} USING (part) GROUP BY rid, part)"""
+
+
+def _codes_move(n: int) -> str:
+    """Entries b{n + 1}: the floor of the mean of each entry's parts; an entry without parts stays."""
+    return f""",
+m{n} AS (SELECT part, m.e AS e, i, floor(sum(y[i + 1]) / count(*)) AS val FROM a{n}, generate_series(0, len(y) - 1) t(i) GROUP BY ALL),
+n{n} AS (SELECT part, e, list(val ORDER BY i) AS c FROM m{n} GROUP BY ALL),
+b{n + 1} AS MATERIALIZED (SELECT part, e, c, list_inner_product(c, c) AS cc FROM (
+  SELECT b.part, b.e, coalesce(n.c, b.c) AS c FROM b{n} b LEFT JOIN n{n} n ON n.part = b.part AND n.e = b.e)),"""
+
+
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
@@ -167,4 +183,15 @@ SELECT conv_id AS pair_id, CAST(any_value(n) AS BIGINT) AS prompt_turns,
     END, ',' ORDER BY pos), '') AS rejected_mask
 FROM o GROUP BY conv_id
 """,
+    "op13_vector_codes": """WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+parts AS MATERIALIZED (SELECT rid, part, y, list_inner_product(y, y) AS yy FROM (
+  SELECT rid, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS y FROM v, range(16) t(part))),
+b0 AS MATERIALIZED (SELECT part, rid - 1 AS e, y AS c, yy AS cc FROM parts WHERE rid <= 64),""" + _codes_assign(0) + _codes_move(0) + _codes_assign(1) + _codes_move(1) + _codes_assign(2) + """,
+sha AS (SELECT sha256(string_agg(CAST(CAST(c[i + 1] AS BIGINT) AS VARCHAR), ',' ORDER BY part, e, i)) AS s
+  FROM b2, generate_series(0, len(c) - 1) t(i)),
+r AS (SELECT rid, string_agg(format('{:02x}', CAST(m.e AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256
+FROM r JOIN v USING (rid), sha""",
 }
