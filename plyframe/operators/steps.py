@@ -18,17 +18,17 @@ from plyframe.operators.extract import MAX_PLIES
 START = "^"
 
 
-def spelled(move: Column) -> Column:
-    """A move word in one spelling: no check mark, castling with letters."""
-    bare = F.rtrim(move, F.lit("+#"))
-    return F.when(bare.rlike("^0-0"), F.translate(bare, "0", "O")).otherwise(bare)
+def spelled_line(moves: Column) -> Column:
+    """An array of move words as one text, a blank between them, in one spelling: no check marks, castling with letters."""
+    line = F.translate(F.array_join(moves, " "), "+#", "")
+    return F.replace(F.replace(line, F.lit("0-0-0"), F.lit("O-O-O")), F.lit("0-0"), F.lit("O-O"))
 
 
-def line_of(moves: Column, start_fen: Column | None = None) -> Column:
-    """The key of the position after ``moves`` (an array), played from ``start_fen`` (null: the usual start)."""
-    line = F.array_join(moves, " ")
+def line_key(line: Column, start_fen: Column | None = None) -> Column:
+    """The key of the position after a spelled line of moves, played from ``start_fen`` (null: the usual start)."""
     if start_fen is not None:
-        line = F.concat_ws(" ", F.concat(base_fen_of(start_fen), F.lit(" |")), F.nullif(line, F.lit("")))
+        line = F.when(start_fen.isNull(), line).otherwise(
+            F.concat_ws(" ", F.concat(base_fen_of(start_fen), F.lit(" |")), F.nullif(line, F.lit(""))))
     return F.when(line == "", F.lit(START)).otherwise(line)
 
 
@@ -39,21 +39,22 @@ def read_line(text: Column) -> Column:
         text = F.regexp_replace(text, pattern, " ")
     words = F.filter(F.split(text, r"\s+"), lambda w: ~w.isin("", "*", START))
     good = F.forall(words, lambda w: w.rlike(SAN_FULL))
-    return F.struct(F.when(good, line_of(F.transform(words, spelled))).alias("fen"),
+    return F.struct(F.when(good, line_key(spelled_line(words))).alias("fen"),
                     F.when(~good, F.lit("invalid_line")).alias("error"))
 
 
 def extract_steps(games: DataFrame, *, max_plies: int = MAX_PLIES, mode: str = "lenient") -> DataFrame:
     """M3 games -> M4 rows plus ``game_id, ply``, as ``extract_positions`` gives them, with ``base_fen`` the line
     before the move.  The mover's own rating picks the bucket; a game starts with the side its FEN names."""
-    moves = F.transform(tokens("movetext", mode, max_plies), spelled)
     extra = [c for c in games.columns if c not in ("movetext", "start_fen", "event", "white_elo", "black_elo")]
-    rows = games.withColumn("_moves", moves).select(
-        *extra, "event", "white_elo", "black_elo", "start_fen", "_moves", F.posexplode("_moves").alias("ply", "move_san"))
+    lines = games.withColumn("_line", spelled_line(tokens("movetext", mode, max_plies))).filter("_line <> ''")
+    rows = lines.select(*extra, "event", "white_elo", "black_elo", "start_fen", "_line",
+                        F.posexplode(F.split("_line", " ")).alias("ply", "move_san"))
     black_first = F.when(F.split_part("start_fen", F.lit(" "), F.lit(2)) == "b", 1).otherwise(0)
     mover = F.when((F.col("ply") + black_first) % 2 == 0, F.col("white_elo")).otherwise(F.col("black_elo"))
+    # The moves before the ply are a prefix of the line's text: no array is built for each ply.
     return rows.select(*extra, "ply", "event", bucket(mover).alias("player_elo_bucket"),
-                       line_of(F.slice("_moves", F.lit(1), F.col("ply")), F.col("start_fen")).alias("base_fen"), "move_san")
+                       line_key(F.expr("substring_index(_line, ' ', ply)"), F.col("start_fen")).alias("base_fen"), "move_san")
 
 
 def unreadable_games(games: DataFrame, *, max_plies: int = MAX_PLIES) -> DataFrame:

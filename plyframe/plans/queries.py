@@ -418,9 +418,8 @@ def replay_quarantine(spark, sf_dir):
 
 def opening_steps(spark, sf_dir):
     """Every move of every qualifying game with the moves before it as context (first 40 plies): tokens only."""
-    g = tokenize_moves(qualify_games(pgn_games(spark, sf_dir))).select("tokens", F.posexplode("tokens").alias("ply", "move_san"))
-    prefix = F.array_join(F.slice("tokens", 1, F.col("ply")), " ")
-    return g.select(F.when(F.col("ply") == 0, F.lit("^")).otherwise(prefix).alias("context"), "move_san")
+    g = tokenize_moves(qualify_games(pgn_games(spark, sf_dir))).select(F.array_join("tokens", " ").alias("line"), F.posexplode("tokens").alias("ply", "move_san"))
+    return g.select(F.when(F.col("ply") == 0, F.lit("^")).otherwise(F.expr("substring_index(line, ' ', ply)")).alias("context"), "move_san")
 
 
 def pgn_flagship(spark, sf_dir):
