@@ -29,3 +29,10 @@ def sf(spark, tmp):
 
 def test_illegal_moves_are_quarantined(spark, sf):
     assert [tuple(r) for r in Q.replay_quarantine(spark, sf).collect()] == [(str(KEYS[5]), "illegal_move", 2, 4)]
+
+
+def test_sequences_end_in_fens(spark, tmp):
+    # o_orderkey % 5 moves of line o_orderkey % 8: four of line 7, three of line 5 (illegal), none of line 0
+    sf = _orders(spark, tmp, [39, 13, 40])
+    got = {int(r.game_id): (r.fen, r.error) for r in Q.sequence_final_fen(spark, sf).collect()}
+    assert got == {39: (f"{START} 4 3", None), 13: (None, "invalid_move_sequence"), 40: (f"{START} 0 1", None)}
