@@ -31,6 +31,8 @@ EVENTS = [
     "Rated UltraBullet game",
 ]
 TERMINATIONS = {"F": "Normal", "O": "Time forfeit", "P": "Abandoned"}
+#: Games a task works on: what a task holds does not grow with the table, however well its text compresses.
+GAMES_A_TASK = 50_000
 SITE_PREFIX = "https://example.org/g/"
 
 
@@ -97,4 +99,5 @@ def games_from_records(records: DataFrame, with_month: bool = False) -> DataFram
 
 def synth_games(spark: SparkSession, sf_dir: str, with_month: bool = False) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return games_from_records(archive_records(orders).hint("rebalance"), with_month)
+    tasks = max(1, -(-orders.count() // GAMES_A_TASK))  # a count from the files' footers
+    return games_from_records(archive_records(orders).repartition(tasks), with_month)

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from plyframe.plans import queries as Q
+from plyframe.plans import queries as Q, synth
 from plyframe.plans.golden import START
 
 #: One qualifying order for each of the eight lines (o_orderkey % 8), Blitz, black 1400 to 1990.
@@ -72,3 +72,10 @@ def test_ingested_counts_are_of_boards(spark, sf):
 def test_delta_is_of_replayed_positions(spark, sf):
     # the strict reading loses the annotated line's four plies; the illegal line keeps two in both
     assert tuple(Q.extraction_delta(spark, sf).first()) == (67, 71, 0, 4)
+
+
+def test_a_task_has_a_bounded_number_of_games(spark, tmp, monkeypatch):
+    monkeypatch.setattr(synth, "GAMES_A_TASK", 10)
+    games = synth.synth_games(spark, _orders(spark, tmp, range(1, 36)))
+    per_task = [len(x) for x in games.select("game_id").rdd.glom().collect()]
+    assert sum(per_task) == 35 and len(per_task) == 4 and max(per_task) <= 12
