@@ -17,6 +17,8 @@ from plyframe.sources.storage import counts_view
 DEFAULT_ELO_MIN = 0
 DEFAULT_ELO_MAX = 3000
 TOP_K = 5
+#: Rows of counts a task of a lookup against a stored table works on.
+ROWS_A_TASK = 250_000
 
 _INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 
@@ -83,7 +85,8 @@ def plays_between(by: Column, lo: Column, hi: Column) -> Column:
 
 
 def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
-              key_is_fen: bool = True, only: Sequence[str] | None = None, read_key=None) -> DataFrame:
+              key_is_fen: bool = True, only: Sequence[str] | None = None, read_key=None,
+              stored: bool = False) -> DataFrame:
     """Batch form of the lookup -> (request_id, error, rank, move_san, plays, percentage).
 
     Duplicate requests (a hot opening asked for by many) collapse to one
@@ -98,8 +101,11 @@ def recommend(requests: DataFrame, counts: DataFrame | None, k: int = TOP_K, *,
     ``only`` names the positions all requests are about, where the caller knows
     them: they become a filter on the counts scan (row groups of the sorted
     table are skipped by min/max).  ``recommend_sorted`` prunes files by the requests' own keys.
+
+    ``stored`` says that ``counts`` is read from files, so that counting its rows is cheap: the positions are
+    then dealt out by ``ROWS_A_TASK`` and what a task holds does not grow with the table.
     """
-    return _answered(validate_requests(requests, key_is_fen, read_key), counts, k, only)
+    return _answered(validate_requests(requests, key_is_fen, read_key), counts, k, only, stored=stored)
 
 
 def recommend_sorted(requests: DataFrame, path: str, k: int = TOP_K, *, key_is_fen: bool = True) -> DataFrame:
@@ -107,7 +113,7 @@ def recommend_sorted(requests: DataFrame, path: str, k: int = TOP_K, *, key_is_f
     for, and no other is opened.  The requests' keys are looked up in the index at once."""
     v = validate_requests(requests, key_is_fen)
     keys = v.filter(F.col("error").isNull()).select(F.col("key_fen").alias("base_fen")).distinct()
-    return _answered(v, read_for(requests.sparkSession, path, keys), k)
+    return _answered(v, read_for(requests.sparkSession, path, keys), k, stored=True)
 
 
 def recommend_view(requests: DataFrame, merged_path: str | None, monthly_root: str | None, k: int = TOP_K, *,
@@ -116,10 +122,22 @@ def recommend_view(requests: DataFrame, merged_path: str | None, monthly_root: s
     loaded since are read as well, replaced ones are taken back out."""
     spark, v = requests.sparkSession, validate_requests(requests, key_is_fen)
     keys = v.filter(F.col("error").isNull()).select(F.col("key_fen").alias("base_fen")).distinct()
-    return _answered(v, counts_view(spark, merged_path, monthly_root, keys=keys), k)
+    return _answered(v, counts_view(spark, merged_path, monthly_root, keys=keys), k, stored=True)
+
+
+def _dealt(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """``rows`` of the table ``stored`` by position, at most ``ROWS_A_TASK`` of the table to a task on average.  Spark
+    would size tasks by compressed bytes, of which sorted counts have few: their rows then meet in few tasks, each
+    sorting millions.  Small tables stay as they are."""
+    tasks = -(-stored.count() // ROWS_A_TASK)
+    if tasks < 2:
+        return rows
+    # At the session's own number Spark takes its exchange for this one and sizes it by bytes again.
+    return rows.repartition(tasks + (str(tasks) == rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "base_fen")
 
 
-def _answered(v: DataFrame, counts: DataFrame | None, k: int, only: Sequence[str] | None = None) -> DataFrame:
+def _answered(v: DataFrame, counts: DataFrame | None, k: int, only: Sequence[str] | None = None,
+              stored: bool = False) -> DataFrame:
     key = ["key_fen", "lo", "hi"]
     none = [F.lit(None).cast(t).alias(c) for c, t in (("rank", "int"), ("move_san", "string"), ("plays", "long"),
                                                      ("percentage", "double"))]
@@ -130,6 +148,7 @@ def _answered(v: DataFrame, counts: DataFrame | None, k: int, only: Sequence[str
     keys = valid.select(*key).distinct()
     c = counts if only is None else counts.filter(F.col("base_fen").isin(list(only)))
     c = c.join(keys.select(F.col("key_fen").alias("base_fen")).distinct(), "base_fen", "left_semi")
+    c = _dealt(c, counts) if stored else c
     matched = (keys.join(running_plays(c), F.col("key_fen") == F.col("base_fen"))
                .select(*key, "move_san", plays_between(F.col("by"), F.col("lo"), F.col("hi")).alias("plays"))
                .filter("plays <> 0"))

@@ -148,3 +148,20 @@ def test_concurrent_lookups_share_one_session(spark, counts):
     with ThreadPoolExecutor(max_workers=4) as pool:
         results = list(pool.map(lookup, range(8)))
     assert all(r == expected for r in results)
+
+
+@pytest.mark.parametrize("rows_a_task, tasks", [(100, 4), (50, 9), (20, 20)])  # 8 would be the session's own number
+def test_stored_counts_are_dealt_out_by_rows(spark, tmp, monkeypatch, rows_a_task, tasks):
+    """Tasks of a lookup against a stored table hold a number of rows, however few bytes these take."""
+    import re
+
+    import plyframe.operators.recommend as lookups
+    from plyframe.sources.sorted_table import write_sorted
+    monkeypatch.setattr(lookups, "ROWS_A_TASK", rows_a_task)
+    counts = spark.createDataFrame([(f"p{i % 100}", i % 3 * 100, f"m{i // 100}", 1 + i % 7) for i in range(400)], COUNTS)
+    write_sorted(counts, f"{tmp}/sorted")
+    requests = spark.createDataFrame([(i, f"p{i}", "0", "200") for i in range(120)], "request_id long, fen string, elo_min string, elo_max string")
+    df = lookups.recommend_sorted(requests, f"{tmp}/sorted", key_is_fen=False)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"hashpartitioning\(base_fen#\d+, {tasks}\), REPARTITION_BY_NUM", plan)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, recommend(requests, counts, key_is_fen=False).collect()), key=str)
